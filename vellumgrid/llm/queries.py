@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import neardup
+from vellumgrid.llm import leakage, neardup, packing, splitting
 from vellumgrid.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    starts = splitting.section_starts(table(spark, d, "corpus_files"), "file_id", "content")
+    return starts.where(F.col("level") >= 0).select(F.col("id").alias("file_id"), "line_no")
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(table(spark, d, "corpus_files"), "file_id", "content").withColumnRenamed("id", "file_id")
+
+
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(table(spark, d, "corpus_files"), "file_id", "content", n=3, threshold=0.6, least_words=40)
 
@@ -21,5 +30,46 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups_of(*_near(spark, d)).withColumnRenamed("id", "file_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-ORACLE: dict[str, str] = {}
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", packing.byte_tokens("text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select(F.col("id").alias("doc_id"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item the affected documents and the longest run of its words."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.max("item_words").alias("item_words"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+}
+ORACLE = {
+    "p6_found": "SELECT doc_id FROM (SELECT doc_id, max(strlen(text)) + 1 AS tokens FROM documents GROUP BY doc_id) WHERE tokens > 4096",
+}
