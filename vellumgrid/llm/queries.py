@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import leakage, neardup, packing, splitting
+from vellumgrid.llm import leakage, neardup, packing, splitting, truncation
 from vellumgrid.runtime import table
 
 
@@ -59,6 +59,18 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.max("item_words").alias("item_words"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(truncation.truncated(table(spark, d, "documents")))
+
+
+def p8_endings(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -69,6 +81,9 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_endings": p8_endings,
 }
 ORACLE = {
     "p6_found": "SELECT doc_id FROM (SELECT doc_id, max(strlen(text)) + 1 AS tokens FROM documents GROUP BY doc_id) WHERE tokens > 4096",
