@@ -34,8 +34,8 @@ _BLOCK = 1 << 16
 CELL = 4096
 #: Postings of one task of the candidate join.
 TASK_POSTINGS = 1_500_000
-#: Classes of n-grams in the suffix filter's signature.
-SIGNATURE = 64
+#: Classes of n-grams in the suffix filter's signature, two to a byte.
+SIGNATURE = 128
 _EPS = 1e-9
 
 _PROFILE = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("prefix", pa.int64())])
@@ -52,8 +52,9 @@ def _class(grams: np.ndarray) -> int:
 
 
 def _signature(grams: np.ndarray) -> bytes:
-    """How many n-grams fall in each class, at most 255; clipping keeps differences lower bounds."""
-    return np.minimum(np.bincount((grams & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes()
+    """How many n-grams fall in each class, at most 15; clipping keeps differences lower bounds."""
+    n = np.minimum(np.bincount((grams & U(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 15).astype(np.uint8)
+    return (n[::2] | (n[1::2] << 4)).tobytes()
 
 
 def _profiler(n: int, least: int, t: float, log_counters: int):
@@ -197,7 +198,8 @@ def _suffix_filter(t: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE).astype(np.int16) for c in (4, 5)]
+            packed = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE // 2).astype(np.int16) for c in (4, 5)]
+            sig = [np.concatenate((x & 15, x >> 4), 1) for x in packed]
             size = b.column(6).to_numpy().astype(np.int64) + b.column(7).to_numpy()
             apart = np.abs(sig[0] - sig[1]).sum(1)
             keep = apart <= size - 2 * np.ceil(t / (1 + t) * size - _EPS)
