@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,14 +142,13 @@ def canonical_key(path: Column | str) -> Column:
     return F.lower(p)
 
 
-# Letters that are composed with a combining grave, acute, circumflex, tilde, diaeresis or cedilla.
-_MARKS = {"̀": "ÀÈÌÒÙàèìòù", "́": "ÁÉÍÓÚÝáéíóúý", "̂": "ÂÊÎÔÛâêîôû", "̃": "ÃÑÕãñõ", "̈": "ÄËÏÖÜäëïöüÿ", "̧": "Çç"}
-
-
-def _composed() -> list[tuple[str, str, str]]:
-    import unicodedata
-
-    return [(unicodedata.normalize("NFD", c)[0], mark, c) for mark, letters in _MARKS.items() for c in letters]
-
-
-COMPOSED = _composed()
+# Letters that are composed with a combining acute, grave, diaeresis, tilde, ring or cedilla.
+_MARKS = {
+    "\u0301": "áéíóúÁÉÍÓÚ",
+    "\u0300": "àèìòùÀÈÌÒÙ",
+    "\u0308": "äëïöüÄËÏÖÜ",
+    "\u0303": "ãñõÃÑÕ",
+    "\u030a": "åÅ",
+    "\u0327": "çÇ",
+}
+COMPOSED = [(unicodedata.normalize("NFD", c)[0], mark, c) for mark, letters in _MARKS.items() for c in letters]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,23 @@ def canonical_url(url: Column | str) -> Column:
     return F.when(head != "", F.concat(head, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
+def relevant_link(url: Column | str) -> Column:
+    """A valid URL of a page: a folder, a manifest, or a file with no or a text extension."""
+    path = F.lower(F.coalesce(F.try_parse_url(_c(url), F.lit("PATH")), F.lit("")))
+    ext = F.regexp_extract(path, r"(\.[^./]*)\z", 1)
+    return valid_url(url) & (path.endswith("/") | path.endswith("/llms.txt") | ext.isin("", ".md", ".markdown", ".html", ".htm", ".json"))
+
+
+def link_label(title: Column | str) -> Column:
+    """A title as the label of a Markdown link."""
+    return F.regexp_replace(_c(title), r"([\\\[\]])", r"\\$1")
+
+
+def link_target(path: Column | str) -> Column:
+    """A path as the destination of a Markdown link, percent-encoded where need be."""
+    return _quoted(_c(path))
+
+
 def publication_base(url: Column | str) -> Column:
     """The folder of a published file: everything up to the last slash."""
     return F.regexp_replace(canonical_url(url), r"[^/]*(?:\?[\s\S]*)?\z", "")
@@ -52,18 +70,32 @@ def in_scope(url: Column | str, base: Column | str) -> Column:
     return canonical_url(url).startswith(_c(base))
 
 
+# Networks that are not public.
+BLOCKED = """
+0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24
+192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4
+::/128 ::1/128 fc00::/7 fe80::/10 2001:db8::/32 2001:10::/28 64:ff9b::/96 64:ff9b:1::/48
+""".split()
+_NETWORKS = [ipaddress.ip_network(x) for x in BLOCKED]
+
+
+def public_address(text: str | None) -> bool | None:
+    """Whether an address may be reached from outside; what is no address is not public."""
+    if text is None:
+        return None
+    try:
+        a = ipaddress.ip_address(text)
+    except ValueError:
+        return False
+    a = getattr(a, "ipv4_mapped", None) or a
+    return not (a.is_multicast or any(a in n for n in _NETWORKS if n.version == a.version))
+
+
 @F.pandas_udf(T.BooleanType())
 def is_public_ip(ip: pd.Series) -> pd.Series:
-    """Whether an address may be reached from outside: no private, loopback, shared, reserved or documentation range."""
-
-    def one(x: str | None) -> bool | None:
-        if x is None:
-            return None
-        try:
-            a = ipaddress.ip_address(x)
-        except ValueError:
-            return False
-        a = getattr(a, "ipv4_mapped", None) or a
-        return a.is_global and not a.is_multicast
-
-    return ip.map(one)
+    return ip.map(public_address)
+
+
+@F.pandas_udf(T.StringType())
+def _quoted(path: pd.Series) -> pd.Series:
+    return path.map(lambda x: None if x is None else quote(x, safe="/$&+,:;=@~!*'"))

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.paths import basename, depth
+from vellumgrid.functions.text import heading_slug
 
 # The states a document may declare.
 STATES = ("draft", "stable", "deprecated")
 _RFC3339 = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
 _DATE = r"\A\d{4}-\d{2}-\d{2}\z"
 # Layouts of dates that are no ISO dates.
-DATE_LAYOUTS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MM/dd/yyyy", "yyyy/MM/dd")
+DATE_LAYOUTS = ("yyyy/MM/dd", "MM/dd/yyyy", "yyyy-M-d", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy")
 
 
 def _c(c: Column | str) -> Column:
@@ -60,9 +61,12 @@ def document_issues(parsed: DataFrame, *keep: str, types: Sequence[str] | None =
         issue(F.col("fm_error").isNotNull(), "error", "frontmatter cannot be read"),
         issue(~reserved & F.col("fm_error").isNull() & (kind.isNull() | (F.trim(kind) == "")), "error", "type is missing"),
         issue(~reserved & has("status") & ~F.coalesce(first("status").isin(*STATES), F.lit(False)), "error", "status is not in the vocabulary"),
-        issue(~reserved & has("sources") & (F.size("resources") == 0), "error", "sources without a resource"),
-        issue(~reserved & has("timestamp") & ~valid_timestamp(first("timestamp")), "warning", "timestamp is not valid"),
+        issue(~reserved & has("sources") & ~F.coalesce("sources_ok", F.lit(False)), "error", "sources is no list of mappings with a resource"),
+        issue(~reserved & has("generated") & ~F.coalesce("generated_ok", F.lit(False)), "error", "generated is no event"),
+        issue(~reserved & has("verified") & ~F.coalesce("verified_ok", F.lit(False)), "error", "verified is no event"),
+        issue(~reserved & has("timestamp") & ~F.coalesce(valid_timestamp(first("timestamp")), F.lit(False)), "error", "timestamp is not valid"),
         issue((base == "index.md") & F.exists("properties", lambda p: p["key"] != "okf_version"), "error", "index.md declares properties"),
+        issue((base == "index.md") & has("okf_version") & (F.trim(F.coalesce(first("okf_version"), F.lit(""))) == ""), "error", "okf_version is empty"),
         issue((base == "log.md") & (F.size("properties") > 0), "error", "log.md has frontmatter"),
         issue(depth("path") > max_depth, "warning", "path is too deep"),
         issue(F.col("path").contains(" "), "warning", "path holds a space"),
@@ -80,3 +84,24 @@ def link_gate(content: Column | str) -> Column:
         .when(c.rlike(r"(?i)<a\s[^>]*href"), "HTML link")
         .when(c.rlike(r"\[\[[^\]\n]+\]\]"), "wikilink")
     )
+
+
+def graph_issues(links: DataFrame, docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(bundle, path, level, rule, detail)`` of edges: targets that are missing, anchors that are no heading.
+
+    ``anchors(bundle, path, slug)``. Block references (``^``) are no headings; an
+    anchor is looked up only where its document is there.
+    """
+    known = docs.select("bundle", F.col("path").alias("target")).distinct()
+    lost = links.join(known, ["bundle", "target"], "left_anti").select("bundle", F.col("from_path").alias("path"), F.lit("warning").alias("level"), F.lit("broken link").alias("rule"), F.col("target").alias("detail"))
+    asked = links.where(F.col("anchor").isNotNull() & (F.col("anchor") != "") & ~F.col("anchor").startswith("^")).join(known, ["bundle", "target"], "left_semi")
+    there = anchors.select("bundle", F.col("path").alias("target"), F.col("slug").alias("_slug")).distinct()
+    bad = asked.withColumn("_slug", heading_slug("anchor")).join(there, ["bundle", "target", "_slug"], "left_anti")
+    return lost.unionByName(bad.select("bundle", F.col("from_path").alias("path"), F.lit("warning").alias("level"), F.lit("anchor not found").alias("rule"), F.concat("target", F.lit("#"), F.col("anchor")).alias("detail")))
+
+
+def version_issues(roots: DataFrame, want: str) -> DataFrame:
+    """``(keep..., rule)`` for root documents whose declared ``okf_version`` is absent or another than ``want``."""
+    got = F.get(property("okf_version"), 0)
+    rule = F.when(~F.exists("properties", lambda p: p["key"] == "okf_version"), "okf_version is missing").when(got.isNotNull() & (got != want), "okf_version is out of sync")
+    return roots.withColumn("rule", rule).where(F.col("rule").isNotNull())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,6 +162,24 @@ def _resources(v) -> list[str]:
     return [x if isinstance(x, str) else x["resource"] for x in v if isinstance(x, str) and x or isinstance(x, dict) and isinstance(x.get("resource"), str) and x["resource"]]
 
 
+_OFFSET_TIME = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\Z")
+
+
+def _text(v) -> str:
+    return v.strip() if isinstance(v, str) else ""
+
+
+def _event(v) -> bool:
+    """Who and when: ``by`` is not empty, ``at`` a timestamp with an offset."""
+    if not isinstance(v, dict) or not _text(v.get("by")) or not _OFFSET_TIME.match(_text(v.get("at"))):
+        return False
+    try:
+        datetime.fromisoformat(_text(v["at"]))
+        return True
+    except ValueError:
+        return False
+
+
 _S = T.StringType()
 _DECODED = T.StructType(
     [
@@ -167,6 +187,9 @@ _DECODED = T.StructType(
         T.StructField("error", _S),
         T.StructField("properties", T.ArrayType(T.StructType([T.StructField("key", _S), T.StructField("values", T.ArrayType(_S))]))),
         T.StructField("resources", T.ArrayType(_S)),
+        T.StructField("sources_ok", T.BooleanType()),
+        T.StructField("generated_ok", T.BooleanType()),
+        T.StructField("verified_ok", T.BooleanType()),
     ]
 )
 
@@ -177,21 +200,27 @@ def _decoded(blocks: pd.Series) -> pd.DataFrame:
     for b in blocks:
         text, error = decode_yaml(b)
         data = json.loads(text) if text else {}
-        out.append((text, error, [{"key": k, "values": _strings(v)} for k, v in data.items()], _resources(data.get("sources"))))
-    return pd.DataFrame(out, columns=["json", "error", "properties", "resources"])
+        properties = [{"key": k, "values": _strings(v)} for k, v in data.items()]
+        sources, verified = data.get("sources"), data.get("verified")
+        # a list without mappings, the empty one too, is a list of strings
+        sources_ok = isinstance(sources, list) and bool(sources) and all(isinstance(x, dict) and _text(x.get("resource")) for x in sources)
+        verified_ok = all(map(_event, verified)) if isinstance(verified, list) and verified else _event(verified)
+        out.append((text, error, properties, _resources(sources), sources_ok, _event(data.get("generated")), verified_ok))
+    return pd.DataFrame(out, columns=[f.name for f in _DECODED])
 
 
 def entries(df: DataFrame, content: str, *keep: str) -> DataFrame:
-    """``(keep..., fm, fm_error, properties, resources, body, fm_lines)``: the parsed documents.
+    """``(keep..., fm, fm_error, properties, resources, …_ok, body, fm_lines)``: the parsed documents.
 
     Only documents with a frontmatter block go through Python.
     """
     base = df.select(*keep, md.frontmatter(content).alias("_f"))
-    empty = F.struct(F.lit(None).cast("string"), F.lit(None).cast("string"), F.array(), F.array()).cast(_DECODED)
+    none = F.lit(None)
+    empty = F.struct(none.cast("string"), none.cast("string"), F.array(), F.array(), *[none.cast("boolean")] * 3).cast(_DECODED)
     plain = base.where(F.col("_f.block").isNull()).select("*", empty.alias("d"))
     rich = base.where(F.col("_f.block").isNotNull()).select("*", _decoded(F.col("_f.block")).alias("d"))
     both = plain.unionByName(rich.withColumn("d", F.col("d").cast(_DECODED)))
-    return both.select(*keep, F.col("d.json").alias("fm"), F.col("d.error").alias("fm_error"), F.coalesce("d.properties", F.array().cast("array<struct<key:string,values:array<string>>>")).alias("properties"), F.coalesce("d.resources", F.array().cast("array<string>")).alias("resources"), F.col("_f.body").alias("body"), F.col("_f.lines").alias("fm_lines"))
+    return both.select(*keep, F.col("d.json").alias("fm"), F.col("d.error").alias("fm_error"), F.coalesce("d.properties", F.array().cast("array<struct<key:string,values:array<string>>>")).alias("properties"), F.coalesce("d.resources", F.array().cast("array<string>")).alias("resources"), "d.sources_ok", "d.generated_ok", "d.verified_ok", F.col("_f.body").alias("body"), F.col("_f.lines").alias("fm_lines"))
 
 
 def fm_values(parsed: DataFrame, *keep: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,61 +14,91 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Source types by extension.
+# Source types and their extensions.
 EXTENSIONS = {
-    "code": ("c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "mjs", "php", "py", "rb", "rs", "scala", "sh", "swift", "ts", "tsx"),
-    "config": ("cfg", "conf", "ini", "json", "toml", "xml", "yaml", "yml"),
-    "data": ("csv", "parquet", "sql", "tsv"),
-    "markdown": ("markdown", "md", "mdx"),
-    "asset": ("gif", "ico", "jpeg", "jpg", "pdf", "png", "svg", "webp"),
+    "c": "c h",
+    "cpp": "cc cpp cxx hpp",
+    "csharp": "cs",
+    "css": "css",
+    "go": "go",
+    "graphql": "graphql",
+    "html": "html htm",
+    "java": "java",
+    "javascript": "js jsx mjs cjs",
+    "json": "json",
+    "kotlin": "kt",
+    "markdown": "md markdown",
+    "php": "php",
+    "protobuf": "proto",
+    "python": "py",
+    "ruby": "rb",
+    "rust": "rs",
+    "scss": "scss",
+    "shell": "sh bash zsh fish",
+    "sql": "sql",
+    "svelte": "svelte",
+    "swift": "swift",
+    "toml": "toml",
+    "typescript": "ts tsx",
+    "vue": "vue",
+    "xml": "xml",
+    "yaml": "yaml yml",
+}
+# Source types by whole name.
+FILE_NAMES = {"dockerfile": "Dockerfile Containerfile", "make": "Makefile GNUmakefile", "ignore": ".gitignore"}
+# Folders of dependencies and caches anywhere, of builds at the root.
+DEPENDENCY_FOLDERS = (".git", "node_modules", "vendor", ".cache", ".next", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox")
+BUILD_FOLDERS = ("target", "build", "dist", "out", "bin", "obj", "coverage")
+# Names and suffixes of credential files, and the reason each gives.
+SECRET_NAMES = {
+    "environment_credentials": (".env", ".envrc"),
+    "credential_filename": (".netrc", ".npmrc", ".pypirc", ".pgpass", ".git-credentials", ".htpasswd", "credentials", "credentials.json", "service-account.json", "serviceaccount.json"),
+    "private_key_filename": ("id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"),
 }
-# Folders of dependencies anywhere, of builds at the root.
-DEPENDENCY_FOLDERS = ("node_modules", "vendor", ".venv", "venv", "__pycache__", "site-packages", "bower_components")
-BUILD_FOLDERS = ("build", "dist", "out", "target", "bin", "obj")
-# Names of credential files.
-ENV_SAMPLES = (".env.example", ".env.sample", ".env.template")
-CREDENTIALS = ("credentials", "credentials.json", "secrets.json", "secrets.yaml", "secrets.yml", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519")
-KEY_SUFFIXES = (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore")
-# Private key blocks.
-KEY_BLOCKS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY")
-
-
-def source_type(path: Column | str) -> Column:
-    """The kind of a file by its extension, else ``other``."""
-    ext = F.lower(F.regexp_extract(basename(path), r"\.([^.]+)\z", 1))
-    out = None
-    for kind, names in EXTENSIONS.items():
-        out = (F if out is None else out).when(ext.isin(*names), kind)
-    return out.otherwise("other")
-
-
-def pruned(path: Column | str) -> Column:
+SAMPLE_SUFFIXES = (".example", ".sample", ".template", ".defaults")
+CONTAINER_SUFFIXES = (".key", ".p12", ".pfx", ".jks", ".keystore", ".ppk")
+# Kinds of private key blocks.
+KEY_BLOCKS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def source_type(path: Column | str, ignore_files: tuple[str, ...] = ()) -> Column:
+    """The kind of a file by its name or extension, else ``other``."""
+    name = basename(path)
+    ext = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
+    whole = {k: v.split() for k, v in FILE_NAMES.items()}
+    whole["ignore"] += ignore_files
+    cases = [(name.isin(*v), k) for k, v in whole.items()] + [(ext.isin(*v.split()), k) for k, v in EXTENSIONS.items()]
+    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0])).otherwise("other")
+
+
+def pruned(path: Column | str, own_folders: tuple[str, ...] = ()) -> Column:
     """Whether a file lies in a dependency folder (anywhere) or a build folder (at the root)."""
     folders = F.split(F.regexp_replace(F.regexp_replace(_c(path), r"\A/+", ""), r"/?[^/]*\z", ""), "/")
-    return F.arrays_overlap(folders, F.array(*map(F.lit, DEPENDENCY_FOLDERS))) | F.coalesce(F.get(folders, 0).isin(*BUILD_FOLDERS), F.lit(False))
+    return F.arrays_overlap(folders, F.array(*map(F.lit, DEPENDENCY_FOLDERS + tuple(own_folders)))) | F.coalesce(F.get(folders, 0).isin(*BUILD_FOLDERS), F.lit(False))
 
 
 def secret_name(path: Column | str) -> Column:
-    """Why a file's name suggests credentials, or NULL."""
-    name = F.lower(basename(path))
-    suffix = F.lit(False)
-    for s in KEY_SUFFIXES:
-        suffix = suffix | name.endswith(s)
-    return (
-        F.when(name == ".env", "environment_credentials")
-        .when(name.isin(*CREDENTIALS), "credential_filename")
-        .when(name.isin(*ENV_SAMPLES), None)
-        .when(name.startswith(".env."), "environment_credentials")
-        .when(suffix, "private_key_filename")
-    )
+    """Why a file's name suggests credentials, or NULL; samples of environment files are none."""
+    name = F.translate(basename(path), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    exact = [(name.isin(*names), F.lit(reason)) for reason, names in SECRET_NAMES.items()]
+    env = name.startswith(".env.") & (F.length(name) > 5)
+    rest = [
+        (env & _any([name.endswith(x) for x in SAMPLE_SUFFIXES]), F.lit(None).cast("string")),
+        (env, F.lit("environment_credentials")),
+        (_any([name.endswith(x) for x in CONTAINER_SUFFIXES]), F.lit("private_key_container")),
+    ]
+    cases = exact + rest
+    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0]))
 
 
 def secret_content(content: Column | str) -> Column:
     """``private_key_block`` if the text holds a complete private key."""
-    hit = F.lit(False)
-    for kind in KEY_BLOCKS:
-        hit = hit | (_c(content).contains(f"-----BEGIN {kind}-----") & _c(content).contains(f"-----END {kind}-----"))
-    return F.when(hit, "private_key_block")
+    whole = [_c(content).contains(f"-----BEGIN {kind}-----") & _c(content).contains(f"-----END {kind}-----") for kind in KEY_BLOCKS]
+    return F.when(_any(whole), "private_key_block")
 
 
 def is_binary(data: Column | str) -> Column:
@@ -107,19 +139,20 @@ def affected(resources: DataFrame, source: str) -> DataFrame:
 
 
 #: Health signals in the order they are reported.
-SIGNALS = ("source_changed", "source_missing", "source_not_in_baseline", "missing_sources", "orphan", "unreachable")
+SIGNALS = ("missing_sources", "source_missing", "source_not_in_baseline", "source_changed", "orphan", "unreachable")
 
 
 def health(docs: DataFrame, resources: DataFrame, base: DataFrame, now: DataFrame, orphan: DataFrame, unreach: DataFrame, *key: str) -> DataFrame:
     """``(key..., path, signal, source)``: what needs attention.
 
-    ``docs(key..., path)``, ``resources(key..., path, resource)``; ``base`` and
-    ``now`` are inventories ``(key..., path, sha256)``. Unreachable documents that
-    are orphans count as orphans only; ``/index.md`` needs no sources.
+    ``docs(key..., path)``, ``resources(key..., path, resource)`` with NULL for one
+    outside the project; ``base`` and ``now`` are inventories ``(key..., path,
+    sha256)``. Unreachable documents that are orphans count as orphans only;
+    ``/index.md`` needs no sources.
     """
     k = list(key)
     b, n = (d.select(*k, F.col("path").alias("resource"), F.col("sha256").alias(x), F.lit(True).alias(f"in_{x}")) for d, x in ((base, "b"), (now, "n")))
-    r = resources.select(*k, "path", "resource").distinct().join(b, k + ["resource"], "left").join(n, k + ["resource"], "left")
+    r = resources.where(F.col("resource").isNotNull()).select(*k, "path", "resource").distinct().join(b, k + ["resource"], "left").join(n, k + ["resource"], "left")
     signal = (
         F.when(F.col("in_n").isNull(), "source_missing")
         .when(F.col("in_b").isNull(), "source_not_in_baseline")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -52,51 +53,51 @@ def wikilink_plan(resolved: DataFrame) -> DataFrame:
 
 # --- one document at a time: pure functions, usable in a pandas UDF ---------------------------------------------
 
-_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*\Z")
-_PLAIN = re.compile(r"[A-Za-z0-9_./+ -]*[A-Za-z0-9_./+-]\Z")
-_WORDS = {"true", "false", "yes", "no", "on", "off", "null", "~"}
+# Words and characters that YAML reads as something else.
+_WORDS = {"true", "false", "null", "yes", "no", "on", "off", "~"}
+_RISKY = set(":#[]{},&*!|>'\"%@`\n\r\t")
 
 
 def needs_quotes(value: str) -> bool:
-    """Whether YAML would read the plain value as anything but this string."""
-    if value == "" or value != value.strip() or value.lower() in _WORDS:
-        return True
-    if value[0] in "-?:,[]{}#&*!|>'\"%@`" or ": " in value or " #" in value or value.endswith(":") or "\n" in value:
+    """Whether the bare value might be read as anything but this string."""
+    if not value or value != value.strip() or value[0] in "-?" or value.lower() in _WORDS or not _RISKY.isdisjoint(value):
         return True
     try:
-        float(value.replace("_", ""))
-        return True
+        float(value)
     except ValueError:
-        return not _PLAIN.match(value) and any(ord(c) < 32 for c in value)
+        return False
+    return True
 
 
-def _spell(value: str) -> str:
-    return '"' + value.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"' if needs_quotes(value) else value
+def _spell(value: str, like: str = "") -> str:
+    if needs_quotes(value):
+        return json.dumps(value, ensure_ascii=False)
+    quoted = re.fullmatch(r"\s*(['\"]).*\1\s*", like)
+    return f"{quoted[1]}{value}{quoted[1]}" if quoted else value
 
 
 def set_field(content: str, key: str, value: str | list[str] | None) -> str:
-    """``content`` with the frontmatter key set (NULL: removed), all other lines as they are."""
-    if not _KEY.match(key):
-        raise ValueError(f"not a property name: {key}")
-    eol = "\r\n" if content.startswith("---\r\n") else "\n"
+    """``content`` with the frontmatter key set (NULL: removed), all other lines as they are.
+
+    A value keeps the quotes its line had. Keys that are empty, begin with an
+    underscore or hold a colon or line end are refused.
+    """
+    if not key.strip() or key.startswith("_") or any(c in key for c in ":\r\n"):
+        raise ValueError(f"not a property name: {key!r}")
+    end_of_line = "\r\n" if content.startswith("---\r\n") else "\n"
     lines = content.split("\n")
-    if lines[0].rstrip("\r") == "---" and (end := next((i for i in range(1, len(lines)) if lines[i].rstrip("\r") == "---"), None)):
-        block, rest = lines[1:end], lines[end:]
-    else:
-        if value is None:
-            return content
-        block, rest = [], ["---" + eol[:-1], *lines]
-    new = [] if value is None else [f"{key}: {_spell(value)}"] if isinstance(value, str) else [f"{key}:", *(f"  - {_spell(v)}" for v in value)]
-    new = [x + eol[:-1] for x in new]
-    at = next((i for i, x in enumerate(block) if re.match(rf"{re.escape(key)}\s*:", x)), None)
-    if at is None:
-        block += new
-    else:
-        stop = at + 1
-        while stop < len(block) and (block[stop].startswith((" ", "\t", "- ")) or not block[stop].strip()):
-            stop += 1
-        block[at:stop] = new
-    return "\n".join(["---" + eol[:-1], *block, *rest])
+    close = next((i for i in range(1, len(lines)) if lines[i].rstrip("\r") == "---"), None) if lines[0].rstrip("\r") == "---" else None
+    if close is None and value is None:
+        return content
+    block, rest = (lines[1:close], lines[close:]) if close is not None else ([], ["---" + end_of_line[:-1], *lines])
+    at = next((i for i, x in enumerate(block) if re.match(rf"{re.escape(key)}\s*:", x)), len(block))
+    stop = at + 1
+    while stop < len(block) and (block[stop][:1] in (" ", "\t") or block[stop].startswith("- ") or not block[stop].strip()):
+        stop += 1
+    old = block[at].partition(":")[2] if at < len(block) else ""
+    new = [] if value is None else [f"{key}: {_spell(value, old)}"] if isinstance(value, str) else [f"{key}:", *(f"  - {_spell(v)}" for v in value)]
+    block[at:stop] = [x + end_of_line[:-1] for x in new]
+    return "\n".join(["---" + end_of_line[:-1], *block, *rest])
 
 
 def set_checkbox(content: str, line_no: int, done: bool) -> str:

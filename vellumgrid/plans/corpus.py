@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import markdown as md
 from vellumgrid.functions import paths, text, urls
-from vellumgrid.operators import checks, graph, multivalue, parse, provenance, rewrite, search, snapshots
+from vellumgrid.operators import checks, graph, multivalue, parse, provenance, references, rewrite, search, snapshots
 from vellumgrid.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,10 +392,9 @@ def graph_manifest(s, d):
 # --- provenance ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT lower(regexp_extract(path, '\\.([^.]+)$', 1)) AS ext, count(*) AS n FROM inventory_snapshots WHERE lower(regexp_extract(path, '\\.([^.]+)$', 1)) IN ('go', 'py', 'ts') GROUP BY 1")
+@query("SELECT coalesce(map {'go': 'go', 'py': 'python', 'ts': 'typescript', 'sql': 'sql', 'md': 'markdown', 'json': 'json', 'toml': 'toml'}[regexp_extract(path, '\\.([^.]+)$', 1)], 'other') AS type, count(*) AS n FROM inventory_snapshots GROUP BY 1")
 def source_types(s, d):
-    t = table(s, d, "inventory_snapshots").where(provenance.source_type("path") == "code")
-    return t.groupBy(F.lower(F.regexp_extract("path", r"\.([^.]+)\z", 1)).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return table(s, d, "inventory_snapshots").groupBy(provenance.source_type(snapshots.canonical_path("path")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT file_id, strlen(content)::BIGINT AS bytes, sha256(content) AS sha256, 'markdown' AS type FROM corpus_files WHERE content IS NOT NULL")
@@ -448,15 +447,15 @@ def ledger_plan(s, d):
 def _resources(s, d):
     p = parsed(s, d)
     rows = p.select("file_id", "bundle", "path", F.explode("resources").alias("r"))
-    return rows.select("file_id", "bundle", "path", paths.canonical_resource("path", "r").alias("resource")).where(F.col("resource").isNotNull())
+    return rows.select("file_id", "bundle", "path", paths.canonical_resource("path", "r").alias("resource"))
 
 
 @query()
 def resources_resolved(s, d):
-    return _resources(s, d).select("file_id", "resource").distinct()
+    return _resources(s, d).where(F.col("resource").isNotNull()).select("file_id", "resource").distinct()
 
 
-@query(f"WITH {_FM}, {_LINKS}, own AS (SELECT bundle, path FROM docs), res AS (SELECT DISTINCT b.bundle, b.path FROM blocks b JOIN corpus_files c ON c.file_id = b.file_id WHERE contains(block, 'resource:') AND NOT (regexp_matches(b.path, '^/[^/]*$') AND regexp_matches(block, 'resource: *[.][.]/'))), bare AS (SELECT DISTINCT bundle, path FROM own WHERE path <> '/index.md' AND (bundle, path) NOT IN (SELECT (bundle, path) FROM res)), lone AS (SELECT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND NOT EXISTS (SELECT 1 FROM l WHERE docs.bundle = l.bundle AND docs.path = l.target)) SELECT 'missing_sources' AS signal, count(*) AS n FROM bare UNION ALL SELECT 'orphan', count(*) FROM lone")
+@query(f"WITH {_FM}, {_LINKS}, own AS (SELECT bundle, path FROM docs), res AS (SELECT DISTINCT b.bundle, b.path FROM blocks b JOIN corpus_files c ON c.file_id = b.file_id WHERE contains(block, 'resource:')), bare AS (SELECT DISTINCT bundle, path FROM own WHERE path <> '/index.md' AND (bundle, path) NOT IN (SELECT (bundle, path) FROM res)), lone AS (SELECT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND NOT EXISTS (SELECT 1 FROM l WHERE docs.bundle = l.bundle AND docs.path = l.target)) SELECT 'missing_sources' AS signal, count(*) AS n FROM bare UNION ALL SELECT 'orphan', count(*) FROM lone")
 def health_summary(s, d):
     """Signals that the tables can give; sources are documents' resources, both inventories empty of them."""
     docs = live(s, d).select("bundle", "path").distinct()
@@ -507,6 +506,12 @@ def dated_headings(s, d):
     return rows.select("heading_id", (checks.valid_timestamp("heading_text") & ~checks.odd_date("heading_text")).alias("dated"))
 
 
+@query(f"WITH {_LINKS}, s AS (SELECT DISTINCT k.bundle, k.path, n.slug FROM docs k JOIN (SELECT file_id, CASE WHEN i = 0 THEN slug ELSE slug || '-' || i END AS slug FROM (SELECT file_id, slug, row_number() OVER (PARTITION BY file_id, slug ORDER BY ord, heading_id) - 1 AS i FROM (SELECT DISTINCT heading_id, file_id, ord, regexp_replace(replace(lower(heading_text), ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS slug FROM headings))) n USING (file_id)), c AS (SELECT *, regexp_replace(replace(lower(anchor), ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '', 'g') AS want, EXISTS (SELECT 1 FROM docs WHERE docs.bundle = l.bundle AND docs.path = l.target) AS there FROM l) SELECT bundle, from_path AS path, 'warning' AS level, 'broken link' AS rule, target AS detail FROM c WHERE NOT there UNION ALL SELECT bundle, from_path, 'warning', 'anchor not found', target || '#' || anchor FROM c WHERE there AND anchor <> '' AND NOT starts_with(anchor, '^') AND NOT EXISTS (SELECT 1 FROM s WHERE s.bundle = c.bundle AND s.path = c.target AND s.slug = c.want)")
+def check_links(s, d):
+    at = references.heading_anchors(table(s, d, "headings")).join(live(s, d).select("file_id", "bundle", "path"), "file_id").select("bundle", "path", "slug")
+    return checks.graph_issues(links(s, d), live(s, d), at)
+
+
 # --- rewrites ---------------------------------------------------------------------------------------------------------------
 
 
