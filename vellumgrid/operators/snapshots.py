@@ -29,7 +29,8 @@ def snapshot_changes(
     exchange on ``(group, key)``, so that no group, however large, is one task.
 
     * A snapshot that holds a key more than once counts its latest arrival
-      (NULL arrivals count as earliest, ties take the greatest digest).
+      (NULL arrivals count as earliest; ties take the greatest digest, one that is
+      not hexadecimal before all others).
     * ``index`` values a group lacks are no snapshots; its first one gives no rows.
     * Rows whose group, index or key is NULL belong to no snapshot and are left out.
     * A NULL digest is a value of its own: NULL to NULL is no change.
@@ -42,7 +43,7 @@ def snapshot_changes(
         F.col(index).cast("long").alias("_n"),
         key.alias("_k"),
         # 32 bytes instead of 64 characters where the digest is hexadecimal
-        F.coalesce(F.unhex(F.when(digest.rlike(r"\A(?:[0-9A-Fa-f]{2})+\z"), digest)), F.encode(F.concat(F.lit("~"), F.lower(digest)), "UTF-8")).alias("_d"),
+        F.coalesce(F.unhex(F.when(digest.rlike(r"\A(?:[0-9A-Fa-f]{2})+\z"), digest)), F.concat(F.lit(b"\xff"), F.encode(F.lower(digest), "UTF-8"))).alias("_d"),
         F.col(arrival).alias("_t"),
     ).where(F.col("_g").isNotNull() & F.col("_n").isNotNull() & F.col("_k").isNotNull())
 
