@@ -228,20 +228,25 @@ def longer_copies(tails: DataFrame, texts: DataFrame) -> DataFrame:
     the same text ask once.
     """
     asks = tails.where((F.col("top") >= 0) & (F.col("verdict") != FINISHED)).select("doc_id", "top", F.element_at("levels", F.col("top") + 1).alias("h"), "body", "body_hash")
-    distinct = asks.select("top", "h", "body", "body_hash").distinct()
+    # the lengths asked for under a prefix: at most as many as its level has, however many values ask
+    lengths = asks.groupBy("top", "h").agg(F.collect_set("body").alias("asked"))
     offers = tails.select(F.col("doc_id").alias("other"), F.col("body").alias("longer"), "whole", F.posexplode("levels").alias("top", "h"))
-    offers = offers.groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))
-    met = materialise(distinct.join(offers, ["top", "h"]).where(F.col("longer") > F.col("body")).select("other", "body", "body_hash").distinct(), "met")
-    wanted = met.select("other").distinct()
-    long = texts.select(F.col("doc_id").alias("other"), "text").join(wanted, "other", "left_semi").dropDuplicates(["other"])
-    true = met.join(long, "other").select("body", "body_hash", F.expr("left(text, cast(body as int))").alias("start"))
-    return asks.join(true.mapInArrow(_same, "body long, body_hash long").distinct(), ["body", "body_hash"], "left_semi").select("doc_id").distinct()
+    offers = offers.groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))  # copies offer once
+    met = offers.join(lengths, ["top", "h"]).select("other", F.filter("asked", lambda n: n < F.col("longer")).alias("asked")).where(F.size("asked") > 0)
+    met = met.select("other", F.explode("asked").alias("n")).groupBy("other").agg(F.collect_set("n").alias("asked"))
+    long = texts.join(met, texts.doc_id == met.other).select("text", "asked")
+    starts = long.mapInArrow(_starts, "body long, body_hash long").distinct()
+    return asks.join(starts, ["body", "body_hash"], "left_semi").select("doc_id").distinct()
 
 
-def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of each text's beginnings of the asked lengths."""
     for b in batches:
-        keep = [_h(x.as_py().encode("utf-8", "replace")) == h for x, h in zip(b.column(2), b.column(1).to_pylist())]
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        n, h = [], []
+        for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n += asked
+            h += [_h(text[:k].encode("utf-8", "replace")) for k in asked]
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64())], names=["body", "body_hash"])
 
 
 def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
