@@ -9,7 +9,7 @@ from vellumgrid.functions.text import heading_slug
 from vellumgrid.runtime import broadcast_if_small, materialise
 
 #: A key is heavy when it holds more than this share of all references, so there are at most 1/share heavy keys.
-HEAVY_SHARE = 1 / 2048
+HEAVY_SHARE = 1 / 1000
 
 
 def reference_counts(refs: DataFrame, key: list[str], period: list[str]) -> DataFrame:
@@ -31,7 +31,10 @@ def split_join(refs: DataFrame, records: DataFrame, key: list[str], share: float
     heavy keys (bounded, and measured besides) are broadcast; the remaining keys
     are joined by shuffle; both parts are united.
     """
+    refs = materialise(refs, "refs")  # read for the counts and for either part
     heavy = materialise(heavy_keys(reference_counts(refs, key, []), key, share), "heavy")
+    if heavy.isEmpty():
+        return refs.join(records, key, how)
     few = F.broadcast(heavy)  # at most 1/share rows
     marked = refs.join(few.withColumn("_heavy", F.lit(True)), key, "left")
     hot = marked.where(F.col("_heavy")).drop("_heavy")
@@ -77,7 +80,7 @@ def orphan_links(links: DataFrame, files: DataFrame, headings: DataFrame) -> Dat
         F.coalesce("lives", F.array().cast(lives.schema["lives"].dataType)),
         lambda r: (r["created_at"] <= F.col("seen_at")) & (r["deleted_at"].isNull() | (r["deleted_at"] > F.col("seen_at"))),
     )
-    found = found.select("link_id", "bundle", "seen_at", "anchor", F.transform(alive, lambda r: r["file_id"]).alias("file_ids"))
+    found = materialise(found.select("link_id", "bundle", "seen_at", "anchor", F.transform(alive, lambda r: r["file_id"]).alias("file_ids")), "found")
     missing = found.where(F.size("file_ids") == 0).select("link_id", "bundle", "seen_at", F.lit("target").alias("reason"))
 
     anchored = found.where((F.size("file_ids") > 0) & F.col("anchor").isNotNull() & ~F.col("anchor").startswith("^"))
