@@ -112,10 +112,9 @@ def resolve_wikilinks(wiki: DataFrame, docs: DataFrame, aliases: DataFrame | Non
     """
     file_name = F.when(F.col("name").endswith(".md"), F.col("name")).otherwise(F.concat("name", F.lit(".md")))
     w = wiki.withColumn("_full", F.when(F.col("name").contains("/"), F.concat(F.lit("/"), F.regexp_replace(file_name, r"\A/+", "")))).withColumn("_base", F.when(~F.col("name").contains("/"), file_name))
-    known = docs.select("bundle", F.col("path").alias("_exact")).distinct()
-    w = w.join(known, (w.bundle == known.bundle) & (w._full == known._exact), "left").drop(known.bundle)
-    named = docs.select(F.col("bundle").alias("_b"), F.col("path").alias("_path"), basename("path").alias("_name")).distinct()
-    found = w.join(named, (w.bundle == named._b) & (w._base == named._name), "left")
+    known = docs.select("bundle", F.col("path").alias("_full"), F.col("path").alias("_exact")).distinct()
+    named = docs.select("bundle", basename("path").alias("_base"), F.col("path").alias("_path")).distinct()
+    found = w.join(known, ["bundle", "_full"], "left").join(named, ["bundle", "_base"], "left")
     best = F.min(F.struct(depth("_path").alias("d"), F.when(dirname("_path") == dirname("from_path"), 0).otherwise(1).alias("s"), F.col("_path").alias("p")))
     picked = found.groupBy("bundle", "from_path", "wiki_id", "name", "_exact").agg(F.when(F.count("_path") > 0, best).alias("_best"))
     if aliases is not None:
