@@ -18,3 +18,17 @@ def heading_slug(text: Column | str) -> Column:
 def strip(text: Column | str) -> Column:
     """Trim every Unicode blank, not only U+0020."""
     return F.regexp_replace(_c(text), r"\A[\s\u0085\p{Z}]+|[\s\u0085\p{Z}]+\z", "")
+
+
+def landing_slug(name: Column | str) -> Column:
+    """A name as one URL segment: lower case, every run of other characters than letters and digits one hyphen."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(strip(name)), r"[^\p{L}\p{Nd}]+", "-"), r"\A-+|-+\z", "")
+    return F.when(slug == "", "corpus").otherwise(slug)
+
+
+def version_key(version: Column | str) -> Column:
+    """``(major, minor, patch)`` of a semantic version, comparable; NULL if it is none. A leading ``v`` and what follows the patch are passed over."""
+    v = F.regexp_replace(_c(version), r"\Av", "")
+    ok = v.rlike(r"\A\d{1,9}\.\d{1,9}\.\d{1,9}(?:[-+].*)?\z")
+    part = lambda i: F.regexp_extract(v, r"\A(\d+)\.(\d+)\.(\d+)", i).try_cast("int")
+    return F.when(ok, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))

@@ -130,3 +130,15 @@ def graph_rows(docs: DataFrame, links: DataFrame, title: Column | None = None) -
     out = links.join(docs.select("bundle", F.col("path").alias("target")), ["bundle", "target"], "left_semi").groupBy("bundle", F.col("from_path").alias("path")).agg(F.array_sort(F.collect_set("target")).alias("links"))
     rows = docs.select("bundle", "path", (title if title is not None else F.lit(None).cast("string")).alias("title"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"), "entry_type")
     return rows.join(out, ["bundle", "path"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+
+
+def set_difference(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """``(key..., side)``: what only one of two sets of keys has; empty if they are equal."""
+    a, b = left.select(*key).distinct(), right.select(*key).distinct()
+    return a.join(b, list(key), "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, list(key), "left_anti").withColumn("side", F.lit("right")))
+
+
+def path_labels(docs: DataFrame, rules: dict[str, Sequence[str]], *keep: str) -> DataFrame:
+    """``(keep..., label)`` of the labels one of whose globs matches the path; the patterns are literals, so nothing is joined."""
+    labels = [F.when(reduce(lambda a, b: a | b, [matches_glob("path", g) for g in globs]), F.lit(label)) for label, globs in rules.items()]
+    return docs.select(*keep, F.explode(F.filter(F.array(*labels), lambda x: x.isNotNull())).alias("label"))

@@ -542,3 +542,40 @@ def tidy_wikilinks(s, d):
 @query("SELECT file_id, lower(regexp_replace(replace(lower(title), ' ', '-'), '[^\\p{L}\\p{N}_-]', '', 'g')) AS slug FROM (SELECT DISTINCT file_id, title FROM entries WHERE title IS NOT NULL)")
 def title_slugs(s, d):
     return table(s, d, "entries").where(F.col("title").isNotNull()).select("file_id", "title").distinct().select("file_id", text.heading_slug("title").alias("slug"))
+
+
+# --- further functions ------------------------------------------------------------------------------------------------------
+
+_VERSION = "(string_split(cli_version, '.')[1]::INT * 1000000 + string_split(cli_version, '.')[2]::INT * 1000 + string_split(cli_version, '.')[3]::INT)"
+
+
+@query(f"SELECT command_name, arg_max(cli_version, {_VERSION}) AS last_version, count(DISTINCT cli_version) AS n_versions FROM help_commands GROUP BY 1")
+def command_versions(s, d):
+    return table(s, d, "help_commands").groupBy("command_name").agg(F.max_by("cli_version", text.version_key("cli_version")).alias("last_version"), F.count_distinct("cli_version").alias("n_versions"))
+
+
+@query("SELECT file_id, CASE WHEN slug = '' THEN 'corpus' ELSE slug END AS slug FROM (SELECT DISTINCT file_id, trim(regexp_replace(lower(title), '[^\\p{L}\\p{Nd}]+', '-', 'g'), '-') AS slug FROM entries WHERE title IS NOT NULL)")
+def landing_slugs(s, d):
+    return table(s, d, "entries").where(F.col("title").isNotNull()).select("file_id", text.landing_slug("title").alias("slug")).distinct()
+
+
+@query("SELECT bundle, count(*) FILTER (regexp_matches(sha256, '^[0-9a-f]{64}$')) AS n_valid, count(*) AS n_rows FROM graph_files GROUP BY 1")
+def hash_syntax(s, d):
+    return table(s, d, "graph_files").groupBy("bundle").agg(F.count_if(provenance.valid_hash("sha256")).alias("n_valid"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("SELECT file_id, length(content)::BIGINT AS units FROM corpus_files WHERE content IS NOT NULL")
+def utf16_lengths(s, d):
+    """The texts hold no character beyond the basic plane, so UTF-16 units are code points."""
+    return files(s, d).where(F.col("content").isNotNull()).select("file_id", provenance.utf16_length("content").cast("long").alias("units"))
+
+
+@query(f"WITH n AS ({_BUILD.format(f='max')}), c AS (SELECT DISTINCT bundle, path FROM corpus_files WHERE deleted_at IS NULL) SELECT c.bundle, c.path, 'left' AS side FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.bundle = c.bundle AND n.path = c.path) UNION ALL SELECT n.bundle, n.path, 'right' FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE n.bundle = c.bundle AND n.path = c.path)")
+def index_equality(s, d):
+    return graph.set_difference(live(s, d), build(s, d, "last"), "bundle", "path")
+
+
+@query("SELECT file_id, 'guide' AS label FROM corpus_files WHERE regexp_matches(path, '^/guides(/.*)?$') UNION ALL SELECT file_id, 'entry' FROM corpus_files WHERE regexp_matches(path, '(^|/)(index|log)\\.md$') UNION ALL SELECT file_id, 'numbered' FROM corpus_files WHERE regexp_matches(path, '[0-9]\\.md$')")
+def path_labels(s, d):
+    rules = {"guide": ["guides/**"], "entry": ["**/index.md", "**/log.md"], "numbered": ["**/*[0-9].md"]}
+    return graph.path_labels(files(s, d), rules, "file_id")
