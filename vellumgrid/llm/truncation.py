@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.words import U, chunks, mix
-from vellumgrid.runtime import materialise
+from vellumgrid.runtime import broadcast_if_small, materialise
 
 # What senders put in place of the rest, or after the end of a page.
 STANDINS = ("more", "page break", "truncated", "continued", "cut", "snip", "read more", "...", "…")
@@ -234,7 +234,8 @@ def longer_copies(tails: DataFrame, texts: DataFrame) -> DataFrame:
     offers = offers.groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))  # copies offer once
     met = offers.join(lengths, ["top", "h"]).select("other", F.filter("asked", lambda n: n < F.col("longer")).alias("asked")).where(F.size("asked") > 0)
     met = met.select("other", F.explode("asked").alias("n")).groupBy("other").agg(F.collect_set("n").alias("asked"))
-    long = texts.join(met, texts.doc_id == met.other).select("text", "asked")
+    met = materialise(met, "met")
+    long = texts.join(broadcast_if_small(met), F.col("doc_id") == F.col("other")).select("text", "asked")
     starts = long.mapInArrow(_starts, "body long, body_hash long").distinct()
     return asks.join(starts, ["body", "body_hash"], "left_semi").select("doc_id").distinct()
 
