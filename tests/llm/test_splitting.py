@@ -23,7 +23,7 @@ def brute(text):
 
 
 def document(rnd):
-    parts = ["# A\n", "## Bé b\n", "####### no\n", "#no\n", "```sh\n", "  ~~~\n", "text é. More text! And more\n", "\n", "---\n", "--- \n", "---x\n", "line\r\n", "# C\r\n", "\t```\n", "中文。" * 5 + "\n", "word " * 30, "  \n", "#", "# ", "`" * 2]
+    parts = ["# A\n", "## Bé b\n", "####### no\n", "#no\n", "```sh\n", "  ~~~\n", "text é. More text! And more\n", "\n", "---\n", "--- \n", "---x\n", "line\r\n", "# C\r\n", "\t```\n", "中文。" * 5 + "\n", "word " * 30, "  \n", "#", "# ", "`" * 2, "#\u00a0wide\n", "\u3000\u00a0\u2003```\n", "\u2028"]
     head = rnd.choice(["", "---\n", "---\r\n", "# T\n", "---\na: 1\n# c\n---\n"])
     return head + "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40)))
 

@@ -26,7 +26,9 @@ LIMIT = 4000
 OVERLAP = 200
 RANGE_BYTES = 4 << 20
 
-_LINE = re.compile(rb"^(?:(#{1,6})(?=\s)|[ \t\r\f\v]*(`{3}|~{3})|(---)[ \t\r]*$)", re.M)
+# White space beyond ASCII, in UTF-8.
+_WIDE = rb"\x1c|\x1d|\x1e|\x1f|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+_LINE = re.compile(rb"^(?:(#{1,6})(?=\s|" + _WIDE + rb")|(?:[ \t\r\f\v]|" + _WIDE + rb")*(`{3}|~{3})|(---)[ \t\r]*$)", re.M)
 _SENTENCE = re.compile(r"[.!?…][\"”’')\]*_]*\s+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _BLANK = re.compile(r"\s+")
@@ -68,7 +70,7 @@ def _halo(text: bytes, hi: int) -> int:
     """Where reading may stop so that the last line that starts before ``hi`` can be told: past its first visible characters."""
     start = text.rfind(b"\n", 0, hi) + 1
     at = max(start, 0)
-    while at < len(text) and text[at] in b" \t\r\f\v":
+    while at < len(text) and (text[at] in b" \t\r\f\v" or text[at] >= 0x80 or 0x1C <= text[at] <= 0x1F):  # wide blanks too
         at += 1
     end = max(hi, at + 8)
     if text[start : start + 3] == b"---":  # the rest of a rule must be blank
