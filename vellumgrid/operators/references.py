@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.text import heading_slug
@@ -17,11 +19,11 @@ def reference_counts(refs: DataFrame, key: list[str], period: list[str]) -> Data
     return refs.groupBy(*key, *period).agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-def heavy_keys(counts: DataFrame, key: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+def heavy_keys(counts: DataFrame, key: list[str], share: float = HEAVY_SHARE, total: int | None = None) -> DataFrame:
     """Keys with more than ``share`` of all references: by that bound never more than ``1/share`` rows."""
-    per_key = counts.groupBy(*key).agg(F.sum("n_refs").alias("n_refs"))
-    total = counts.agg(F.sum("n_refs").alias("_total"))
-    return per_key.join(F.broadcast(total), F.col("n_refs") > F.col("_total") * share).select(*key)
+    if total is None:
+        total = counts.agg(F.sum("n_refs")).first()[0] or 0
+    return counts.groupBy(*key).agg(F.sum("n_refs").alias("n_refs")).where(F.col("n_refs") > total * share).select(*key)
 
 
 def split_join(refs: DataFrame, records: DataFrame, key: list[str], share: float = HEAVY_SHARE, how: str = "left") -> DataFrame:
@@ -32,7 +34,7 @@ def split_join(refs: DataFrame, records: DataFrame, key: list[str], share: float
     are joined by shuffle; both parts are united.
     """
     refs = materialise(refs, "refs")  # read for the counts and for either part
-    heavy = materialise(heavy_keys(reference_counts(refs, key, []), key, share), "heavy")
+    heavy = materialise(heavy_keys(reference_counts(refs, key, []), key, share, refs.count()), "heavy")
     if heavy.isEmpty():
         return refs.join(records, key, how)
     few = F.broadcast(heavy)  # at most 1/share rows
@@ -112,8 +114,10 @@ def orphan_graph_links(graph_files: DataFrame) -> DataFrame:
 def orphan_references(links: DataFrame, files: DataFrame, headings: DataFrame, graph_files: DataFrame) -> DataFrame:
     """All orphan references: ``(ref_table, ref_id, item_pos, period)``; period is the month of seen_at or built_at."""
     month = lambda c: F.date_trunc("month", c).cast("timestamp")
-    a = orphan_links(links, files, headings).select(F.lit("links").alias("ref_table"), F.col("link_id").alias("ref_id"), F.lit(0).alias("item_pos"), month("seen_at").alias("period"))
-    b = orphan_graph_links(graph_files).select(F.lit("graph_files").alias("ref_table"), F.col("graph_id").alias("ref_id"), "item_pos", month("built_at").alias("period"))
+    with ThreadPoolExecutor(2) as both:  # their written tables don't depend on each other
+        of_links, of_graph = both.submit(orphan_links, links, files, headings), both.submit(orphan_graph_links, graph_files)
+    a = of_links.result().select(F.lit("links").alias("ref_table"), F.col("link_id").alias("ref_id"), F.lit(0).alias("item_pos"), month("seen_at").alias("period"))
+    b = of_graph.result().select(F.lit("graph_files").alias("ref_table"), F.col("graph_id").alias("ref_id"), "item_pos", month("built_at").alias("period"))
     return a.unionByName(b)
 
 
