@@ -69,10 +69,10 @@ def source_type(path: Column | str, ignore_files: tuple[str, ...] = ()) -> Colum
     """The kind of a file by its name or extension, else ``other``."""
     name = basename(path)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
-    whole = {k: v.split() for k, v in FILE_NAMES.items()}
-    whole["ignore"] += ignore_files
-    cases = [(name.isin(*v), k) for k, v in whole.items()] + [(ext.isin(*v.split()), k) for k, v in EXTENSIONS.items()]
-    return reduce(lambda acc, c: acc.when(*c), cases[1:], F.when(*cases[0])).otherwise("other")
+    by_name = {n: k for k, v in FILE_NAMES.items() for n in v.split()} | dict.fromkeys(ignore_files, "ignore")
+    by_ext = {e: k for k, v in EXTENSIONS.items() for e in v.split()}
+    look = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.coalesce(look(by_name, name), look(by_ext, ext), F.lit("other"))
 
 
 def pruned(path: Column | str, own_folders: tuple[str, ...] = ()) -> Column:

@@ -251,7 +251,7 @@ def table_cells(s, d):
     return parse.table_cells(files(s, d).where(F.col("content").isNotNull()), "content", "file_id")
 
 
-@query("SELECT doc_id, link_text, raw, CASE WHEN starts_with(raw, '#') THEN 'self' WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'external' WHEN starts_with(raw, '/') THEN 'absolute' ELSE 'relative' END AS kind FROM (SELECT doc_id, regexp_extract(text, '\\n\\[([^\\]\\n]*)\\]\\(([^)\\n]+)\\)\\s*$', 1) AS link_text, regexp_extract(text, '\\n\\[([^\\]\\n]*)\\]\\(([^)\\n]+)\\)\\s*$', 2) AS raw FROM documents) WHERE raw <> ''")
+@query("SELECT doc_id, link_text, raw, CASE WHEN starts_with(raw, '#') THEN 'self' WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'external' WHEN starts_with(raw, '/') THEN 'absolute' ELSE 'relative' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 1)) AS link_text, unnest(regexp_extract_all(text, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 2)) AS raw FROM documents)")
 def document_links(s, d):
     rows = table(s, d, "documents").where(F.col("text").isNotNull())
     return parse.inline_links(rows, "text", "doc_id").select("doc_id", F.col("text").alias("link_text"), "raw", "kind")
