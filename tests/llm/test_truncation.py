@@ -84,3 +84,24 @@ def test_limit_of_a_source(spark):
     got = {r.doc_id: r for r in T.truncated(spark.createDataFrame(full + cut, "doc_id long, source string, text string")).collect()}
     assert all(got[100 + i].at_limit and got[100 + i].cut for i in range(8))
     assert not any(got[i].cut for i in range(20))
+
+
+def test_finished_looking_and_short_values_with_longer_copies(spark):
+    page = "To move the origins file, open the folder of the project and set it in vellum.toml before the next run. Then call it. Nothing else is needed.\n\n- one\n- two"
+    short = "Set it in vellum.toml now. Then go. Bye, all.\n\n[see](/a.md) or not"
+    wide = "先打开项目的文件夹。然后保存。" * 6
+    at = lambda text, end: text[: text.index(end) + len(end)]
+    texts = [page, at(page, "vellum."), at(page, "run."), at(page, "- one"), short, at(short, "vellum."), at(short, "now."), at(short, "(/a.md)"), wide, wide[:75], "Set", "- on", "- one"]
+    df = spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in T.truncated(df, least=1).collect()}
+    assert {k for k, r in got.items() if r.longer_copy} == {1, 2, 3, 5, 6, 7, 9, 10, 11}
+    assert [k for k in (1, 2, 5, 6, 7, 9, 10, 11) if got[k].cut] == [1, 5, 7, 10, 11]
+    long = {r.doc_id for r in T.truncated(df).collect() if r.longer_copy}
+    assert long == {1, 2, 3, 9}
+    report = T.truncation_report(T.truncated(df, least=1)).first()
+    assert (report.n_texts, report.n_longer_copy) == (13, 9)
+
+
+@pytest.mark.parametrize("text,n,want", [("a.b", 2, True), ("A. b", 2, True), ("A. B", 2, False), ("A.\nb", 2, True), ("A.\n\nb", 2, False), ("好。再", 2, False), ("“好。”再", 3, True), ("A. 5", 2, False)])
+def test_goes_on(text, n, want):
+    assert T.goes_on(text, n)[0] is want

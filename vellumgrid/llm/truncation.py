@@ -4,8 +4,8 @@ Two kinds of evidence, both from joining ends of texts with longer text
 elsewhere by hashed prefixes:
 
 * the whole value is a strict prefix of a longer value (hashes of the prefixes of
-  64, 128, 256 … characters bring the two together, a hash at the exact length
-  decides);
+  1, 2, 4 … characters bring the two together, a hash at the exact length
+  decides); it is cut if the longer one goes on inside its last token or sentence;
 * its last words are a beginning that elsewhere goes on. Where the form of the
   ending doesn't settle whether it is finished (a list item, a sentence before an
   ellipsis), its last words are joined with the same words inside all texts, and
@@ -38,12 +38,17 @@ _BARE_NUMBER = re.compile(r"(?:\A|\n[ \t]*\n|\n[ \t>]*(?:[-*+]|\d+[.)])[ \t][^\n
 _ITEMS = re.compile(r"^[ \t>]*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(\S[^\n]*)$", re.M)
 _DATED = re.compile(r"[^:\n]{1,30}: *\d{4}-\d\d-\d\d\Z")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)\Z")
+_GAP = re.compile(r"\s*")
+_WIDE = re.compile(r"[。！？][\"”’')\]*_`»]*\Z")
+_MARKS = re.compile(r"[.!?…。！？\"”’')\]*_`»]")
 _OPENERS = set("|([{<,;:-–—=+/\\\"'“‘«`*_#&@$%~^")
 
 FINISHED, CUT, ASK = 0, 1, 2
 ITEM, SENTENCE, SIGN = "item", "sentence", "sign-off"
-#: Prefix lengths are this times a power of two.
+#: Values of fewer characters are looked up as prefixes only on demand (``least``).
 PREFIX = 64
+#: Prefix lengths are powers of two; so many of them are below PREFIX.
+_SHORT = PREFIX.bit_length() - 1
 #: A length is a limit of its source when so many different texts of it, and such a share, have it.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.01
 #: Distinct endings that are sent to the counting pass; beyond, it counts all words.
@@ -123,11 +128,11 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             verdict, kind, unit, n = ending(text)
             data = text.encode("utf-8", "replace")
-            levels, at = [], PREFIX
+            levels, at = [], 1
             while at <= len(text):
                 levels.append(_h(text[:at].encode("utf-8", "replace")))
                 at *= 2
-            top = -1 if n < PREFIX else (n // PREFIX).bit_length() - 1
+            top = n.bit_length() - 1
             rows.append([id, source, len(text), len(data), _h(data), verdict, kind, 0, 0, 0, bool(_ELLIPSIS.search(text)), n, top, _h(text[:n].encode("utf-8", "replace")), levels])
             units.append(unit)
         for c in chunks(units, keep=True):
@@ -220,42 +225,67 @@ def _counter(keys):
     return run
 
 
-def longer_copies(tails: DataFrame, texts: DataFrame) -> DataFrame:
-    """``doc_id`` of the values that are a strict prefix of a longer value (stand-ins and ellipses aside).
+def longer_copies(tails: DataFrame, texts: DataFrame, least: int = PREFIX) -> DataFrame:
+    """``(body, body_hash, inside, line)`` of the values that are a strict prefix of a longer value (stand-ins and ellipses aside).
 
-    Values under 64 characters are too short to tell. A value asks at its greatest
-    level only, so values that merely begin alike don't meet; several values with
-    the same text ask once.
+    ``inside``: some longer value goes on inside the last token or sentence;
+    ``line``: in the same line. Values under ``least`` characters don't ask. A value
+    asks at its greatest level only, so values that merely begin alike don't meet;
+    several values with the same text ask once.
     """
-    asks = tails.where((F.col("top") >= 0) & (F.col("verdict") != FINISHED)).select("doc_id", "top", F.element_at("levels", F.col("top") + 1).alias("h"), "body", "body_hash")
+    asks = tails.where((F.col("body") >= max(least, 1)) & (F.col("top") >= 0)).select("top", F.element_at("levels", F.col("top") + 1).alias("h"), "body", "body_hash")
     # the lengths asked for under a prefix: at most as many as its level has, however many values ask
     lengths = asks.groupBy("top", "h").agg(F.collect_set("body").alias("asked"))
     offers = tails.select(F.col("doc_id").alias("other"), F.col("body").alias("longer"), "whole", F.posexplode("levels").alias("top", "h"))
-    offers = offers.groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))  # copies offer once
-    met = offers.join(lengths, ["top", "h"]).select("other", F.filter("asked", lambda n: n < F.col("longer")).alias("asked")).where(F.size("asked") > 0)
+    wanted = lambda rows, by: rows.join(by, ["top", "h"]).select("other", F.filter("asked", lambda n: n < F.col("longer")).alias("asked")).where(F.size("asked") > 0)
+    copies = offers.where(F.col("top") >= _SHORT).groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))  # copies offer once
+    met = wanted(copies, lengths.where(F.col("top") >= _SHORT))
+    if least < PREFIX:  # few prefixes are asked for, but many texts may begin with one: the texts' side stays where it is
+        short = materialise(lengths.where(F.col("top") < _SHORT), "short")
+        met = met.unionByName(wanted(offers.where(F.col("top") < _SHORT), broadcast_if_small(short)))
     met = met.select("other", F.explode("asked").alias("n")).groupBy("other").agg(F.collect_set("n").alias("asked"))
     met = materialise(met, "met")
     long = texts.join(broadcast_if_small(met), F.col("doc_id") == F.col("other")).select("text", "asked")
-    starts = long.mapInArrow(_starts, "body long, body_hash long").distinct()
-    return asks.join(starts, ["body", "body_hash"], "left_semi").select("doc_id").distinct()
+    starts = long.mapInArrow(_starts, "body long, body_hash long, inside boolean, line boolean").groupBy("body", "body_hash").agg(F.max("inside").alias("inside"), F.max("line").alias("line"))
+    return starts.join(asks.select("body", "body_hash").distinct(), ["body", "body_hash"], "left_semi")
+
+
+def goes_on(text: str, n: int) -> tuple[bool, bool]:
+    """Whether ``text`` goes on after ``n`` characters inside the token or sentence that ends there, and in the same line."""
+    after = _GAP.match(text, n)
+    gap, c = after[0], text[after.end() : after.end() + 1]
+    line = bool(c) and "\n" not in gap
+    if gap:
+        return c.islower() and gap.count("\n") < 2, line
+    # scripts without blanks: a full stop of theirs ends the sentence unless more marks follow
+    return bool(c) and (not _WIDE.search(text, max(0, n - 20), n) or bool(_MARKS.match(c))), line
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each text's beginnings of the asked lengths."""
+    """Hashes of each text's beginnings of the asked lengths, and how it goes on there."""
     for b in batches:
-        n, h = [], []
+        n, h, inside, line = [], [], [], []
         for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n += asked
-            h += [_h(text[:k].encode("utf-8", "replace")) for k in asked]
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64())], names=["body", "body_hash"])
-
-
-def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+            at, state = 0, xxhash.xxh3_64()
+            for k in sorted(asked):  # each character is hashed once
+                state.update(text[at:k].encode("utf-8", "replace"))
+                on = goes_on(text, k)
+                at = k
+                n.append(k)
+                h.append(int(np.uint64(state.intdigest()).astype(np.int64)))
+                inside.append(on[0])
+                line.append(on[1])
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(inside, pa.bool_()), pa.array(line, pa.bool_())], names=["body", "body_hash", "inside", "line"])
+
+
+def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", least: int = PREFIX) -> DataFrame:
     """``(doc_id, source, kind, cut, at_limit, longer_copy)``: one row per text, ``cut`` if it stops before its end.
 
     ``kind`` names the last element; ``at_limit`` tells that an unusual number of
     the source's texts have just this length; ``longer_copy`` that another text
-    begins with this one and goes on. NULL and blank texts are not cut and have
+    begins with this one and goes on, looked up for values of ``least`` characters
+    or more (1: all). A finished-looking ending is cut if the longer text goes on
+    inside its last token or sentence. NULL and blank texts are not cut and have
     no row; rows with a NULL id are left out; a NULL source is a source; of a row
     delivered twice the least verdict counts. Other columns are ignored.
     """
@@ -293,6 +323,17 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
     t = tails.join(chars, F.col("source").eqNullSafe(F.col("_s_chars")), "left").join(bytes_, F.col("source").eqNullSafe(F.col("_s_bytes")), "left")
     t = t.withColumn("at_limit", F.coalesce(F.array_contains("_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("_bytes", F.col("bytes")), F.lit(False)))
 
+    copies = broadcast_if_small(materialise(longer_copies(tails, rows, least), "copies").withColumn("longer_copy", F.lit(True)))
+    t = t.join(copies, ["body", "body_hash"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("longer_copy", "inside", "line")})
+    # an ellipsis hides that the sentence has no end; what is a line of its own goes on in that line only
+    more = (
+        F.when((F.col("verdict") == ASK) & (F.col("kind") == SENTENCE), F.col("longer_copy"))
+        .when(F.col("verdict") == ASK, F.col("inside") | F.col("line"))
+        .when(F.col("kind").isin(SENTENCE, "symbol"), F.col("inside"))
+        .otherwise(F.col("line"))
+    )
+    t = t.withColumn("more", more & (F.col("verdict") != CUT))
+
     part = lambda w, c: stats.where(F.col("what") == w).select(F.col("key").alias(c), F.col("ends").alias(f"e{w}"), F.col("goes_on").alias(f"g{w}"))
     ask = t.where(F.col("verdict") == ASK)
     signs = ask.where(F.col("kind") == SIGN).groupBy("word").agg(F.count_distinct("whole").alias("_signs"))
@@ -307,14 +348,11 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
         .otherwise(~known)
     )
     sign = zero("_signs") < 3
-    ask = ask.withColumn("cut", F.when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence))
-    told = t.where(F.col("verdict") != ASK).withColumn("cut", F.col("verdict") == CUT)
-    keep = ["doc_id", "source", "kind", "cut", "at_limit", (F.col("verdict") == ASK).alias("asked")]
-    both = ask.select(*keep).unionByName(told.select(*keep)).groupBy("doc_id").agg(F.min(F.struct("cut", "kind", "source", "at_limit", "asked")).alias("v")).select("doc_id", "v.*")
-    copies = longer_copies(tails, rows).withColumn("longer_copy", F.lit(True))
-    out = both.join(copies, "doc_id", "left").withColumn("longer_copy", F.coalesce("longer_copy", F.lit(False)))
-    # an ending that was in doubt is cut if the same text goes on elsewhere (told ones keep their verdict)
-    return out.withColumn("cut", F.col("cut") | (F.col("longer_copy") & F.col("asked"))).drop("asked")
+    ask = ask.withColumn("cut", F.when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence) | F.col("more"))
+    told = t.where(F.col("verdict") != ASK).withColumn("cut", (F.col("verdict") == CUT) | F.col("more"))
+    keep = ["doc_id", "source", "kind", "cut", "at_limit", "longer_copy"]
+    both = ask.select(*keep).unionByName(told.select(*keep)).groupBy("doc_id")
+    return both.agg(F.min(F.struct("cut", "kind", "source", "at_limit")).alias("v"), F.max("longer_copy").alias("longer_copy")).select("doc_id", "v.source", "v.kind", "v.cut", "v.at_limit", "longer_copy")
 
 
 def _union(first: DataFrame, *rest: DataFrame) -> DataFrame:
