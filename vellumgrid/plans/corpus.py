@@ -457,7 +457,7 @@ def resources_resolved(s, d):
 
 @query(f"WITH {_FM}, {_LINKS}, own AS (SELECT bundle, path FROM docs), res AS (SELECT DISTINCT b.bundle, b.path FROM blocks b JOIN corpus_files c ON c.file_id = b.file_id WHERE contains(block, 'resource:')), bare AS (SELECT DISTINCT bundle, path FROM own WHERE path <> '/index.md' AND (bundle, path) NOT IN (SELECT (bundle, path) FROM res)), lone AS (SELECT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND NOT EXISTS (SELECT 1 FROM l WHERE docs.bundle = l.bundle AND docs.path = l.target)) SELECT 'missing_sources' AS signal, count(*) AS n FROM bare UNION ALL SELECT 'orphan', count(*) FROM lone")
 def health_summary(s, d):
-    """Signals that the tables can give; sources are documents' resources, both inventories empty of them."""
+    """The two signals the SQL twin counts; all six are in health_signals."""
     docs = live(s, d).select("bundle", "path").distinct()
     res = _resources(s, d).select("bundle", "path", "resource")
     empty = res.select("bundle", F.col("resource").alias("path"), F.lit("").alias("sha256")).limit(0)
@@ -466,6 +466,16 @@ def health_summary(s, d):
     return provenance.health_summary(found.where(F.col("signal").isin("missing_sources", "orphan")))
 
 
+@query()
+def health_signals(s, d):
+    """All signals; a bundle's sources are the inventories of the project of its name, the first snapshot being the baseline."""
+    docs, e = live(s, d).select("bundle", "path").distinct(), links(s, d)
+    res = _resources(s, d).join(docs, ["bundle", "path"], "left_semi").select("bundle", "path", "resource")
+    base, now = (snapshot(s, d, which).withColumnRenamed("project", "bundle") for which in ("first", "last"))
+    found = provenance.health(docs, res, base, now, graph.orphans(docs, e), graph.unreachable(docs, e), "bundle")
+    return provenance.health_summary(found)
+
+
 @query("SELECT bundle, count(*) AS n_docs, sum(strlen(content))::BIGINT AS n_bytes, max(strlen(content))::BIGINT AS largest FROM corpus_files WHERE content IS NOT NULL GROUP BY 1")
 def budgets(s, d):
     return provenance.budgets(files(s, d).where(F.col("content").isNotNull()), "bundle").select("bundle", "n_docs", "n_bytes", "largest")
