@@ -27,3 +27,12 @@ def test_health_signals(spark, rows, tmp_path):
     snaps = [(1, "s/same", "1"), (1, "s/changed", "1"), (1, "s/gone", "1"), (2, "s/same", "1"), (2, "s/changed", "2"), (2, "s/fresh", "1")]
     put(spark, d, "inventory_snapshots", [("b", n, p, h, T, "go", 1) for n, p, h in snaps], "project string, snapshot_no int, path string, sha256 string, ingested_at timestamp, entry_type string, bytes long")
     assert rows(C.QUERIES["health_signals"](spark, d)) == [("missing_sources", 1), ("orphan", 1), ("source_changed", 1), ("source_missing", 1), ("source_not_in_baseline", 1), ("unreachable", 2)]
+
+
+def test_link_paths_all(spark, rows, tmp_path):
+    d = str(tmp_path)
+    raws = ["/a/b.md#X", "../c.md#Über uns", "./e.md", "f.md", "#here", "../../../out.md", "<../g h.md#y>", "[[w#z]]", "https://x.example/p", "//x.example/p", None]
+    put_links(spark, d, [("/k/l/doc.md", raw, None) for raw in raws])
+    got = rows(C.QUERIES["link_paths_all"](spark, d))
+    assert got[:7] == [(0, "/a/b.md", "X", False), (1, "/k/c.md", "Über uns", False), (2, "/k/l/e.md", None, False), (3, "/k/l/f.md", None, False), (4, "/k/l/doc.md", "here", False), (5, "/out.md", None, True), (6, "/k/g h.md", "y", False)]
+    assert len(got) == 7

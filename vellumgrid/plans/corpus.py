@@ -271,6 +271,14 @@ def link_paths(s, d):
     return rows.select("link_id", paths.normalise_link("from_path", "raw").alias("n")).select("link_id", "n.path", "n.anchor", "n.escapes")
 
 
+@query()
+def link_paths_all(s, d):
+    """Every spelling that names a path, relative and self links too; wiki links and external ones name none."""
+    rows = raw_links(s, d).where((urls.link_class("raw") != "external") & ~F.col("raw").startswith("[["))
+    target = F.regexp_replace("raw", r"\A<([^>]*)>", "$1")
+    return rows.select("link_id", paths.normalise_link("from_path", target).alias("n")).select("link_id", "n.path", "n.anchor", "n.escapes")
+
+
 @query("SELECT DISTINCT link_id, rtrim(target, '/') AS path FROM links WHERE target IS NOT NULL AND NOT starts_with(raw, '[[') AND NOT starts_with(raw, '<')")
 def links_resolved(s, d):
     """Raw spellings, relative ones too, resolved to the paths the crawler noted."""
