@@ -36,3 +36,12 @@ def test_link_paths_all(spark, rows, tmp_path):
     got = rows(C.QUERIES["link_paths_all"](spark, d))
     assert got[:7] == [(0, "/a/b.md", "X", False), (1, "/k/c.md", "Über uns", False), (2, "/k/l/e.md", None, False), (3, "/k/l/f.md", None, False), (4, "/k/l/doc.md", "here", False), (5, "/out.md", None, True), (6, "/k/g h.md", "y", False)]
     assert len(got) == 7
+
+
+def test_checkin_generated(spark, rows, tmp_path):
+    d = str(tmp_path)
+    put_files(spark, d, [("/same.md", "x", 0), ("/own.md", "x", 0)])
+    builds = [(1, "/same.md", "1"), (1, "/changed.md", "1"), (1, "/dropped.md", "1"), (2, "/same.md", "1"), (2, "/changed.md", "2")]
+    put(spark, d, "graph_files", [("b", *x) for x in builds], "bundle string, build_no int, path string, sha256 string")
+    got = rows(C.QUERIES["checkin_generated"](spark, d), "path", "change")
+    assert got == [("/changed.md", "conflict"), ("/dropped.md", "converged"), ("/own.md", "workspace"), ("/same.md", "workspace")]

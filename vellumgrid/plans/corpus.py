@@ -442,6 +442,14 @@ def checkin_plan(s, d):
     return provenance.merge_plan(build(s, d, "first"), build(s, d, "last"), now, none, "bundle", "path")
 
 
+@query(ORACLE["checkin_plan"].replace("SELECT bundle, path, CASE", "SELECT bundle, path, CASE WHEN d IS DISTINCT FROM b AND EXISTS (SELECT 1 FROM n WHERE n.bundle = r.bundle AND n.path = r.path) THEN 'conflict'"))
+def checkin_generated(s, d):
+    """The same plan where the files of the last build are generated, so that a draft may not change them."""
+    now = live(s, d).where(F.col("content").isNotNull()).groupBy("bundle", "path").agg(F.max(F.sha2("content", 256)).alias("sha256"))
+    draft = build(s, d, "last")
+    return provenance.merge_plan(build(s, d, "first"), draft, now, draft, "bundle", "path")
+
+
 @query(
     f"WITH o AS ({_BUILD.format(f='min')}), n AS ({_BUILD.format(f='max')}), e AS (SELECT bundle, path, max(sha256(content)) AS sha256 FROM corpus_files WHERE deleted_at IS NULL AND content IS NOT NULL GROUP BY 1, 2), "
     "k AS (SELECT bundle, path FROM o UNION SELECT bundle, path FROM n), r AS (SELECT k.bundle, k.path, o.sha256 AS o, n.sha256 AS n, e.sha256 AS e FROM k LEFT JOIN o USING (bundle, path) LEFT JOIN n USING (bundle, path) LEFT JOIN e USING (bundle, path)) "
