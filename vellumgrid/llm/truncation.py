@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.words import U, chunks, mix
@@ -100,10 +100,10 @@ def ending(text: str) -> tuple[int, str, str, int]:
 _TAILS = pa.schema(
     [
         ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("whole", pa.int64()), ("verdict", pa.int32()), ("kind", pa.string()),
-        ("word", pa.int64()), ("pair", pa.int64()), ("n_words", pa.int32()), ("dots", pa.bool_()), ("body", pa.int64()), ("top", pa.int32()), ("body_hash", pa.int64()), ("levels", pa.list_(pa.int64())),
+        ("word", pa.int64()), ("pair", pa.int64()), ("n_words", pa.int32()), ("dots", pa.bool_()), ("body", pa.int64()), ("top", pa.int32()), ("sign", pa.string()), ("body_hash", pa.int64()), ("levels", pa.list_(pa.int64())),
     ]
 )
-_TAILS_DDL = "doc_id long, source string, chars long, bytes long, whole long, verdict int, kind string, word long, pair long, n_words int, dots boolean, body long, top int, body_hash long, levels array<long>"
+_TAILS_DDL = "doc_id long, source string, chars long, bytes long, whole long, verdict int, kind string, word long, pair long, n_words int, dots boolean, body long, top int, sign string, body_hash long, levels array<long>"
 
 
 def _h(data: bytes) -> int:
@@ -133,7 +133,7 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 levels.append(_h(text[:at].encode("utf-8", "replace")))
                 at *= 2
             top = n.bit_length() - 1
-            rows.append([id, source, len(text), len(data), _h(data), verdict, kind, 0, 0, 0, bool(_ELLIPSIS.search(text)), n, top, _h(text[:n].encode("utf-8", "replace")), levels])
+            rows.append([id, source, len(text), len(data), _h(data), verdict, kind, 0, 0, 0, bool(_ELLIPSIS.search(text)), n, top, unit.encode("utf-8", "replace").decode() if kind == SIGN else None, _h(text[:n].encode("utf-8", "replace")), levels])
             units.append(unit)
         for c in chunks(units, keep=True):
             h = _folded(c)
@@ -336,8 +336,12 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
 
     part = lambda w, c: stats.where(F.col("what") == w).select(F.col("key").alias(c), F.col("ends").alias(f"e{w}"), F.col("goes_on").alias(f"g{w}"))
     ask = t.where(F.col("verdict") == ASK)
-    signs = ask.where(F.col("kind") == SIGN).groupBy("word").agg(F.count_distinct("whole").alias("_signs"))
-    ask = ask.join(part(PAIRS, "pair"), "pair", "left").join(part(WORDS, "word"), "word", "left").join(part(ITEMS, "word"), "word", "left").join(signs, "word", "left")
+    # by binary order, a sign-off that others go on from is followed by one of them
+    signs = ask.where(F.col("kind") == SIGN).groupBy("sign").agg(F.count_distinct("whole").alias("_same"), F.first("word").alias("_word"))
+    follower = F.lead("sign").over(Window.partitionBy(F.substring("sign", 1, 4)).orderBy("sign"))
+    ends = signs.groupBy("_word").agg(F.sum("_same").alias("_ends"))
+    signs = signs.withColumn("_goes_on", F.coalesce(follower.startswith(F.col("sign")), F.lit(False))).join(ends, "_word", "left").select("sign", "_goes_on", "_ends")
+    ask = ask.join(part(PAIRS, "pair"), "pair", "left").join(part(WORDS, "word"), "word", "left").join(part(ITEMS, "word"), "word", "left").join(signs, "sign", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     known = zero("e1") + zero("g1") > 0
     sentence = F.when(F.col("at_limit"), True).when(zero("e0") + zero("g0") > 0, zero("e0") < 0.05 * (zero("e0") + zero("g0"))).otherwise(~known | (zero("e1") < 0.2 * (zero("e1") + zero("g1"))))
@@ -347,7 +351,8 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
         .when(zero("e2") + zero("g2") > 0, zero("e2") < 0.1 * zero("g2"))
         .otherwise(~known)
     )
-    sign = zero("_signs") < 3
+    # the last word is in doubt unless another sign-off ends so or it is a word inside texts
+    sign = F.col("at_limit") | F.coalesce("_goes_on", F.lit(False)) | ((zero("_ends") < 2) & ~known)
     ask = ask.withColumn("cut", F.when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence) | F.col("more"))
     told = t.where(F.col("verdict") != ASK).withColumn("cut", (F.col("verdict") == CUT) | F.col("more"))
     keep = ["doc_id", "source", "kind", "cut", "at_limit", "longer_copy"]
