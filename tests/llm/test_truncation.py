@@ -110,7 +110,7 @@ def test_goes_on(text, n, want):
 def test_sign_offs(spark):
     texts = [f"We saw {x}.\n\n-- Ostervale desk" for x in ("a boat", "two boats")] + [f"We saw {x}.\n\n-- Ostervale" for x in ("tea", "pears", "apples", "jam")] + ["We saw ham.\n\n-- Ostervale de"]
     full = [f"Line {i} is here. " * 3 + "The end." for i in range(20)]
-    cut = [f"Page {i:03} is long.\n\n-- Mill office" for i in range(6)]
+    cut = [f"Page {i:03} is long.\n\n-- Mill office" for i in range(6)] + ["Page 006 is long.\n\n-- Ostervale desk"[-33:]]
     rows = [(i, "s", x) for i, x in enumerate(texts)] + [(100 + i, "b", x) for i, x in enumerate(full)] + [(200 + i, "b", x) for i, x in enumerate(cut)]
     got = {r.doc_id: r.cut for r in T.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert {k for k, cut in got.items() if cut} == {2, 3, 4, 5, 6, *range(200, 206)}

@@ -337,10 +337,10 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
     part = lambda w, c: stats.where(F.col("what") == w).select(F.col("key").alias(c), F.col("ends").alias(f"e{w}"), F.col("goes_on").alias(f"g{w}"))
     ask = t.where(F.col("verdict") == ASK)
     # by binary order, a sign-off that others go on from is followed by one of them
-    signs = ask.where(F.col("kind") == SIGN).groupBy("sign").agg(F.count_distinct("whole").alias("_same"), F.first("word").alias("_word"))
+    signs = ask.where(F.col("kind") == SIGN).groupBy("sign").agg(F.count_distinct("whole").alias("_same"), F.first("word").alias("_word"), F.count_if(~F.col("at_limit")).alias("_off"))
     follower = F.lead("sign").over(Window.partitionBy(F.substring("sign", 1, 4)).orderBy("sign"))
-    ends = signs.groupBy("_word").agg(F.sum("_same").alias("_ends"))
-    signs = signs.withColumn("_goes_on", F.coalesce(follower.startswith(F.col("sign")), F.lit(False))).join(ends, "_word", "left").select("sign", "_goes_on", "_ends")
+    ends = signs.groupBy("_word").agg(F.sum("_same").alias("_ends"), F.sum("_off").alias("_free"))
+    signs = signs.withColumn("_goes_on", F.coalesce(follower.startswith(F.col("sign")), F.lit(False))).join(ends, "_word", "left").select("sign", "_goes_on", "_ends", "_free")
     ask = ask.join(part(PAIRS, "pair"), "pair", "left").join(part(WORDS, "word"), "word", "left").join(part(ITEMS, "word"), "word", "left").join(signs, "sign", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     known = zero("e1") + zero("g1") > 0
@@ -351,8 +351,8 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
         .when(zero("e2") + zero("g2") > 0, zero("e2") < 0.1 * zero("g2"))
         .otherwise(~known)
     )
-    # the last word is in doubt unless another sign-off ends so or it is a word inside texts
-    sign = F.col("at_limit") | F.coalesce("_goes_on", F.lit(False)) | ((zero("_ends") < 2) & ~known)
+    # a limit counts where no text off the limit ends so; else the last word is in doubt unless another sign-off ends so or it is a word inside texts
+    sign = (F.col("at_limit") & (zero("_free") == 0)) | F.coalesce("_goes_on", F.lit(False)) | ((zero("_ends") < 2) & ~known)
     ask = ask.withColumn("cut", F.when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence) | F.col("more"))
     told = t.where(F.col("verdict") != ASK).withColumn("cut", (F.col("verdict") == CUT) | F.col("more"))
     keep = ["doc_id", "source", "kind", "cut", "at_limit", "longer_copy"]
