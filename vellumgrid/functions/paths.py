@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import posixpath
 import re
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,13 +141,46 @@ def canonical_key(path: Column | str) -> Column:
     return F.lower(p)
 
 
-# Letters that are composed with a combining acute, grave, diaeresis, tilde, ring or cedilla.
-_MARKS = {
-    "\u0301": "áéíóúÁÉÍÓÚ",
-    "\u0300": "àèìòùÀÈÌÒÙ",
-    "\u0308": "äëïöüÄËÏÖÜ",
-    "\u0303": "ãñõÃÑÕ",
-    "\u030a": "åÅ",
-    "\u0327": "çÇ",
-}
-COMPOSED = [(unicodedata.normalize("NFD", c)[0], mark, c) for mark, letters in _MARKS.items() for c in letters]
+# Letter, combining mark, and the letter composed of both.
+COMPOSED = (
+    ("a", "\u0301", "á"),
+    ("e", "\u0301", "é"),
+    ("i", "\u0301", "í"),
+    ("o", "\u0301", "ó"),
+    ("u", "\u0301", "ú"),
+    ("A", "\u0301", "Á"),
+    ("E", "\u0301", "É"),
+    ("I", "\u0301", "Í"),
+    ("O", "\u0301", "Ó"),
+    ("U", "\u0301", "Ú"),
+    ("a", "\u0300", "à"),
+    ("e", "\u0300", "è"),
+    ("i", "\u0300", "ì"),
+    ("o", "\u0300", "ò"),
+    ("u", "\u0300", "ù"),
+    ("A", "\u0300", "À"),
+    ("E", "\u0300", "È"),
+    ("I", "\u0300", "Ì"),
+    ("O", "\u0300", "Ò"),
+    ("U", "\u0300", "Ù"),
+    ("a", "\u0308", "ä"),
+    ("e", "\u0308", "ë"),
+    ("i", "\u0308", "ï"),
+    ("o", "\u0308", "ö"),
+    ("u", "\u0308", "ü"),
+    ("A", "\u0308", "Ä"),
+    ("E", "\u0308", "Ë"),
+    ("I", "\u0308", "Ï"),
+    ("O", "\u0308", "Ö"),
+    ("U", "\u0308", "Ü"),
+    ("a", "\u0303", "ã"),
+    ("n", "\u0303", "ñ"),
+    ("o", "\u0303", "õ"),
+    ("A", "\u0303", "Ã"),
+    ("N", "\u0303", "Ñ"),
+    ("O", "\u0303", "Õ"),
+    ("a", "\u030a", "å"),
+    ("A", "\u030a", "Å"),
+    ("c", "\u0327", "ç"),
+    ("C", "\u0327", "Ç"),
+)

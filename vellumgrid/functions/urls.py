@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,9 +55,16 @@ def link_label(title: Column | str) -> Column:
     return F.regexp_replace(_c(title), r"([\\\[\]])", r"\\$1")
 
 
+# Characters that stay as they are in a link's destination.
+PLAIN_IN_PATHS = "/$&+,:;=@~!'"
+
+
 def link_target(path: Column | str) -> Column:
     """A path as the destination of a Markdown link, percent-encoded where need be."""
-    return _quoted(_c(path))
+    out = F.replace(F.url_encode(_c(path)), F.lit("+"), F.lit("%20"))
+    for c in PLAIN_IN_PATHS:
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
 
 
 def publication_base(url: Column | str) -> Column:
@@ -71,11 +77,30 @@ def in_scope(url: Column | str, base: Column | str) -> Column:
 
 
 # Networks that are not public.
-BLOCKED = """
-0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24
-192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4
-::/128 ::1/128 fc00::/7 fe80::/10 2001:db8::/32 2001:10::/28 64:ff9b::/96 64:ff9b:1::/48
-""".split()
+BLOCKED = (
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "100.64.0.0/10",
+    "127.0.0.0/8",
+    "169.254.0.0/16",
+    "172.16.0.0/12",
+    "192.0.0.0/24",
+    "192.0.2.0/24",
+    "192.168.0.0/16",
+    "198.18.0.0/15",
+    "198.51.100.0/24",
+    "203.0.113.0/24",
+    "224.0.0.0/4",
+    "240.0.0.0/4",
+    "::/128",
+    "::1/128",
+    "fc00::/7",
+    "fe80::/10",
+    "2001:db8::/32",
+    "2001:10::/28",
+    "64:ff9b::/96",
+    "64:ff9b:1::/48",
+)
 _NETWORKS = [ipaddress.ip_network(x) for x in BLOCKED]
 
 
@@ -94,8 +119,3 @@ def public_address(text: str | None) -> bool | None:
 @F.pandas_udf(T.BooleanType())
 def is_public_ip(ip: pd.Series) -> pd.Series:
     return ip.map(public_address)
-
-
-@F.pandas_udf(T.StringType())
-def _quoted(path: pd.Series) -> pd.Series:
-    return path.map(lambda x: None if x is None else quote(x, safe="/$&+,:;=@~!*'"))

@@ -14,38 +14,58 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Source types and their extensions.
+# The source type of each file extension.
 EXTENSIONS = {
-    "c": "c h",
-    "cpp": "cc cpp cxx hpp",
-    "csharp": "cs",
+    "c": "c",
+    "h": "c",
+    "cc": "cpp",
+    "cpp": "cpp",
+    "cxx": "cpp",
+    "hpp": "cpp",
+    "cs": "csharp",
     "css": "css",
     "go": "go",
     "graphql": "graphql",
-    "html": "html htm",
+    "html": "html",
+    "htm": "html",
     "java": "java",
-    "javascript": "js jsx mjs cjs",
+    "js": "javascript",
+    "jsx": "javascript",
+    "mjs": "javascript",
+    "cjs": "javascript",
     "json": "json",
-    "kotlin": "kt",
-    "markdown": "md markdown",
+    "kt": "kotlin",
+    "md": "markdown",
+    "markdown": "markdown",
     "php": "php",
-    "protobuf": "proto",
-    "python": "py",
-    "ruby": "rb",
-    "rust": "rs",
+    "proto": "protobuf",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
     "scss": "scss",
-    "shell": "sh bash zsh fish",
+    "sh": "shell",
+    "bash": "shell",
+    "zsh": "shell",
+    "fish": "shell",
     "sql": "sql",
     "svelte": "svelte",
     "swift": "swift",
     "toml": "toml",
-    "typescript": "ts tsx",
+    "ts": "typescript",
+    "tsx": "typescript",
     "vue": "vue",
     "xml": "xml",
-    "yaml": "yaml yml",
+    "yaml": "yaml",
+    "yml": "yaml",
+}
+# The source type of whole file names.
+FILE_NAMES = {
+    "Dockerfile": "dockerfile",
+    "Containerfile": "dockerfile",
+    "Makefile": "make",
+    "GNUmakefile": "make",
+    ".gitignore": "ignore",
 }
-# Source types by whole name.
-FILE_NAMES = {"dockerfile": "Dockerfile Containerfile", "make": "Makefile GNUmakefile", "ignore": ".gitignore"}
 # Folders of dependencies and caches anywhere, of builds at the root.
 DEPENDENCY_FOLDERS = (".git", "node_modules", "vendor", ".cache", ".next", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox")
 BUILD_FOLDERS = ("target", "build", "dist", "out", "bin", "obj", "coverage")
@@ -69,10 +89,9 @@ def source_type(path: Column | str, ignore_files: tuple[str, ...] = ()) -> Colum
     """The kind of a file by its name or extension, else ``other``."""
     name = basename(path)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
-    by_name = {n: k for k, v in FILE_NAMES.items() for n in v.split()} | dict.fromkeys(ignore_files, "ignore")
-    by_ext = {e: k for k, v in EXTENSIONS.items() for e in v.split()}
+    by_name = FILE_NAMES | dict.fromkeys(ignore_files, "ignore")
     look = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
-    return F.coalesce(look(by_name, name), look(by_ext, ext), F.lit("other"))
+    return F.coalesce(look(by_name, name), look(EXTENSIONS, ext), F.lit("other"))
 
 
 def pruned(path: Column | str, own_folders: tuple[str, ...] = ()) -> Column:

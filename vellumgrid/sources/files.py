@@ -235,7 +235,7 @@ def source_files(spark: SparkSession, root: str, rules: Sequence[IgnoreRule] = (
     return df.where(~ignored("path", rules)) if rules else df
 
 
-URL = r"https?://[^\s\"'<>`]+"
+URL = r"https?://[^\s\"'<>`“”‘’]+"
 
 
 def literal_urls(sources: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import urldefrag, urljoin, urlsplit
+from html.parser import HTMLParser
+from itertools import chain, islice
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,36 +18,117 @@ from pyspark.sql import functions as F
 from vellumgrid.functions.urls import canonical_url, in_scope, publication_base, relevant_link
 from vellumgrid.runtime import materialise
 
-_SKIPPED = re.compile(r"<(script|style|template)\b[^>]*>.*?</\1\s*>", re.I | re.S)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>", re.S)
-_BARE = re.compile(r"https?://[^\s\"'<>]+")
-_INLINE = re.compile(r"\]\(\s*<?([^\s)>]+)")
-_DEFINED = re.compile(r"^\s{0,3}\[[^\]]+\]:\s*<?([^\s>]+)", re.M)
 #: Links taken from one page.
 PAGE_LINKS = 256
+# Elements whose content is no text of the page, and marks that end a sentence rather than an address.
+SKIPPED_ELEMENTS = ("script", "style", "template")
+TRAILING_MARKS = ".,;:!?]"
+
+
+class _Page(HTMLParser):
+    """Collects a page's anchors, its visible text and its source without the skipped elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.anchors: list[str] = []
+        self.visible: list[str] = []
+        self.source: list[str] = []
+        self._inside: str | None = None
+        self._depth = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self._inside:
+            self._depth += tag == self._inside
+            return
+        if tag in SKIPPED_ELEMENTS:
+            self._inside, self._depth = tag, 1
+            return
+        if tag == "a":
+            self.anchors += [value for name, value in attrs if name == "href" and value][:1]
+        self.visible.append(" ")
+        self.source.append(self.get_starttag_text() or "")
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in SKIPPED_ELEMENTS:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self._inside:
+            self._depth -= tag == self._inside
+            if not self._depth:
+                self._inside = None
+        else:
+            self.visible.append(" ")
+
+    def handle_data(self, data: str) -> None:
+        if not self._inside:
+            self.visible.append(data)
+            self.source.append(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(f"&#{name};")
+
+
+def _bare_addresses(text: str) -> Iterator[str]:
+    """Addresses written out in a text: from the scheme to the next blank, quote or angle bracket."""
+    for word in text.translate(_WORD_ENDS).split():
+        starts = [at for at in (word.find("http://"), word.find("https://")) if at >= 0]
+        if starts:
+            yield word[min(starts) :]
+
+
+def _destination(text: str, at: int) -> str:
+    """The link destination that begins at or after ``at``, in angle brackets or not."""
+    rest = text[at : at + MAX_DESTINATION].lstrip()
+    rest = rest.removeprefix("<")
+    for i, c in enumerate(rest):
+        if c.isspace() or c in ")>":
+            return rest[:i]
+    return rest
+
+
+def _markdown_destinations(source: str) -> Iterator[str]:
+    """Destinations of inline links, then those of link definitions."""
+    at = source.find("](")
+    while at >= 0:
+        yield _destination(source, at + 2)
+        at = source.find("](", at + 2)
+    for line in source.splitlines():
+        label, colon, rest = line.strip().partition("]:")
+        if colon and label.startswith("[") and len(label) > 1 and "]" not in label and rest.strip():
+            yield rest.split()[0].strip("<>")
+
+
+#: Addresses longer than this are no links.
+MAX_DESTINATION = 1 << 16
+_WORD_ENDS = str.maketrans({c: " " for c in "\"'<>"})
+
+
+def _absolute(reference: str, base: str) -> str | None:
+    """The canonical https address a reference means on a page, or NULL."""
+    reference = html.unescape(reference.strip("<>\"'").strip()).rstrip(TRAILING_MARKS)
+    if not reference or reference[0] == "#":
+        return None
+    try:
+        parts = urlsplit(urljoin(base, reference))
+    except ValueError:
+        return None
+    if parts.scheme != "https" or not parts.netloc:
+        return None
+    return urlunsplit(("https", parts.netloc.lower(), parts.path or "/", parts.query, ""))
 
 
 def page_links(body: str, base: str, limit: int | None = PAGE_LINKS) -> list[str]:
-    """The https links of a page, absolute and canonical, each once: anchors, bare URLs, Markdown links, definitions."""
-    text = _SKIPPED.sub(" ", body)
-    raw = [next((g for g in m.groups() if g), "") for m in _HREF.finditer(text)]
-    raw += _BARE.findall(_TAG.sub(" ", text)) + _INLINE.findall(text) + _DEFINED.findall(text)
-    out: dict[str, None] = {}
-    for r in raw:
-        r = html.unescape(r.strip("<>\"'").strip()).rstrip(".,;:!?]")
-        if not r or r.startswith("#"):
-            continue
-        try:
-            url = urldefrag(urljoin(base, r)).url
-            parts = urlsplit(url)
-        except ValueError:
-            continue
-        if parts.scheme.lower() != "https" or not parts.netloc:
-            continue
-        out.setdefault(f"https://{parts.netloc.lower()}{parts.path or '/'}" + (f"?{parts.query}" if parts.query else ""))
-    found = list(out)
-    return found if limit is None else found[:limit]
+    """The https links of a page, absolute and canonical, each once: anchors, written-out addresses, Markdown links, definitions."""
+    page = _Page()
+    page.feed(body)
+    page.close()
+    written = chain(page.anchors, _bare_addresses("".join(page.visible)), _markdown_destinations("".join(page.source)))
+    found = dict.fromkeys(x for r in written if (x := _absolute(r, base)))
+    return list(islice(found, limit))
 
 
 def extract_links(pages: DataFrame, url: str = "url", body: str = "body", limit: int | None = PAGE_LINKS) -> DataFrame:
