@@ -14,6 +14,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return starts.where(F.col("level") >= 0).select(F.col("id").alias("file_id"), "line_no")
 
 
+def p1_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``p1_found`` from ranges of 1 KiB."""
+    starts = splitting.section_starts(table(spark, d, "corpus_files"), "file_id", "content", range_bytes=1 << 10)
+    return starts.where(F.col("level") >= 0).select(F.col("id").alias("file_id"), "line_no")
+
+
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "corpus_files"), "file_id", "content").withColumnRenamed("id", "file_id")
 
@@ -71,8 +77,25 @@ def p8_endings(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"), least=1)
 
 
+# lines; then where the frontmatter ends; then the headings after it with an even number of fence lines before them
+SECTIONS_SQL = r"""
+WITH big AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM corpus_files WHERE length(content) > 4000),
+lines AS (SELECT file_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no, len(ls) AS n FROM big),
+front AS (SELECT file_id, coalesce(min(line_no) FILTER (rtrim(line, chr(13)) = '---' AND line_no > 1), 0) AS closes FROM lines
+          GROUP BY file_id HAVING bool_or(line_no = 1 AND rtrim(line, chr(13)) = '---')),
+fences AS (SELECT l.*, coalesce(closes, 0) AS closes,
+             sum(CASE WHEN line_no > coalesce(closes, 0) AND regexp_matches(line, '^[\s\p{Z}\x{85}]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS before
+           FROM lines l LEFT JOIN front USING (file_id))
+SELECT file_id, 1::INT AS line_no FROM big
+UNION ALL
+SELECT file_id, line_no::INT FROM fences
+WHERE line_no > greatest(closes, 1) AND before % 2 = 0
+  AND (regexp_matches(line, '^#{1,6}[\s\p{Z}\x{85}]') OR (line_no < n AND regexp_matches(line, '^#{1,6}$')))
+""".replace("\\\\", "\\")
+
 QUERIES = {
     "p1_found": p1_found,
+    "p1_ranges": p1_ranges,
     "p1_pieces": p1_pieces,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
@@ -86,5 +109,7 @@ QUERIES = {
     "p8_endings": p8_endings,
 }
 ORACLE = {
+    "p1_found": SECTIONS_SQL,
+    "p1_ranges": SECTIONS_SQL,
     "p6_found": "SELECT doc_id FROM (SELECT doc_id, max(strlen(text)) + 1 AS tokens FROM documents GROUP BY doc_id) WHERE tokens > 4096",
 }
