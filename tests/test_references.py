@@ -1,6 +1,9 @@
 """Orphan references, with a hot key that the split join must keep whole."""
 
 import datetime as dt
+import random
+
+from pyspark.sql import functions as F
 
 from vellumgrid.operators import references as R
 
@@ -60,13 +63,45 @@ def test_report_and_empty(spark, rows):
     files, heads = tables(spark)
     links = spark.createDataFrame([(1, "b", "/no", None, T, 0), (2, "b", "/no", None, T + 40 * DAY, 0)], LINKS)
     graph = spark.createDataFrame([], GRAPH)
-    found = R.orphan_references(links, files, heads, graph)
-    assert rows(R.orphan_report(found)) == [("links", dt.datetime(2025, 5, 1), 1), ("links", dt.datetime(2025, 6, 1), 1)]
+    twice = links.unionByName(links)
+    assert rows(R.orphan_report(twice, files, heads, graph)) == [("links", dt.datetime(2025, 5, 1), 1), ("links", dt.datetime(2025, 6, 1), 1)]
     none = R.orphan_references(links.limit(0), files.limit(0), heads.limit(0), graph)
-    assert none.count() == 0
+    assert none.count() == 0 and R.orphan_report(links.limit(0), files.limit(0), heads.limit(0), graph).count() == 0
+
+
+def test_months_that_do_not_decide(spark, rows):
+    """Records that come and go within a month, several alive at once, against a look at each link."""
+    rnd = random.Random(3)
+    at = lambda: T + dt.timedelta(hours=rnd.randrange(2000))
+    files = [(i, "b", f"/{rnd.randrange(6)}.md", at(), rnd.choice([None, at(), at()])) for i in range(40)]
+    heads = [(i, rnd.randrange(40), i, rnd.choice(["A", "b", "b-1", "B 1"])) for i in range(90)]
+    links = [(i, "b", f"/{rnd.randrange(7)}.md", rnd.choice([None, "a", "b", "b-1", "b-2", "b-1-1", ""]), at(), 0) for i in range(900)]
+    slugs = {}
+    for _, f, _, text in heads:
+        have = slugs.setdefault(f, [])
+        have.append(text.lower().replace(" ", "-"))
+    final = {f: {s if k == 0 else f"{s}-{k}" for s in have for k in range(have.count(s))} for f, have in slugs.items()}
+    want = []
+    for i, _, p, a, t, _ in links:
+        alive = [f for f, _, q, c, d in files if p == q and c <= t and (d is None or d > t)]
+        if not alive:
+            want.append((i, "target"))
+        elif a is not None and not any(a in final.get(f, ()) for f in alive):
+            want.append((i, "anchor"))
+    frames = [spark.createDataFrame(links, LINKS), spark.createDataFrame(files, FILES), spark.createDataFrame(heads, HEADS)]
+    assert rows(R.orphan_links(*frames), "link_id", "reason") == sorted(want, key=repr)
+    report = R.orphan_report(*frames, spark.createDataFrame([], GRAPH)).collect()
+    assert sum(r.n_orphans for r in report) == len(want)
 
 
-def test_heavy_keys_are_bounded(spark):
-    refs = spark.createDataFrame([(k, "t") for k in range(50) for _ in range(1 + 400 * (k == 7))], "k long, t string")
-    heavy = R.heavy_keys(R.reference_counts(refs, ["k"], ["t"]), ["k"], share=0.1)
-    assert [r.k for r in heavy.collect()] == [7]
+def test_heavy_keys(spark, rows):
+    """Small keys by broadcast, or heavy keys by broadcast and the others by shuffle: the same rows."""
+    data = [(i, "hot" if i % 3 else None) for i in range(300)] + [(1000 + i, f"k{i % 7}") for i in range(50)]
+    refs = spark.createDataFrame(data, "id long, k string")
+    sums = refs.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for missing in (["hot", "k3"], ["k1"], ["hot"]):
+        keys = spark.createDataFrame([(k, "x") for k in [*missing, None]], "k string, status string")
+        want = sorted(i for i, k in data if k is None or k in missing)
+        for limit in (0, 1 << 20):
+            got = R.pick(refs, keys, ["k"], sums, rows_per_task=40, broadcast_bytes=limit)
+            assert sorted(r.id for r in got.collect()) == want

@@ -9,17 +9,16 @@ from vellumgrid.operators import multivalue, references, snapshots
 from vellumgrid.runtime import table
 
 
-def _references(spark: SparkSession, d: str) -> DataFrame:
-    t = lambda n: table(spark, d, n)
-    return references.orphan_references(t("links"), t("corpus_files"), t("headings"), t("graph_files"))
+def _tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in ("links", "corpus_files", "headings", "graph_files")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _references(spark, d).select("ref_table", "ref_id", "item_pos")
+    return references.orphan_references(*_tables(spark, d))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_report(_references(spark, d))
+    return references.orphan_report(*_tables(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
