@@ -114,3 +114,27 @@ def test_sign_offs(spark):
     rows = [(i, "s", x) for i, x in enumerate(texts)] + [(100 + i, "b", x) for i, x in enumerate(full)] + [(200 + i, "b", x) for i, x in enumerate(cut)]
     got = {r.doc_id: r.cut for r in T.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert {k for k, cut in got.items() if cut} == {2, 3, 4, 5, 6, *range(200, 206)}
+
+
+def test_counting_every_word_gives_the_same(spark):
+    df = spark.createDataFrame([(f"d{i}", s, x) for i, s, x in corpus() if i is not None], "doc_id string, source string, text string")
+    few, all_ = ({tuple(r) for r in T.truncated(df, least=1, key_bound=b).collect()} for b in (1 << 20, 0))
+    assert few == all_ and {r[0] for r in few if r[3]} == {"d20", "d22", "d24", "d25", "d28", "d29"}
+    evidence = {r[0]: r[4] for r in few}
+    assert evidence["d20"] == evidence["d24"] == "part of a word" and evidence["d22"] == "word" and evidence["d28"] == "value" and evidence["d0"] is None
+
+
+def test_without_anything_longer_elsewhere_nothing_is_cut(spark):
+    df = spark.createDataFrame([(1, "s", "Qwx zrr"), (2, "s", "All is well.")], "doc_id long, source string, text string")
+    assert not any(r.cut for r in T.truncated(df, least=1).collect())
+
+
+@pytest.mark.parametrize("unit,want", [("one two three", "one two three"), ("a" * 500 + " b" * 200, "b b"), ("x " * 100 + "y" * 300 + " z", "y" * 300 + " z"), ("", "")])
+def test_tail(unit, want):
+    assert T.tail(unit) == want
+
+
+def test_marks_in_brackets():
+    assert [T.ending(f"The boat left. {x}")[0] for x in ("[continued]", "(see below)", "<cut here>", "[...]")] == [T.FINISHED] * 4
+    assert T.ending("The boat le [to be continued]")[::3] == (T.CUT, 11)
+    assert T.ending("x.\n\n[see](intro)")[0] == T.FINISHED

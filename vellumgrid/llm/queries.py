@@ -93,6 +93,11 @@ WHERE line_no > greatest(closes, 1) AND before % 2 = 0
   AND (regexp_matches(line, '^#{1,6}[\s\p{Z}\x{85}]') OR (line_no < n AND regexp_matches(line, '^#{1,6}$')))
 """.replace("\\\\", "\\")
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut texts of each kind were found by each kind of evidence."""
+    return truncation.truncated(table(spark, d, "documents"), least=1).where("cut").groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranges": p1_ranges,
@@ -107,6 +112,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_endings": p8_endings,
+    "p8_evidence": p8_evidence,
 }
 ORACLE = {
     "p1_found": SECTIONS_SQL,

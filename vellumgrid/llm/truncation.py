@@ -1,16 +1,19 @@
 """Texts cut off by a field limit or a broken transfer.
 
-Two kinds of evidence, both from joining ends of texts with longer text
-elsewhere by hashed prefixes:
+Evidence is that a text's end is a strict prefix of something longer elsewhere:
 
 * the whole value is a strict prefix of a longer value (hashes of the prefixes of
   1, 2, 4 … characters bring the two together, a hash at the exact length
   decides); it is cut if the longer one goes on inside its last token or sentence;
-* its last words are a beginning that elsewhere goes on. Where the form of the
-  ending doesn't settle whether it is finished (a list item, a sentence before an
-  ellipsis), its last words are joined with the same words inside all texts, and
-  it is finished if they end units there, cut if they only ever go on or are no
-  word anywhere.
+* its last words are a strict prefix of longer stretches: the last token begins
+  longer words and is none itself, or the last two words, or the last one, stand
+  inside other texts and go on there.
+
+The form of the ending (an open code block, a row with cells missing, a sentence
+without its end) only filters: a finished form is no case unless a longer value
+goes on. Where the form leaves it open (a list item, a sentence before an
+ellipsis), how often the same words end units, and how often they go on,
+decides by naive Bayes over counts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -21,20 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.llm.words import U, chunks, mix
+from vellumgrid.llm.words import U, beginnings, chunks, mix
 from vellumgrid.runtime import broadcast_if_small, materialise
 
-# What senders put in place of the rest, or after the end of a page.
-STANDINS = ("more", "page break", "truncated", "continued", "cut", "snip", "read more", "...", "…")
-_STANDIN = re.compile(r"\s*[\[(<](?:" + "|".join(map(re.escape, STANDINS)) + r")[\])>]\s*\Z", re.I)
+#: Up to three words, or an ellipsis, in brackets of their own at the very end: a mark of the sender's, or an aside.
+_STANDIN = re.compile(r"\s*(?<!\])[\[(<]\s*(?:\w+(?:[ \t]+\w+){0,2}|\.{3}|…)\s*[\])>]\s*\Z")
 _ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})\s*\Z")
 _TERMINAL = re.compile(r"[.!?。！？][\"”’')\]*_`»]*\Z")
 _LIST = re.compile(r"[ \t>]*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)")
 _BARE_MARKER = re.compile(r"[ \t>]*(?:[-*+]|[-*+] \[[ xX]?\]?|#{1,6}|-{2}|[`~]{1,2})[ \t]*\Z")
-_BARE_NUMBER = re.compile(r"(?:\A|\n[ \t]*\n|\n[ \t>]*(?:[-*+]|\d+[.)])[ \t][^\n]*\n)[ \t>]*\d+[.)][ \t]*\Z")
+_BARE_NUMBER = re.compile(r"[ \t>]*\d+[.)][ \t]*\Z")
+_AFTER_ITEM = re.compile(r"[ \t>]*(?:[-*+]|\d+[.)])[ \t]|[ \t]*\Z")
+_WORD = re.compile(r"[^\W_]+")
 _ITEMS = re.compile(r"^[ \t>]*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(\S[^\n]*)$", re.M)
 _DATED = re.compile(r"[^:\n]{1,30}: *\d{4}-\d\d-\d\d\Z")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)\Z")
@@ -51,7 +55,7 @@ PREFIX = 64
 _SHORT = PREFIX.bit_length() - 1
 #: A length is a limit of its source when so many different texts of it, and such a share, have it.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.01
-#: Distinct endings that are sent to the counting pass; beyond, it counts all words.
+#: Distinct endings that are sent to the counting pass, 8 bytes each; beyond, it counts all words and the join sorts them out.
 KEY_BOUND = 1 << 20
 
 
@@ -70,20 +74,20 @@ def ending(text: str) -> tuple[int, str, str, int]:
     if "```" in body or "~~~" in body:
         fences = sum(x.lstrip().startswith(("```", "~~~")) for x in body.split("\n"))
         if fences % 2:
-            return CUT, "code", "", n
+            return CUT, "code", body, n
         if visible.startswith(("```", "~~~")):
             return FINISHED, "code", "", n
     if visible.startswith("|"):
         at = body.rfind("\n\n") + 2 if "\n\n" in body else 0
         head = next((x for x in body[at:].split("\n") if x.lstrip().startswith("|")), visible)
         whole = visible.endswith("|") and len(visible) > 1 and visible.count("|") >= head.count("|")
-        return (FINISHED if whole else CUT), "table", "", n
-    # a number alone in a line may also be a wrapped sentence's last word
-    if _BARE_MARKER.match(last) or (last[:1].isdigit() or last[:1] in " \t>") and _BARE_NUMBER.search(body[-2000:]):
-        return CUT, "marker", "", n
+        return (FINISHED if whole else CUT), "table", body, n
+    # a number alone in a line is an item's unless it wraps a sentence
+    if _BARE_MARKER.match(last) or _BARE_NUMBER.match(last) and _AFTER_ITEM.match(_line_before(body)):
+        return CUT, "marker", body, n
     if _TERMINAL.search(body):
         paragraph = body[body.rfind("\n\n") + 2 :] if "\n\n" in body else body
-        return (CUT if paragraph.count("`") % 2 else FINISHED), SENTENCE, "", n
+        return (CUT if paragraph.count("`") % 2 else FINISHED), SENTENCE, body, n
     if _DATED.match(visible) or _LINK.match(visible):
         return FINISHED, "closing line", "", n
     if not body[-1].isalnum() and body[-1] not in _OPENERS and not body[-1].isspace() and body[-1] not in ")]}>":
@@ -93,17 +97,33 @@ def ending(text: str) -> tuple[int, str, str, int]:
     if m := _LIST.match(last):
         return ASK, ITEM, last[m.end() :], n
     if dots:
-        return ASK, SENTENCE, body[-200:], n
-    return CUT, SENTENCE, "", n
+        return ASK, SENTENCE, body, n
+    return CUT, SENTENCE, body, n
 
 
-_TAILS = pa.schema(
-    [
-        ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("whole", pa.int64()), ("verdict", pa.int32()), ("kind", pa.string()),
-        ("word", pa.int64()), ("pair", pa.int64()), ("n_words", pa.int32()), ("dots", pa.bool_()), ("body", pa.int64()), ("top", pa.int32()), ("sign", pa.string()), ("body_hash", pa.int64()), ("levels", pa.list_(pa.int64())),
-    ]
+def _line_before(body: str) -> str:
+    """The line before the last one, empty if there is none."""
+    at = body.rfind("\n")
+    return body[body.rfind("\n", 0, at) + 1 : at] if at >= 0 else ""
+
+
+def tail(unit: str, least: int = 2) -> str:
+    """The end of a unit from its ``least`` last words on, however long they are."""
+    size = 64
+    while size < len(unit):
+        words = list(_WORD.finditer(unit, len(unit) - size))
+        if len(words) > least:  # the first one may be cut in two
+            return unit[words[-least].start() :]
+        size *= 4
+    return unit
+
+
+_TAILS = (
+    ("chars", "long"), ("bytes", "long"), ("whole", "long"), ("verdict", "int"), ("kind", "string"), ("word", "long"), ("pair", "long"), ("n_words", "int"), ("dots", "boolean"),
+    ("body", "long"), ("top", "int"), ("sign", "string"), ("body_hash", "long"), ("levels", "array<long>"),
 )
-_TAILS_DDL = "doc_id long, source string, chars long, bytes long, whole long, verdict int, kind string, word long, pair long, n_words int, dots boolean, body long, top int, sign string, body_hash long, levels array<long>"
+_TAILS_DDL = ", ".join(map(" ".join, _TAILS))
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
 def _h(data: bytes) -> int:
@@ -123,9 +143,8 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, sources, rows, units = b.column(0).to_pylist(), b.column(1).to_pylist(), [], []
-        for id, source, text in zip(ids, sources, b.column(2)):
-            text = text.as_py()
+        rows, units = [], []
+        for text in b.column(2).to_pylist():
             verdict, kind, unit, n = ending(text)
             data = text.encode("utf-8", "replace")
             levels, at = [], 1
@@ -133,21 +152,25 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 levels.append(_h(text[:at].encode("utf-8", "replace")))
                 at *= 2
             top = n.bit_length() - 1
-            rows.append([id, source, len(text), len(data), _h(data), verdict, kind, 0, 0, 0, bool(_ELLIPSIS.search(text)), n, top, unit.encode("utf-8", "replace").decode() if kind == SIGN else None, _h(text[:n].encode("utf-8", "replace")), levels])
-            units.append(unit)
+            sign = unit.encode("utf-8", "replace").decode() if kind == SIGN else None
+            rows.append([len(text), len(data), _h(data), verdict, kind, None, None, 0, bool(_ELLIPSIS.search(text)), n, top, sign, _h(text[:n].encode("utf-8", "replace")), levels])
+            units.append("" if verdict == FINISHED else unit if kind == ITEM else tail(unit))
         for c in chunks(units, keep=True):
             h = _folded(c)
             pairs = _pairs(h)
             for k in np.flatnonzero(np.diff(c.bounds)):
                 end = int(c.bounds[k + 1]) - 1
                 r = rows[c.lo + int(k)]
-                r[7], r[8], r[9] = int(h[end].astype(np.int64)), int(pairs[end].astype(np.int64)), int(c.bounds[k + 1] - c.bounds[k])
+                r[5], r[6], r[7] = int(h[end].astype(np.int64)), int(pairs[end].astype(np.int64)), int(c.bounds[k + 1] - c.bounds[k])
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TAILS)], schema=_TAILS)
+            cols = [pa.array(x, _ARROW[kind]) for x, (_, kind) in zip(zip(*rows), _TAILS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "source", *(name for name, _ in _TAILS)])
 
 
 _STATS = pa.schema([("what", pa.int32()), ("key", pa.int64()), ("ends", pa.int64()), ("goes_on", pa.int64())])
-PAIRS, WORDS, ITEMS, LENGTHS = 0, 1, 2, 3
+#: What is counted: word pairs and words in sentences, words in unpunctuated list items, words that begin longer words; lengths of
+#: unpunctuated and of all items by number of words; and how many words in all end sentences or items, and go on.
+PAIRS, WORDS, ITEMS, PARTS, LENGTHS, ALL_LENGTHS, ALL_WORDS, ALL_ITEMS = range(8)
 _END = np.array([ord(x) for x in ".!?…。！？"], np.uint32)
 _CLOSE = np.array([ord(x) for x in "\"”’')]*_`»"], np.uint32)
 #: The last words of a text may themselves be cut and are not counted.
@@ -175,8 +198,11 @@ def _counter(keys):
         u, back = np.unique(h, return_inverse=True)
         n, e = np.bincount(back, minlength=len(u)), np.bincount(back, weights=end, minlength=len(u)).astype(np.int64)
         for k, x, y in zip(u.tolist(), e.tolist(), (n - e).tolist()):
-            was = total.get((what, k), (0, 0))
-            total[(what, k)] = (was[0] + x, was[1] + y)
+            plus(total, what, k, x, y)
+
+    def plus(total: dict, what: int, k: int, ends: int, goes_on: int) -> None:
+        was = total.get((what, k), (0, 0))
+        total[(what, k)] = (was[0] + ends, was[1] + goes_on)
 
     def rows(total: dict) -> pa.RecordBatch:
         key = np.array([k for _, k in total], U).astype(np.int64)
@@ -200,11 +226,22 @@ def _counter(keys):
                 inside = room > _OWN
                 add(total, PAIRS, _pairs(h)[inside], end[inside])
                 add(total, WORDS, h[inside], end[inside])
-            items = []
+                plus(total, ALL_WORDS, 0, int(end[inside].sum()), int((~end[inside]).sum()))
+                spelled, at = np.unique(c.hashes[inside], return_index=True)
+                at = np.flatnonzero(inside)[at]
+                at = at[h[at] == c.hashes[at]]  # no numbers
+                part = beginnings(c.points, c.start[at], c.stop[at])
+                add(total, PARTS, part, np.ones(len(part), bool))
+            items, closed = [], []
             for t in texts:
                 stop = t.rstrip().rfind("\n")
                 if stop > 0:
-                    items += [x for x in _ITEMS.findall(t, 0, stop) if not _TERMINAL.search(x.rstrip())]
+                    for x in _ITEMS.findall(t, 0, stop):
+                        (closed if _TERMINAL.search(x.rstrip()) else items).append(x)
+            for c in chunks(closed):
+                lengths = np.bincount(np.diff(c.bounds))
+                for k in np.flatnonzero(lengths).tolist():
+                    plus(total, ALL_LENGTHS, k, int(lengths[k]), 0)
             for c in chunks(items, keep=True):
                 h, size = _folded(c), np.diff(c.bounds)
                 if not len(h):
@@ -212,10 +249,11 @@ def _counter(keys):
                 last = np.zeros(len(h), bool)
                 last[c.bounds[1:][size > 0] - 1] = True
                 add(total, ITEMS, h, last)
+                plus(total, ALL_ITEMS, 0, int(last.sum()), int((~last).sum()))
                 lengths = np.bincount(size)
                 for k in np.flatnonzero(lengths).tolist():
-                    was = total.get((LENGTHS, k), (0, 0))
-                    total[(LENGTHS, k)] = (was[0] + int(lengths[k]), 0)
+                    plus(total, LENGTHS, k, int(lengths[k]), 0)
+                    plus(total, ALL_LENGTHS, k, int(lengths[k]), 0)
             if len(total) > 500_000:
                 yield rows(total)
                 total.clear()
@@ -278,50 +316,51 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(inside, pa.bool_()), pa.array(line, pa.bool_())], names=["body", "body_hash", "inside", "line"])
 
 
-def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", least: int = PREFIX) -> DataFrame:
-    """``(doc_id, source, kind, cut, at_limit, longer_copy)``: one row per text, ``cut`` if it stops before its end.
+def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", least: int = PREFIX, key_bound: int = KEY_BOUND) -> DataFrame:
+    """``(doc_id, source, kind, cut, evidence, at_limit, longer_copy)``: one row per text, ``cut`` if it stops before its end.
 
-    ``kind`` names the last element; ``at_limit`` tells that an unusual number of
-    the source's texts have just this length; ``longer_copy`` that another text
-    begins with this one and goes on, looked up for values of ``least`` characters
-    or more (1: all). A finished-looking ending is cut if the longer text goes on
-    inside its last token or sentence. NULL and blank texts are not cut and have
-    no row; rows with a NULL id are left out; a NULL source is a source; of a row
-    delivered twice the least verdict counts. Other columns are ignored.
+    ``kind`` names the last element. ``evidence`` tells what goes on elsewhere:
+    ``value`` (the whole text), ``part of a word``, ``words`` (the last two),
+    ``word``, ``sign-off``; or ``length`` where only the limit of its source speaks.
+    ``at_limit``: an unusual number of the source's texts have just this length;
+    ``longer_copy``: another text begins with this one and goes on, looked up for
+    values of ``least`` characters or more (1: all). A finished-looking ending is
+    cut if the longer text goes on inside its last token or sentence. NULL and
+    blank texts are not cut and have no row; rows with a NULL id are left out; a
+    NULL source is a source; of a row delivered twice the least verdict counts.
+    Ids may have any type. Other columns are ignored.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    rows = df.select(F.col(id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    tails = materialise(rows.mapInArrow(_tails, _TAILS_DDL), "tails")
+    tails = materialise(rows.mapInArrow(_tails, f"doc_id {df.schema[id].dataType.simpleString()}, source string, {_TAILS_DDL}"), "tails")
 
-    asked = tails.where(F.col("verdict") == ASK)
-    by_what = {PAIRS: asked.where(F.col("kind") != ITEM).select("pair"), WORDS: asked.select("word"), ITEMS: asked.where(F.col("kind") == ITEM).select("word")}
-    keys = materialise(_union(*(d.distinct().select(F.lit(w).alias("what"), F.col(d.columns[0]).alias("key")) for w, d in by_what.items())), "keys")
+    asked = tails.where((F.col("verdict") != FINISHED) & F.col("word").isNotNull())
+    questions = F.array(*(F.struct(F.lit(w).alias("what"), F.col(c).alias("key")) for w, c in ((PAIRS, "pair"), (WORDS, "word"), (ITEMS, "word"), (PARTS, "word"))))
+    keys = materialise(asked.select(F.explode(questions).alias("q")).select("q.*").distinct(), "keys")
     shared = None
-    if keys.count() <= KEY_BOUND:  # 8 MB at most
+    if keys.count() <= key_bound:
         got = keys.toPandas()
-        shared = spark.sparkContext.broadcast({w: np.sort(got["key"][got["what"] == w].to_numpy(np.int64).astype(U)) for w in by_what})
-    stats = rows.select("text").mapInArrow(_counter(shared), "what int, key long, ends long, goes_on long").groupBy("what", "key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
-    stats = materialise(stats, "stats")
-    lengths = {r["key"]: r["ends"] for r in stats.where(F.col("what") == LENGTHS).where(F.col("key") < 64).collect()}
-    longest, seen = 1, 0
-    for k in sorted(lengths):  # all but a hundredth of the unpunctuated items are this short
-        if seen < 0.99 * sum(lengths.values()):
-            longest = k
-        seen += lengths[k]
-
-    limits = None
-    for unit in ("chars", "bytes"):
-        n = tails.groupBy("source", unit).agg(F.count_distinct("whole").alias("n"))
-        all_ = tails.groupBy("source").agg(F.count_distinct("whole").alias("all"))
-        spike = n.join(all_.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
-        spike = spike.select(F.col("source").alias("_s"), F.lit(unit).alias("_unit"), F.col(unit).alias("_size"))
-        limits = spike if limits is None else limits.unionByName(spike)
+        shared = spark.sparkContext.broadcast({w: np.sort(got["key"][got["what"] == w].to_numpy(np.int64).astype(U)) for w in (PAIRS, WORDS, ITEMS, PARTS)})
+    counted = rows.select("text").mapInArrow(_counter(shared), "what int, key long, ends long, goes_on long").groupBy("what", "key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    if shared is None:
+        counted = counted.join(keys.unionByName(counted.where(F.col("what") > PARTS).select("what", "key")), ["what", "key"], "left_semi")
+    stats = materialise(counted, "stats")
+    base = {r["what"]: (r["ends"], r["goes_on"]) for r in stats.where(F.col("what").isin(ALL_WORDS, ALL_ITEMS)).collect()}  # two rows
+
+    # how many items have just so many words, and how many of all have more
+    lengths = stats.where(F.col("what").isin(LENGTHS, ALL_LENGTHS)).groupBy(F.col("key").alias("n_words")).agg(F.sum(F.when(F.col("what") == LENGTHS, F.col("ends"))).alias("_just"), F.sum(F.when(F.col("what") == ALL_LENGTHS, F.col("ends"))).alias("_all"))
+    more_words = Window.orderBy(F.col("n_words").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct length
+    lengths = lengths.select("n_words", F.coalesce("_just", F.lit(0)).alias("_just"), F.coalesce(F.sum("_all").over(more_words), F.lit(0)).alias("_more"))
+    sums = lengths.agg(F.sum("_just").alias("just"), F.sum("_more").alias("more")).first()
+
+    sizes = tails.select("source", "whole", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s")).distinct()
+    sizes = sizes.groupBy("source", "s.unit", "s.size").agg(F.count(F.lit(1)).alias("n"))
+    spikes = sizes.withColumn("all", F.sum("n").over(Window.partitionBy("source", "unit"))).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
     # at most one spike per hundredth of a source's texts and unit
-    limits = limits.groupBy("_s", "_unit").agg(F.collect_set("_size").alias("_sizes"))
-    chars, bytes_ = (limits.where(F.col("_unit") == u).select(F.col("_s").alias(f"_s_{u}"), F.col("_sizes").alias(f"_{u}")) for u in ("chars", "bytes"))
-    t = tails.join(chars, F.col("source").eqNullSafe(F.col("_s_chars")), "left").join(bytes_, F.col("source").eqNullSafe(F.col("_s_bytes")), "left")
-    t = t.withColumn("at_limit", F.coalesce(F.array_contains("_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("_bytes", F.col("bytes")), F.lit(False)))
+    limits = spikes.groupBy(F.col("source").alias("_s")).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("_bytes"))
+    t = tails.join(broadcast_if_small(materialise(limits, "limits")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    t = t.withColumn("at_limit", F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False)))
 
     copies = broadcast_if_small(materialise(longer_copies(tails, rows, least), "copies").withColumn("longer_copy", F.lit(True)))
     t = t.join(copies, ["body", "body_hash"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("longer_copy", "inside", "line")})
@@ -332,38 +371,43 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
         .when(F.col("kind").isin(SENTENCE, "symbol"), F.col("inside"))
         .otherwise(F.col("line"))
     )
-    t = t.withColumn("more", more & (F.col("verdict") != CUT))
+    t = t.withColumn("more", more).drop("levels", "_s", "_chars", "_bytes")
 
-    part = lambda w, c: stats.where(F.col("what") == w).select(F.col("key").alias(c), F.col("ends").alias(f"e{w}"), F.col("goes_on").alias(f"g{w}"))
-    ask = t.where(F.col("verdict") == ASK)
     # by binary order, a sign-off that others go on from is followed by one of them
-    signs = ask.where(F.col("kind") == SIGN).groupBy("sign").agg(F.count_distinct("whole").alias("_same"), F.first("word").alias("_word"), F.count_if(~F.col("at_limit")).alias("_off"))
+    signs = t.where(F.col("kind") == SIGN).groupBy("sign").agg(F.count_distinct("whole").alias("_same"), F.first("word").alias("_word"), F.count_if(~F.col("at_limit")).alias("_off"))
     follower = F.lead("sign").over(Window.partitionBy(F.substring("sign", 1, 4)).orderBy("sign"))
     ends = signs.groupBy("_word").agg(F.sum("_same").alias("_ends"), F.sum("_off").alias("_free"))
     signs = signs.withColumn("_goes_on", F.coalesce(follower.startswith(F.col("sign")), F.lit(False))).join(ends, "_word", "left").select("sign", "_goes_on", "_ends", "_free")
-    ask = ask.join(part(PAIRS, "pair"), "pair", "left").join(part(WORDS, "word"), "word", "left").join(part(ITEMS, "word"), "word", "left").join(signs, "sign", "left")
+
+    open_ = t.where(F.col("verdict") != FINISHED)
+    for what, key in ((PAIRS, "pair"), (WORDS, "word"), (ITEMS, "word"), (PARTS, "word")):
+        part = stats.where(F.col("what") == what).select(F.col("key").alias(key), F.col("ends").alias(f"e{what}"), F.col("goes_on").alias(f"g{what}"))
+        open_ = open_.join(broadcast_if_small(part), key, "left")
+    open_ = open_.join(broadcast_if_small(lengths), "n_words", "left").join(broadcast_if_small(signs), "sign", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    known = zero("e1") + zero("g1") > 0
-    sentence = F.when(F.col("at_limit"), True).when(zero("e0") + zero("g0") > 0, zero("e0") < 0.05 * (zero("e0") + zero("g0"))).otherwise(~known | (zero("e1") < 0.2 * (zero("e1") + zero("g1"))))
-    item = (
-        F.when(F.col("n_words") > longest, True)
-        .when(F.col("dots") & F.col("at_limit"), True)
-        .when(zero("e2") + zero("g2") > 0, zero("e2") < 0.1 * zero("g2"))
-        .otherwise(~known)
-    )
-    # a limit counts where no text off the limit ends so; else the last word is in doubt unless another sign-off ends so or it is a word inside texts
-    sign = (F.col("at_limit") & (zero("_free") == 0)) | F.coalesce("_goes_on", F.lit(False)) | ((zero("_ends") < 2) & ~known)
-    ask = ask.withColumn("cut", F.when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence) | F.col("more"))
-    told = t.where(F.col("verdict") != ASK).withColumn("cut", (F.col("verdict") == CUT) | F.col("more"))
-    keep = ["doc_id", "source", "kind", "cut", "at_limit", "longer_copy"]
-    both = ask.select(*keep).unionByName(told.select(*keep)).groupBy("doc_id")
-    return both.agg(F.min(F.struct("cut", "kind", "source", "at_limit")).alias("v"), F.max("longer_copy").alias("longer_copy")).select("doc_id", "v.source", "v.kind", "v.cut", "v.at_limit", "longer_copy")
-
-
-def _union(first: DataFrame, *rest: DataFrame) -> DataFrame:
-    for d in rest:
-        first = first.unionByName(d)
-    return first
+    seen = lambda w: zero(f"e{w}") + zero(f"g{w}") > 0
+    tail_evidence = F.when(~seen(WORDS) & seen(PARTS), "part of a word").when(seen(PAIRS), "words").when(seen(WORDS), "word")
+
+    def rather_cut(what: int, all_: int) -> Column:
+        """Whether words that are so often followed, and so often the end, are likelier where a text is cut than where a unit ends."""
+        end, on = base.get(all_, (0, 0))
+        return (zero(f"g{what}") + 1) * (end + 1) > (zero(f"e{what}") + 1) * (on + 1)
+
+    in_part = ~seen(WORDS) & seen(PARTS)
+    sentence = F.when(F.col("at_limit"), True).when(seen(PAIRS), rather_cut(PAIRS, ALL_WORDS)).when(seen(WORDS), rather_cut(WORDS, ALL_WORDS)).otherwise(in_part)
+    end, on = base.get(ALL_ITEMS, (0, 0))
+    just, longer = (sums["just"] or 0) + 1, (sums["more"] or 0) + 1
+    likelier = (zero(f"g{ITEMS}") + 1.0) * (end + 1) * (zero("_more") + 1) * just > (zero(f"e{ITEMS}") + 1.0) * (on + 1) * (zero("_just") + 1) * longer
+    item = F.when(F.col("dots") & F.col("at_limit"), True).when(seen(WORDS) | seen(ITEMS), likelier).otherwise(in_part)
+    # a limit counts where no text off the limit ends so; else the last word is in doubt unless another sign-off ends so
+    sign = (F.col("at_limit") & (zero("_free") == 0)) | F.coalesce("_goes_on", F.lit(False)) | ((zero("_ends") < 2) & in_part)
+    by_form = F.when(F.col("verdict") == CUT, tail_evidence.isNotNull()).when(F.col("kind") == ITEM, item).when(F.col("kind") == SIGN, sign).otherwise(sentence)
+    evidence = F.when(F.col("more"), "value").when(F.col("kind") == SIGN, F.when(F.coalesce("_goes_on", F.lit(False)), "sign-off").when(in_part, "part of a word")).otherwise(tail_evidence)
+    open_ = open_.withColumn("cut", by_form | F.col("more")).withColumn("evidence", F.when(F.col("cut"), F.coalesce(evidence, F.lit("length"))))
+    told = t.where(F.col("verdict") == FINISHED).withColumn("cut", F.col("more")).withColumn("evidence", F.when(F.col("more"), "value"))
+    keep = ["doc_id", "source", "kind", "cut", "evidence", "at_limit", "longer_copy"]
+    both = open_.select(*keep).unionByName(told.select(*keep)).groupBy("doc_id")
+    return both.agg(F.min(F.struct("cut", "kind", "source", "evidence", "at_limit")).alias("v"), F.max("longer_copy").alias("longer_copy")).select("doc_id", "v.source", "v.kind", "v.cut", "v.evidence", "v.at_limit", "longer_copy")
 
 
 def truncation_report(found: DataFrame) -> DataFrame:

@@ -77,6 +77,19 @@ def _hash(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h ^ (length.astype(U) << U(56))), start, start + length
 
 
+def beginnings(cps: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of all strict prefixes of the words at ``start:stop``, as these prefixes have them as words."""
+    length = stop - start
+    if not len(length):
+        return np.zeros(0, U)
+    first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    part = _Tables.lookup(cps[np.repeat(start, length) + place]) * _Tables.power(int(length.max()))[place]
+    total = np.cumsum(part)
+    h = mix((total - np.repeat(total[first] - part[first], length)) ^ ((place + 1).astype(U) << U(56)))
+    return h[place + 1 < np.repeat(length, length)]
+
+
 @dataclass
 class Chunk:
     """Words of the texts ``lo`` to ``hi`` (exclusive): text ``lo+k`` owns words ``bounds[k]:bounds[k+1]``."""
