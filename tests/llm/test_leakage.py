@@ -52,11 +52,21 @@ def test_random(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
 
 
-def test_blocks_of_items(spark):
+def test_by_shuffle(spark):
     docs, items = world(5)
+    d, i = spark.createDataFrame([(f"d{k}", t) for k, t in [*docs, docs[0]]], "doc_id string, text string"), spark.createDataFrame(items, "item_id int, item_text string")
+    got = [sorted(map(tuple, L.leaked_items(d, i, broadcast_bytes=n).collect())) for n in (0, 1 << 20)]
+    assert got[0] == got[1] and {(int(x[0][1:]), x[1]) for x in got[0]} == brute(docs, items, 12)
+
+
+def test_many_items(spark):
+    """A hundred thousand items are more than is broadcast."""
+    rnd = random.Random(8)
+    w = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
+    items = [(i, w(13)) for i in range(100_000)]
+    docs = [(d, f"{w(20)} {items[rnd.randrange(100_000)][1]} {w(9)} {items[rnd.randrange(100_000)][1][3:]}") for d in range(60)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
-    got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i, block_bytes=1500).collect()}
-    assert got == brute(docs, items, 12)
+    assert {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()} == brute(docs, items, 12)
 
 
 def test_longest_run_and_repeats(spark):

@@ -77,6 +77,11 @@ def p8_endings(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"), least=1)
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut texts of each kind were found by each kind of evidence."""
+    return truncation.truncated(table(spark, d, "documents"), least=1).where("cut").groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
 # lines; then where the frontmatter ends; then the headings after it with an even number of fence lines before them
 SECTIONS_SQL = r"""
 WITH big AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM corpus_files WHERE length(content) > 4000),
@@ -91,12 +96,23 @@ UNION ALL
 SELECT file_id, line_no::INT FROM fences
 WHERE line_no > greatest(closes, 1) AND before % 2 = 0
   AND (regexp_matches(line, '^#{1,6}[\s\p{Z}\x{85}]') OR (line_no < n AND regexp_matches(line, '^#{1,6}$')))
-""".replace("\\\\", "\\")
-
-def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """How many cut texts of each kind were found by each kind of evidence."""
-    return truncation.truncated(table(spark, d, "documents"), least=1).where("cut").groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_cut"))
-
+"""
+
+
+LEAKS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+di AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ii AS (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM di JOIN ii USING (run)
+"""
+SIMILAR_SQL = r"""
+WITH d AS (SELECT file_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM corpus_files WHERE content IS NOT NULL),
+g AS (SELECT DISTINCT file_id, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS gram FROM (SELECT file_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 40)),
+n AS (SELECT file_id, count(*) AS n FROM g GROUP BY file_id),
+both_ AS (SELECT a.file_id AS x, b.file_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.file_id < b.file_id GROUP BY ALL)
+SELECT x AS file_id_a, y AS file_id_b FROM both_ JOIN n p ON p.file_id = x JOIN n q ON q.file_id = y WHERE c >= 0.6 * (p.n + q.n - c) - 1e-9
+"""
 
 QUERIES = {
     "p1_found": p1_found,
@@ -115,6 +131,8 @@ QUERIES = {
     "p8_evidence": p8_evidence,
 }
 ORACLE = {
+    "p4_found": SIMILAR_SQL,
+    "p7_found": LEAKS_SQL,
     "p1_found": SECTIONS_SQL,
     "p1_ranges": SECTIONS_SQL,
     "p6_found": "SELECT doc_id FROM (SELECT doc_id, max(strlen(text)) + 1 AS tokens FROM documents GROUP BY doc_id) WHERE tokens > 4096",
