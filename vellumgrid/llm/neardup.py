@@ -9,7 +9,8 @@ on the texts themselves.
 
 The order comes from a counter array of fixed size: all n-grams of all texts are
 counted in ``2**log_counters`` counters. Any total order gives the same pairs;
-a finer one only makes fewer candidates.
+a finer one only makes fewer candidates. An n-gram whose counter is 1 is in one
+text only and is not posted at all.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from vellumgrid.llm.words import U, gram_sets, mix
 from vellumgrid.runtime import broadcast_if_small, materialise
 
-#: 2**22 counters of 4 bytes: a broadcast of 16 MB whatever the input.
-LOG_COUNTERS = 22
+#: 2**24 counters of one byte when sent: a broadcast of 16 MB whatever the input.
+LOG_COUNTERS = 24
 _BLOCK = 1 << 16
 #: Postings of one n-gram that one cell of the candidate join handles.
 CELL = 4096
@@ -80,32 +81,54 @@ def _profiler(n: int, least: int, t: float, log_counters: int):
     return run
 
 
+#: Counts are sent as eighths of their binary logarithm, rounded up; 0 is none, 1 exactly one.
+_STEPS = 8
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, np.minimum(np.ceil(np.log2(np.maximum(counts, 1)) * _STEPS) + 1, 255), 0).astype(np.uint8)
+
+
+def _bounds() -> np.ndarray:
+    """The greatest count each code stands for."""
+    return np.concatenate(([0.0], np.ceil(2.0 ** (np.arange(255) / _STEPS))))
+
+
 def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_BLOCK, np.int64)
     for x in pdf["data"]:
         part = np.frombuffer(zlib.decompress(x), np.int32)
         total[: len(part)] += part
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [_coded(total).tobytes()], "total": [int(total.sum())]})
 
 
-_POSTINGS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
+_POSTINGS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
+#: Places are sent in 14 bits beside the two of the side; a smaller place than the true one only weakens the positional bound.
+_PLACES = (1 << 14) - 1
 
 
 def _poster(n: int, least: int, t: float, log_counters: int, counts, parts: int, cell: int):
+    """Prefixes by part of the n-grams' hashes: half a hash, the text's number among those of the batch, and the place in its order."""
     shift = U(64 - log_counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        keys, classes, sizes, places, held = [], [], [], [], 0
+        bounds = _bounds()
+        keys, docs, places, classes, sizes, held = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            k, c, s, p = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes), np.concatenate(places)
+            k, d, p = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
             part = (k % U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            k, c, s, p, part = k[order], c[order], s[order], p[order], part[order]
-            cut = np.flatnonzero(np.diff(part)) + 1
-            cols = [[x.tobytes() for x in np.split(y, cut)] for y in (k, c, s, p)]
-            return pa.RecordBatch.from_arrays([pa.array(part[np.concatenate(([0], cut))], pa.int32()), *(pa.array(x, pa.binary()) for x in cols)], schema=_POSTINGS)
+            cut = np.flatnonzero(np.diff(part[order])) + 1
+            all_classes, all_sizes = np.array(classes, np.int64), np.array(sizes, np.uint32)
+            cols: list[list] = [[] for _ in _POSTINGS]
+            for at in np.split(order, cut):
+                here, d_here = np.unique(d[at], return_inverse=True)
+                row = (int(part[at[0]]), (k[at] >> U(32)).astype(np.uint32), d_here.astype(np.uint16), p[at], all_classes[here], all_sizes[here])
+                for col, x in zip(cols, row):
+                    col.append(x if isinstance(x, int) else x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _POSTINGS)], schema=_POSTINGS)
 
         for b in batches:
             for _, _, grams in gram_sets(b.column(0).to_pylist(), n, least):
@@ -114,10 +137,12 @@ def _poster(n: int, least: int, t: float, log_counters: int, counts, parts: int,
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(cls)
-                bound = counts.value[(grams >> shift).astype(np.int64)]
+                code = counts.value[(grams >> shift).astype(np.int64)]
                 top = _prefix(len(grams), t)
-                order = np.lexsort((grams, bound))[:top]
-                key, place, load = grams[order], np.arange(top, dtype=np.uint32), bound[order]
+                order = np.lexsort((grams, code))[:top]
+                key, place, load = grams[order], np.minimum(np.arange(top), _PLACES).astype(np.uint16), bounds[code[order]]
+                shared = load > 1
+                key, place, load = key[shared], place[shared], load[shared]
                 hot = np.flatnonzero(load > cell)
                 if len(hot):  # split the n-gram's postings into blocks, a cell for every pair of blocks
                     cold = load <= cell
@@ -128,17 +153,20 @@ def _poster(n: int, least: int, t: float, log_counters: int, counts, parts: int,
                         other = np.arange(blocks, dtype=U)
                         low, high = np.minimum(other, U(mine)), np.maximum(other, U(mine))
                         ks.append(mix(key[i] ^ mix(low * U(0x9E3779B1) + high + U(1))))
-                        side = np.where(other == U(mine), 0, np.where(other > U(mine), 1, 2)).astype(np.uint32)
-                        ps.append(place[i] | (side << np.uint32(30)))
+                        side = np.where(other == U(mine), 0, np.where(other > U(mine), 1, 2)).astype(np.uint16)
+                        ps.append(place[i] | (side << np.uint16(14)))
                     key, place = np.concatenate(ks), np.concatenate(ps)
+                if not len(key):
+                    continue
                 keys.append(key)
                 places.append(place)
-                classes.append(np.full(len(key), cls, np.int64))
-                sizes.append(np.full(len(key), len(grams), np.uint32))
+                docs.append(np.full(len(key), len(classes), np.uint16))
+                classes.append(cls)
+                sizes.append(len(grams))
                 held += len(key)
-                if held > 1_000_000:
+                if held > 1_000_000 or len(classes) == 1 << 16:
                     yield flush()
-                    keys, classes, sizes, places, held = [], [], [], [], 0
+                    keys, docs, places, classes, sizes, held = [], [], [], [], [], 0
         if held:
             yield flush()
 
@@ -152,16 +180,16 @@ def _candidates(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {}
         for b in batches:
-            part = b.column(0).to_pylist()
-            for i, p in enumerate(part):
-                rows.setdefault(p, []).append(tuple(np.frombuffer(b.column(1 + j)[i].as_buffer(), d) for j, d in enumerate((U, np.int64, np.uint32, np.uint32))))
+            for i, p in enumerate(b.column(0).to_pylist()):
+                key, doc, place, cls, size = (np.frombuffer(b.column(1 + j)[i].as_buffer(), kind) for j, kind in enumerate((np.uint32, np.uint16, np.uint16, np.int64, np.uint32)))
+                rows.setdefault(p, []).append((key, cls[doc], size[doc], place))
         for blobs in rows.values():
             key, cls, size, place = (np.concatenate(x) for x in zip(*blobs))
             blobs.clear()
             order = np.lexsort((cls, size, key))
             key, cls, size, place = key[order], cls[order], size[order].astype(np.int64), place[order]
             first = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))  # copies from other tasks
-            key, cls, size, side, place = key[first], cls[first], size[first], (place[first] >> np.uint32(30)), (place[first] & np.uint32(2**30 - 1)).astype(np.int64)
+            key, cls, size, side, place = key[first], cls[first], size[first], place[first] >> np.uint16(14), (place[first] & np.uint16(_PLACES)).astype(np.int64)
             at, step, found, held = np.arange(len(key)), 0, [], 0
             while len(at):
                 step += 1
@@ -252,13 +280,14 @@ def near_duplicates(
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     profile = materialise(rows.mapInArrow(_profiler(n, least_words, threshold, log_counters), _ddl(_PROFILE)), "profile")
 
-    blocks = profile.where(F.col("block").isNotNull()).select("block", "data").groupBy("block").applyInPandas(_sum_blocks, "block int, data binary").collect()
-    counts = np.zeros(1 << log_counters, np.int32)
-    for b in blocks:  # at most 2**log_counters counters in all
-        part = np.frombuffer(zlib.decompress(b.data), np.int32)
+    blocks = profile.where(F.col("block").isNotNull()).select("block", "data").groupBy("block").applyInPandas(_sum_blocks, "block int, data binary, total long").collect()
+    counts, total = np.zeros(1 << log_counters, np.uint8), 0
+    for b in blocks:  # 2**log_counters bytes in all at most
+        part = np.frombuffer(b.data, np.uint8)
         size = min(_BLOCK, len(counts) - b.block * _BLOCK)
         counts[b.block * _BLOCK : b.block * _BLOCK + size] = part[:size]
-    load = max(1.0, float(counts.mean()))
+        total += b.total
+    load = max(1.0, total / len(counts))
     shared = spark.sparkContext.broadcast(counts)
 
     texts = profile.where(F.col("id").isNotNull())
@@ -275,13 +304,12 @@ def near_duplicates(
     close = materialise(close.mapInArrow(_suffix_filter(threshold), "a long, b long, id_a long, id_b long"), "close")
 
     wanted = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    # a row delivered twice has one text here, the one its class was taken from or a twin
-    texts_of = rows.join(broadcast_if_small(wanted), "id", "left_semi").dropDuplicates(["id"])
+    texts_of = rows.join(broadcast_if_small(wanted), "id", "left_semi")
     both = close.join(texts_of.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
         texts_of.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
     )
-    links = both.select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(_verify(n, threshold), "a long, b long, similarity double")
-    return members, links
+    found = both.select("a", "b", "id_a", "id_b", "text_a", "text_b").mapInArrow(_verify(n, threshold), "a long, b long, similarity double")
+    return members, found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))  # rows delivered twice were verified twice
 
 
 def _ddl(schema: pa.Schema) -> str:
