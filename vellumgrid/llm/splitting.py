@@ -188,6 +188,7 @@ def stitch(ranges: DataFrame, soft: int | None = None) -> DataFrame:
     ``copies`` tells how often its text was. Ranges are summed within blocks, then
     the blocks: a text of any size is spread over its blocks.
     """
+    ranges = materialise(ranges, "ranges")  # the boundary tables: read more than once, the texts only once
     r = ranges.withColumn("block", F.floor(F.col("range_no") / BLOCK).cast("int")).repartition("id", "block")
     order = Window.partitionBy("id", "block").orderBy("range_no")
     before, all_of_it = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
