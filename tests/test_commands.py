@@ -6,6 +6,7 @@ import pytest
 
 from vellumgrid.__main__ import parser, run
 from vellumgrid.commands import CommandError, Corpus
+from vellumgrid.sources import files
 from vellumgrid.sources.files import discover_project
 
 FINANCE = {
@@ -86,7 +87,7 @@ def test_graph_and_check(finance):
     }
     files, nav = finance.manifest()
     assert files.count() == 6 and {r.path: r.next for r in nav.collect()} == {"/tasks/index.md": "/finance/index.md", "/finance/index.md": None}
-    assert {r.msg for r in finance.gate().collect()} == {"root-absolute link", "link leaves the corpus", "broken link -> /finance/q1-receipts.md"}
+    assert {r.msg for r in finance.gate().collect()} == {"root-absolute link -> /tasks/index.md", "link leaves the corpus -> ../../etc/x.md", "broken link -> /finance/q1-receipts.md", "anchor not found -> /finance/expenses.md#no-such-heading"}
 
 
 def test_wikilinks_and_rewrites(spark, tmp_path):
@@ -95,13 +96,14 @@ def test_wikilinks_and_rewrites(spark, tmp_path):
     assert [r[0] for r in all_of(c.backlinks("/b.md"))] == ["/a.md", "/b.md", "/two words.md"]
     assert [r[0] for r in all_of(c.orphans())] == ["/two words.md"]
     assert all_of(c.tidy()) == [
-        ("/a.md", "wikilink", "[[b]]", "[b](./b.md)"),
-        ("/a.md", "wikilink", "[[sub/c|the C]]", "[the C](./sub/c.md)"),
-        ("/index.md", "link", "/a.md", "./a.md"),
-        ("/two words.md", "link", "/b.md", "./b.md"),
-        ("/two words.md", "path", "/two words.md", "/two-words.md"),
+        ("/a.md", "wikilink", "[[b]]", "[b](./b.md)", None),
+        ("/a.md", "wikilink", "[[none]]", None, "no such document"),
+        ("/a.md", "wikilink", "[[sub/c|the C]]", "[the C](./sub/c.md)", None),
+        ("/index.md", "link", "/a.md", "./a.md", None),
+        ("/two words.md", "link", "/b.md", "./b.md", None),
+        ("/two words.md", "path", "/two words.md", "/two-words.md", None),
     ]
-    assert all_of(c.move("/b.md", "sub/b.md")) == [("/b.md", "a.md#x", "../a.md#x"), ("/b.md", "b.md", "./b.md"), ("/two words.md", "/b.md", "/sub/b.md")]
+    assert all_of(c.move("/b.md", "sub/b.md")) == [("/a.md", "wikilink", "[[b]]", "[[sub/b]]"), ("/b.md", "link", "a.md#x", "../a.md#x"), ("/b.md", "link", "b.md", "./b.md"), ("/two words.md", "link", "/b.md", "/sub/b.md")]
     with pytest.raises(CommandError):
         c.move("/b.md", "a.md")
     c.apply_move("/b.md", "sub/b.md")
@@ -110,12 +112,83 @@ def test_wikilinks_and_rewrites(spark, tmp_path):
     assert "/a.md" in [r[0] for r in all_of(after.backlinks("/sub/b.md"))]
 
 
+def test_moves_keep_code_and_declared_sources(spark, tmp_path):
+    a = "---\ntype: note\nsources:\n  - resource: ./b.md\n  - resource: docs/b.md\nsee: [b.md, x]\n---\n[b](b.md) `[b](b.md)` <b.md>\n```\n[b](b.md) [[b]]\n```\n![[b|B]] [b](<b.md>)\n"
+    b = "---\nsources: [{resource: ../src/x.go}]\n---\n[a](a.md)\n"
+    write(tmp_path, {"project.toml": 'name = "m"\ncorpus = "docs"\n', "src/x.go": "1", "docs/a.md": a, "docs/b.md": b})
+    c = Corpus(spark, discover_project(str(tmp_path)))
+    got = all_of(c.move("b", "in/c.md", references=True))
+    assert ("/a.md", "sources", "docs/b.md", "docs/in/c.md") in got and ("/a.md", "see", "b.md", "/in/c.md") in got and len(got) == 7
+    c.apply_move("b", "in/c.md")
+    assert (tmp_path / "docs/a.md").read_text() == a.replace("./b.md", "./in/c.md").replace("docs/b.md", "docs/in/c.md").replace("---\n[b](b.md)", "---\n[b](./in/c.md)").replace("![[b|B]] [b](<b.md>)", "![[in/c|B]] [b](<./in/c.md>)")
+    assert (tmp_path / "docs/in/c.md").read_text() == b.replace("../src", "../../src").replace("(a.md)", "(../a.md)")
+
+
+def test_tidy_fix_and_fields(spark, tmp_path, capsys):
+    write(tmp_path, {"project.toml": 'name = "t"\n', "index.md": "---\nokf_version: 0.1\n---\n[a](/a b.md) [[c]]\n", "a b.md": "---\ntype: note\n---\n[[gone]] [c](/c.md)\n", "c.md": "---\ntype: note\n---\nx\n", "sub/index.md": "y"})
+    args = lambda *a: parser().parse_args(["--root", str(tmp_path), *a])
+    assert run(spark, args("tidy", "--format", "csv")) == 0 and (tmp_path / "a b.md").exists()
+    assert run(spark, args("tidy", "--links", "--slug", "--wikilinks")) == 0
+    assert (tmp_path / "a-b.md").read_text().endswith("[[gone]] [c](./c.md)\n") and "[c](./c.md)" in (tmp_path / "index.md").read_text()
+    capsys.readouterr()
+    assert run(spark, args("check", "--fix", "--format", "csv")) == 0
+    assert capsys.readouterr().out.splitlines()[1] == "/index.md,okf_version,0.1,0.2" and 'okf_version: "0.2"' in (tmp_path / "index.md").read_text()
+    assert run(spark, args("set", "--list", "c", "tags", "x", "a, b")) == 0 and run(spark, args("set", "c", "type")) == 0
+    assert (tmp_path / "c.md").read_text() == '---\ntags: [x, "a, b"]\n---\nx\n'
+    with pytest.raises(CommandError):
+        run(spark, args("set", "sub/index.md", "type", "x"))
+
+
+def test_drafts(spark, tmp_path):
+    write(tmp_path, {"project.toml": 'name = "d"\n', "a.md": "1", "b.md": "1", "c.md": "1", "d.md": "1"})
+    c = Corpus(spark, discover_project(str(tmp_path)))
+    draft = str(tmp_path.parent / f"{tmp_path.name}-draft")
+    assert c.checkout(draft).count() == 4
+    with pytest.raises(CommandError):
+        c.checkout(draft)
+    write(tmp_path.parent / f"{tmp_path.name}-draft", {"a.md": "2", "b.md": "2", "e.md": "new"})
+    (tmp_path.parent / f"{tmp_path.name}-draft" / "d.md").unlink()
+    write(tmp_path, {"c.md": "3"})
+    fresh = lambda: Corpus(spark, discover_project(str(tmp_path)))
+    assert all_of(fresh().checkin(draft)) == [("/a.md", "apply"), ("/b.md", "apply"), ("/c.md", "workspace"), ("/d.md", "apply"), ("/e.md", "apply")]
+    write(tmp_path, {"b.md": "4"})
+    with pytest.raises(CommandError, match="/b.md"):
+        fresh().checkin(draft, apply=True)
+    assert (tmp_path / "a.md").read_text() == "1"
+    write(tmp_path, {"b.md": "2"})
+    fresh().checkin(draft, apply=True)
+    assert [(tmp_path / f"{n}.md").read_text() for n in "abce"] == ["2", "2", "3", "new"] and not (tmp_path / "d.md").exists()
+
+
+def test_publish(spark, tmp_path):
+    write(tmp_path, {"project.toml": 'name = "p"\ncorpus = "docs"\nexclude = ["site"]\n', "site/x.go": "https://h.org/x/graph.json", "src/x.go": "// https://h.org/y/graph.json\n", "docs/index.md": "[a](a.md) [e](https://h.org/z/graph.json)\r\n", "docs/a.md": "---\ntype: note\n---\n`[[x]]` and `<a href=x>`"})
+    c = Corpus(spark, discover_project(str(tmp_path)))
+    assert all_of(c.external_references()) == [("/index.md", 1, "https://h.org/z/graph.json", "corpus"), ("src/x.go", 1, "https://h.org/y/graph.json", "source")]
+    assert all_of(c.gate()) == []
+    out = c.publish()
+    names = sorted(p.name for p in (tmp_path / "dist").iterdir())
+    assert names == ["a.md", "corpus.zip", "graph.json", "index.md", "ledger.json", "llms.txt"] and out == str(tmp_path / "dist")
+    first = (tmp_path / "dist/corpus.zip").read_bytes()
+    c.publish()
+    assert (tmp_path / "dist/corpus.zip").read_bytes() == first and (tmp_path / "dist/index.md").read_bytes().endswith(b"json)\n")
+    assert {r.path for r in files.read_ledger(spark, str(tmp_path / "dist/ledger.json")).collect()} == {"a.md", "index.md"}
+    write(tmp_path, {"docs/a.md": "---\ntype: note\n---\n[[x]]\n[b](javascript:x) [t][r]\n\n[r]: y\n[u](../../u.md) [v](%zz.md)"})
+    bad = Corpus(spark, discover_project(str(tmp_path)))
+    assert {r[1].split(" ->")[0] for r in all_of(bad.gate())} >= {"wikilink", "forbidden scheme", "reference link", "link leaves the corpus", "invalid escape"}
+    with pytest.raises(CommandError):
+        bad.publish()
+    assert (tmp_path / "dist/corpus.zip").read_bytes() == first and not [p for p in tmp_path.iterdir() if ".new-" in p.name]
+
+
 def test_sources(spark, tmp_path, capsys, monkeypatch):
     write(tmp_path, {"project.toml": 'name = "s"\ncorpus = "docs"\n', "src/a.go": "1", "src/b.go": "1", ".env": "K", "docs/index.md": "[g](g.md) [m](m.md)", "docs/g.md": "---\ntype: note\nsources:\n  - resource: ../src/a.go\n---\n", "docs/m.md": "---\ntype: note\nsources:\n  - resource: src/gone.go\n---\n", "docs/lone.md": "x"})
     monkeypatch.chdir(tmp_path)
     args = lambda *a: parser().parse_args(["--root", str(tmp_path), *a])
     assert run(spark, args("scan", "--format", "csv")) == 0
     assert capsys.readouterr().out == "path,reason\n.env,environment_credentials\n"
+    c = Corpus(spark, discover_project(str(tmp_path)))
+    assert c.quarantine(".keepout") == ["/.env"] and c.quarantine(".keepout") == []
+    (tmp_path / ".keepout").unlink()
     (tmp_path / "src/a.go").write_text("2")
     (tmp_path / "src/b.go").unlink()
     assert run(spark, args("drift", "--format", "csv")) == 0

@@ -8,7 +8,7 @@ import sys
 from vellumgrid import sinks
 from vellumgrid.commands import CommandError, Corpus
 from vellumgrid.runtime import session
-from vellumgrid.sources.files import discover_project, write_lock
+from vellumgrid.sources.files import discover_project, head_revision, write_lock
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,15 +47,23 @@ def parser() -> argparse.ArgumentParser:
     command("tags", counted=True)
     command("properties", counted=True)
     command("property", "name", counted=True)
-    for name in ("unresolved", "orphans", "check", "gate"):
+    for name in ("unresolved", "orphans", "gate", "publish", "references"):
         command(name)
+    command("check").add_argument("--fix", action="store_true")
+    p = command("set", "name", "field")
+    p.add_argument("value", nargs="*")
+    p.add_argument("--list", action="store_true")
+    command("checkout", "folder")
+    command("checkin", "folder").add_argument("--apply", action="store_true")
     p = command("tidy")
     for f in ("links", "slug", "wikilinks"):
         p.add_argument(f"--{f}", action="store_true")
     p = command("move", "old", "new", aliases=("mv",))
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--references", action="store_true", help="respell frontmatter references too")
     p = command("scan")
     p.add_argument("--lock", default="sources.lock.json")
+    p.add_argument("--quarantine", metavar="IGNORE_FILE", help="append what is kept out to this ignore file")
     p.add_argument("--accept", action="store_true")
     for name in ("drift", "health"):
         command(name).add_argument("--lock", default="sources.lock.json" if name == "drift" else None)
@@ -90,19 +98,37 @@ def run(spark, a: argparse.Namespace) -> int:
         df = c.outgoing(a.name)
     elif a.command == "tidy":
         some = a.links or a.slug or a.wikilinks
-        df = c.tidy(a.links or not some, a.slug or not some, a.wikilinks or not some)
+        df = c.tidy(a.links or not some, a.slug or not some, a.wikilinks or not some).cache()
+        sinks.write_rows(df, sys.stdout, a.format)
+        if some:  # without a choice it only shows
+            c.apply_tidy(a.links, a.slug, a.wikilinks)
+        return 0
     elif a.command == "move":
-        df = c.move(a.old, a.new).cache()
-        print(sinks.emit(df, a.format), end="")
+        df = c.move(a.old, a.new, a.references).cache()
+        sinks.write_rows(df, sys.stdout, a.format)
         if not a.dry_run:
-            c.apply_move(a.old, a.new)
+            c.apply_move(a.old, a.new, a.references)
+        return 0
+    elif a.command == "set":
+        c.set_fields(a.name, {a.field: a.value if a.list else a.value[0] if a.value else None})
+        return 0
+    elif a.command in ("checkout", "checkin"):
+        df = c.checkout(a.folder) if a.command == "checkout" else c.checkin(a.folder, a.apply)
+    elif a.command == "publish":
+        print(c.publish())
         return 0
+    elif a.command == "references":
+        df = c.external_references()
     elif a.command == "scan":
         kept, out = c.inventory()
-        write_lock(kept, a.lock, replace=a.accept)
+        write_lock(kept, a.lock, head_revision(c.project.root), replace=a.accept)
+        if a.quarantine:
+            c.quarantine(a.quarantine)
         df = out.orderBy("path")
     elif a.command in ("drift", "health"):
         df = getattr(c, a.command)(a.lock)
+    elif a.command == "check" and a.fix:
+        df = c.fix()
     elif a.command == "check":
         df = c.check().cache()
         code = int(not df.where("level = 'error'").isEmpty())
@@ -120,7 +146,7 @@ def run(spark, a: argparse.Namespace) -> int:
         return 0
     else:
         df = getattr(c, a.command)()
-    print(sinks.emit(df, a.format), end="")
+    sinks.write_rows(df, sys.stdout, a.format)
     return code
 
 

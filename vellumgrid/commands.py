@@ -6,20 +6,24 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumgrid import sinks
 from vellumgrid.functions.paths import basename, canonical_resource, normalise_link, relative_link
-from vellumgrid.functions.urls import link_class
 from vellumgrid.operators import checks, graph, parse, provenance, rewrite, search
 from vellumgrid.sources import files as source
 from vellumgrid.sources.files import Project
 
 BUNDLE = "bundle"
+#: What a draft started from, in its folder.
+DRAFT = ".draft.json"
 
 
 class CommandError(Exception):
@@ -93,8 +97,7 @@ class Corpus:
     @cached_property
     def resources(self) -> DataFrame:
         """``(bundle, path, resource)``: declared sources from the project root, NULL outside it."""
-        here = "/" + os.path.relpath(self.project.dir, self.project.root).replace(os.sep, "/").removeprefix(".").lstrip("/")
-        doc = F.concat(F.lit(here.rstrip("/")), F.col("path"))
+        doc = F.concat(F.lit(self._corpus_at), F.col("path"))
         return self.entries.select(BUNDLE, "path", F.explode("resources").alias("r"), doc.alias("_d")).select(BUNDLE, "path", canonical_resource("_d", "r").alias("resource"))
 
     # --- queries ---------------------------------------------------------------------------------------------------
@@ -220,9 +223,21 @@ class Corpus:
 
     def inventory(self, ignore_files: Sequence[str] = (".gitignore",)) -> tuple[DataFrame, DataFrame]:
         """``(inventory, quarantine)`` of the project's sources, without its corpus and output."""
+        return provenance.inventory(self._sources(ignore_files))
+
+    def _sources(self, ignore_files: Sequence[str] = (".gitignore",)) -> DataFrame:
         root = self.project.root
-        out = [x for x in (self.project.output, self.project.corpus) if x != "."]
-        return provenance.inventory(source.source_files(self.spark, root, source.read_ignore_rules(root, ignore_files), out))
+        out = [x for x in (self.project.output, self.project.corpus, *self.project.exclude) if x != "."]
+        return source.source_files(self.spark, root, source.read_ignore_rules(root, ignore_files), out)
+
+    def quarantine(self, ignore_file: str = ".gitignore") -> list[str]:
+        """Append the quarantined paths to an ignore file, each once; the lines added."""
+        path = os.path.join(self.project.root, ignore_file)
+        old = open(path, encoding="utf-8").read() if os.path.exists(path) else ""
+        new = source.quarantine_lines(self.inventory((ignore_file,))[1], old)
+        if new:
+            rewrite.write_file(path, old + ("\n" if old and not old.endswith("\n") else "") + "\n".join(new) + "\n")
+        return new
 
     def drift(self, lock: str) -> DataFrame:
         return provenance.drift(source.read_lock(self.spark, lock), self.inventory()[0], "path").orderBy("path", "status")
@@ -248,49 +263,160 @@ class Corpus:
     # --- rewrites --------------------------------------------------------------------------------------------------
 
     def tidy(self, links: bool = True, slug: bool = True, wikilinks: bool = True) -> DataFrame:
-        """``(entry, field, from, to)``: what tidying would change."""
+        """``(entry, field, from, to, skip)``: what tidying would change, and what it would leave and why."""
         parts = []
+        none = F.lit(None).cast("string").alias("skip")
         if links:
             raw = self._inline.where(F.col("kind") == "absolute").select(F.col("path").alias("from_path"), "raw")
-            parts.append(rewrite.tidy_links_plan(raw).select(F.col("from_path").alias("entry"), F.lit("link").alias("field"), F.col("old").alias("from"), F.col("new").alias("to")))
+            parts.append(rewrite.tidy_links_plan(raw).select(F.col("from_path").alias("entry"), F.lit("link").alias("field"), F.col("old").alias("from"), F.col("new").alias("to"), none))
         if slug:
-            parts.append(rewrite.slug_plan(self.files).where(~F.col("collides")).select(F.col("path").alias("entry"), F.lit("path").alias("field"), F.col("path").alias("from"), F.col("new_path").alias("to")))
+            taken = F.when(F.col("collides"), "the name is taken").alias("skip")
+            parts.append(rewrite.slug_plan(self.files).select(F.col("path").alias("entry"), F.lit("path").alias("field"), F.col("path").alias("from"), F.col("new_path").alias("to"), taken))
         if wikilinks:
-            w = self.wikilinks.select(BUNDLE, F.col("path").alias("from_path"), "raw", "anchor", "display", F.col("to").alias("path"))
-            parts.append(rewrite.wikilink_plan(w).select(F.col("from_path").alias("entry"), F.lit("wikilink").alias("field"), F.col("old").alias("from"), F.col("new").alias("to")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.orderBy("entry", "field", "from")
-
-    def move(self, old: str, new: str) -> DataFrame:
-        """``(path, from, to)``: the raw destinations to respell when a document moves."""
+            w = self.wikilinks.select(BUNDLE, F.col("path").alias("from_path"), "raw", "anchor", "display", "embed", F.col("to").alias("path"))
+            parts.append(rewrite.wikilink_plan(w).select(F.col("from_path").alias("entry"), F.lit("wikilink").alias("field"), F.col("old").alias("from"), F.col("new").alias("to"), "skip"))
+        return reduce(DataFrame.unionByName, parts).orderBy("entry", "field", "from")
+
+    def apply_tidy(self, links: bool = False, slug: bool = False, wikilinks: bool = False) -> None:
+        """Carry out :meth:`tidy`; renames last, each with the links to it. The corpus must be loaded again afterwards."""
+        plan = self.tidy(links, slug, wikilinks).where(F.col("skip").isNull())
+        self._rewrite(plan.where(F.col("field") != "path").select("entry", "field", "from", "to"))
+        renames = [(r["from"], r["to"]) for r in plan.where(F.col("field") == "path").collect()] if slug else []
+        for old, new in renames:
+            Corpus(self.spark, self.project).apply_move(old, new)
+
+    def move(self, old: str, new: str, references: bool = False) -> DataFrame:
+        """``(entry, field, from, to)``: what to respell when a document moves: links, wikilinks, declared sources.
+
+        ``references``: also frontmatter values that name it as a ``.md`` path.
+        """
         old = self._one(old)
         new = "/" + source.safe_relative(new.lstrip("/"))
         if self.known.where(F.col("path") == new).limit(1).count():
             raise CommandError(f"{new} exists")
+        moved = F.col("path") == old
+        home = F.when(moved, F.lit(new)).otherwise(F.col("path"))
+        row = lambda field: [F.col("path").alias("entry"), field.alias("field"), F.col("raw").alias("from"), F.col("_new").alias("to")]
+
         own = self._inline.where(F.col("kind").isin("absolute", "relative") & ~F.col("n.escapes")).select("path", "raw", "kind", F.col("n.path").alias("target"), F.col("n.anchor").alias("anchor"))
-        rows = own.where((F.col("path") == old) & (F.col("kind") == "relative") | (F.col("target") == old))
-        home = F.when(F.col("path") == old, F.lit(new)).otherwise(F.col("path"))
         goal = F.when(F.col("target") == old, F.lit(new)).otherwise(F.col("target"))
         spelled = F.when(F.col("kind") == "absolute", goal).otherwise(relative_link(home, goal))
         full = F.concat(spelled, F.coalesce(F.concat(F.lit("#"), F.col("anchor")), F.lit("")))
-        return rows.select("path", F.col("raw").alias("from"), full.alias("to")).distinct().where(F.col("from") != F.col("to")).orderBy("path", "from")
-
-    def apply_move(self, old: str, new: str) -> None:
-        """Carry out :meth:`move`: rewrite each document once, then rename."""
-        old, plan = self._one(old), self.move(old, new).collect()
-        base = self.project.dir
-        by: dict[str, list[tuple[str, str]]] = {}
-        for r in plan:
-            by.setdefault(r["path"], []).append((r["from"], r["to"]))
-        for path, steps in by.items():
-            with open(base + path, encoding="utf-8", newline="") as f:
+        links = own.where(moved & (F.col("kind") == "relative") | (F.col("target") == old)).withColumn("_new", full)
+
+        # a wikilink that meant the document is respelled as the path it then has
+        name = F.regexp_replace(F.lit(new.lstrip("/")), r"\.md\z", "")
+        rest = F.concat(F.when(F.col("anchor") != "", F.concat(F.lit("#"), F.col("anchor"))).otherwise(""), F.when(F.col("display") != "", F.concat(F.lit("|"), F.col("display"))).otherwise(""))
+        bang = F.when(F.col("embed"), "!").otherwise("")
+        wiki = self.wikilinks.where(F.col("to") == old).select("path", F.concat(bang, F.lit("[["), F.col("raw"), F.lit("]]")).alias("raw"), F.concat(bang, F.lit("[["), name, rest, F.lit("]]")).alias("_new"))
+
+        here = self._corpus_at
+        declared = self.entries.select("path", F.explode("resources").alias("raw"))
+        is_relative = F.col("raw").startswith("./") | F.col("raw").startswith("../")
+        resolved = canonical_resource(F.concat(F.lit(here), F.col("path")), "raw")
+        to_moved = resolved == (here + old).lstrip("/")
+        goal = F.concat(F.lit("/"), F.when(to_moved, F.lit((here + new).lstrip("/"))).otherwise(resolved))
+        kept = F.when(is_relative, relative_link(F.concat(F.lit(here), home), goal)).otherwise(F.regexp_replace(goal, r"\A/", ""))
+        sources = declared.where(resolved.isNotNull() & (to_moved | moved & is_relative)).withColumn("_new", kept)
+
+        plan = links.select(*row(F.lit("link"))).unionByName(wiki.select(*row(F.lit("wikilink")))).unionByName(sources.select(*row(F.lit("sources"))))
+        if references:
+            values = parse.fm_values(self.entries, "path").where((F.col("key") != "sources") & F.regexp_replace("value", r"#[\s\S]*\z", "").endswith(".md"))
+            n = normalise_link("path", "value")
+            values = values.select("path", "key", F.col("value").alias("raw"), n.alias("n")).where(~F.col("n.escapes") & (moved | (F.col("n.path") == old)))
+            target = F.concat(F.when(F.col("n.path") == old, F.lit(new)).otherwise(F.col("n.path")), F.coalesce(F.concat(F.lit("#"), F.col("n.anchor")), F.lit("")))
+            plan = plan.unionByName(values.withColumn("_new", target).select(*row(F.col("key"))))
+        return plan.distinct().where(F.col("from") != F.col("to")).orderBy("entry", "field", "from")
+
+    @cached_property
+    def _corpus_at(self) -> str:
+        """The corpus folder from the project root, with a slash before it, empty for the root itself."""
+        return ("/" + os.path.relpath(self.project.dir, self.project.root).replace(os.sep, "/").removeprefix(".").lstrip("/")).rstrip("/")
+
+    def _rewrite(self, plan: DataFrame) -> None:
+        """Apply ``(entry, field, from, to)``: one document after another is read, respelled and replaced."""
+        steps = plan.groupBy("entry").agg(F.collect_list(F.struct("field", "from", "to")).alias("steps"))
+        for r in steps.toLocalIterator():  # as much as one document's links at a time
+            path = self.project.dir + r["entry"]
+            with open(path, encoding="utf-8", newline="") as f:
                 text = f.read()
-            rewrite.write_file(base + path, rewrite.apply_plan(text, steps))
-        goal = base + "/" + new.lstrip("/")
+            in_body = [(x["from"], x["to"]) for x in r["steps"] if x["field"] in ("link", "wikilink")]
+            values: dict[str, dict[str, str]] = {}
+            for x in r["steps"]:
+                if x["field"] not in ("link", "wikilink"):
+                    values.setdefault(x["field"], {})[x["from"]] = x["to"]
+            rewrite.write_file(path, rewrite.respell_values(rewrite.apply_plan(text, in_body), values))
+
+    def apply_move(self, old: str, new: str, references: bool = False) -> None:
+        """Carry out :meth:`move`: rewrite each document once, then rename. The corpus must be loaded again afterwards."""
+        old = self._one(old)
+        self._rewrite(self.move(old, new, references))
+        goal = self.project.dir + "/" + source.safe_relative(new.lstrip("/"))
         os.makedirs(os.path.dirname(goal), exist_ok=True)
-        os.rename(base + old, goal)
+        os.rename(self.project.dir + old, goal)
+
+    def fix(self, apply: bool = True) -> DataFrame:
+        """``(entry, field, from, to)``: the root document's declared version, set to the one of the settings."""
+        want = source.SPECS[self.project.spec]
+        root = self.entries.where(F.col("path") == "/index.md")
+        broken = root.where(F.col("fm_error").isNotNull()).limit(1).collect()
+        if broken:
+            raise CommandError(f"/index.md: {broken[0]['fm_error']}")
+        got = F.coalesce(F.get(checks.property("okf_version"), 0), F.lit(""))
+        plan = root.select(F.col("path").alias("entry"), F.lit("okf_version").alias("field"), got.alias("from"), F.lit(want).alias("to")).where(got != want)
+        if apply and not plan.isEmpty():
+            self.set_fields("/index.md", {"okf_version": want})
+        return plan
+
+    def set_fields(self, name: str, fields: dict[str, str | list[str] | None]) -> None:
+        """Set (NULL: remove) frontmatter keys of one document, all or none."""
+        path = self._one(name)
+        try:
+            with open(self.project.dir + path, encoding="utf-8", newline="") as f:
+                text = f.read()
+            reserved = path != "/index.md" and os.path.basename(path) in ("index.md", "log.md")
+            rewrite.write_file(self.project.dir + path, rewrite.set_fields(text, fields, reserved))
+        except ValueError as e:
+            raise CommandError(str(e)) from e
+
+    # --- drafts ----------------------------------------------------------------------------------------------------
+
+    def checkout(self, folder: str) -> DataFrame:
+        """Copy the corpus into an empty folder, with the digests it starts from; ``(path, sha256)``."""
+        os.makedirs(folder, exist_ok=True)
+        if os.listdir(folder):
+            raise CommandError(f"{folder} is not empty")
+        base = self._digests(self.files).cache()
+        for r in self.files.select("path", "content").toLocalIterator():
+            os.makedirs(os.path.dirname(folder + r["path"]), exist_ok=True)
+            rewrite.write_file(folder + r["path"], r["content"])
+        sinks.write_json(os.path.join(folder, DRAFT), {"version": "0", "corpus": self.project.dir, "files": {r["path"]: r["sha256"] for r in base.toLocalIterator()}})
+        return base.orderBy("path")
+
+    def checkin(self, folder: str, apply: bool = False) -> DataFrame:
+        """``(path, change)`` of a draft against its base and the corpus; ``apply`` carries out what is to apply.
+
+        A conflict refuses all of it. What was replaced is kept until the last file
+        is in place and put back if one fails.
+        """
+        with open(os.path.join(folder, DRAFT), encoding="utf-8") as f:
+            data = json.load(f)
+        if data.get("version") != "0" or data.get("corpus") != self.project.dir:
+            raise CommandError("not a draft of this corpus")
+        base = self.spark.createDataFrame(list(data["files"].items()), "path string, sha256 string")
+        draft = self._digests(source.corpus_files(self.spark, replace(self.project, root=os.path.abspath(folder), corpus=".", output=".none")))
+        generated = self._digests(self.files).where(F.lit(False))
+        plan = provenance.merge_plan(base, draft, self._digests(self.files), generated, "path").orderBy("path").cache()
+        if apply:
+            rows = plan.where(F.col("change").isin("apply", "conflict")).collect()
+            clash = [r["path"] for r in rows if r["change"] == "conflict"]
+            if clash:
+                raise CommandError("conflicts: " + ", ".join(clash), 1)
+            sinks.apply_files([(folder + r["path"], self.project.dir + r["path"]) for r in rows])
+        return plan
+
+    def _digests(self, files: DataFrame) -> DataFrame:
+        return files.select("path", F.sha2("content", 256).alias("sha256"))
 
     # --- publication -----------------------------------------------------------------------------------------------
 
@@ -301,8 +427,38 @@ class Corpus:
 
     def gate(self) -> DataFrame:
         """``(entry, msg)``: what keeps the corpus from being published."""
-        text = self.files.select(F.col("path").alias("entry"), checks.link_gate("content").alias("msg")).where(F.col("msg").isNotNull())
-        bad = self._inline.where(F.col("n.escapes") | (link_class("raw") == "absolute")).select(F.col("path").alias("entry"), F.when(F.col("n.escapes"), F.lit("link leaves the corpus")).otherwise(F.lit("root-absolute link")).alias("msg"))
-        lost = self.unresolved().select(F.col("from").alias("entry"), F.concat(F.lit("broken link -> "), F.col("to")).alias("msg"))
-        errors = self.check().where(F.col("level") == "error").select("entry", "msg")
-        return text.unionByName(bad).unionByName(lost).unionByName(errors).distinct().orderBy(walk_key("entry"), "msg")
+        said = F.when(F.col("detail") == "", F.col("rule")).otherwise(F.concat_ws(" -> ", "rule", "detail"))
+        text = checks.gate_issues(self.files, "content", "path").select(F.col("path").alias("entry"), said.alias("msg"))
+        found = self.check()
+        lost = F.col("msg").startswith("broken link ->") | F.col("msg").startswith("anchor not found ->")
+        wrong = found.where((F.col("level") == "error") | lost).select("entry", "msg")
+        return text.unionByName(wrong).distinct().orderBy(walk_key("entry"), "msg")
+
+    def external_references(self) -> DataFrame:
+        """``(from, line, url, origin)``: published graphs the corpus and its sources name, in order."""
+        cols = [F.col("url"), F.col("line"), F.col("from")]
+        here = parse.inline_links(self.files, "content", "path").where(F.col("kind") == "external").select(F.col("raw").alias("url"), F.col("line_no").alias("line"), F.col("path").alias("from"), F.lit("corpus").alias("origin"))
+        there = source.literal_urls(self._sources()).select("url", F.col("line_no").alias("line"), F.col("path").alias("from"), F.lit("source").alias("origin"))
+        rows = here.unionByName(there).select(*cols, "origin").where(provenance.graph_address("url"))
+        return rows.distinct().orderBy("from", "line", "url", "origin").select("from", "line", "url", "origin")
+
+    def publish(self, folder: str | None = None) -> str:
+        """Build the publication (documents, manifest, reading order, archive) beside its place and swap it in; the folder's name."""
+        refused = self.gate().limit(1).collect()
+        if refused:
+            raise CommandError(f"{refused[0]['entry']}: {refused[0]['msg']}", 1)
+        out = os.path.abspath(folder or os.path.join(self.project.root, self.project.output))
+        docs = source.compiled_corpus(self.files)
+        files, nav = self.manifest()
+        order = graph.reading_order(self.files, self.links).join(files.select("path", "title"), "path")
+        with sinks.swapped(out) as temp:
+            ledger = {}
+            for r in docs.select("path", "content", F.sha2("content", 256).alias("sha256")).toLocalIterator():
+                os.makedirs(os.path.dirname(temp + r["path"]), exist_ok=True)
+                rewrite.write_file(temp + r["path"], r["content"])
+                ledger[r["path"].lstrip("/")] = r["sha256"]
+            rewrite.write_file(os.path.join(temp, "graph.json"), sinks.graph_json(files, nav))
+            rewrite.write_file(os.path.join(temp, "llms.txt"), sinks.llms_txt(self.project.name, order))
+            sinks.archive(temp, sorted(ledger), os.path.join(temp, "corpus.zip"))
+            sinks.write_json(os.path.join(temp, "ledger.json"), {"version": "0", "files": dict(sorted(ledger.items()))})
+        return out

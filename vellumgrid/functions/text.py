@@ -27,8 +27,15 @@ def landing_slug(name: Column | str) -> Column:
 
 
 def version_key(version: Column | str) -> Column:
-    """``(major, minor, patch)`` of a semantic version, comparable; NULL if it is none. A leading ``v`` and what follows the patch are passed over."""
+    """A semantic version as a comparable value; NULL if it is none. A leading ``v`` and the build after ``+`` don't count.
+
+    ``(major, minor, patch, released, parts)``: a release comes after its
+    pre-releases, whose parts compare as numbers, before words, or as words.
+    """
     v = F.regexp_replace(_c(version), r"\Av", "")
-    ok = v.rlike(r"\A\d{1,9}\.\d{1,9}\.\d{1,9}(?:[-+].*)?\z")
+    ok = v.rlike(r"\A\d{1,9}\.\d{1,9}\.\d{1,9}(?:-[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?(?:\+.*)?\z")
     part = lambda i: F.regexp_extract(v, r"\A(\d+)\.(\d+)\.(\d+)", i).try_cast("int")
-    return F.when(ok, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+    pre = F.regexp_extract(v, r"\A[^-+]*-([^+]*)", 1)
+    numeric = lambda x: x.rlike(r"\A\d{1,18}\z")
+    parts = F.transform(F.filter(F.split(pre, r"\."), lambda x: x != ""), lambda x: F.struct((~numeric(x)).alias("word"), F.coalesce(F.when(numeric(x), x).try_cast("long"), F.lit(0)).alias("number"), x.alias("text")))
+    return F.when(ok, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"), (pre == "").alias("released"), parts.alias("parts")))

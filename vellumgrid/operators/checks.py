@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumgrid.functions.paths import basename, depth
+from vellumgrid.functions.markdown import prose_lines
+from vellumgrid.functions.paths import basename, depth, normalise_link
 from vellumgrid.functions.text import heading_slug
+from vellumgrid.functions.urls import link_class
+from vellumgrid.operators.parse import inline_links
 
 # The states a document may declare.
 STATES = ("draft", "stable", "deprecated")
@@ -77,15 +80,46 @@ def document_issues(parsed: DataFrame, *keep: str, types: Sequence[str] | None =
 
 
 def link_gate(content: Column | str) -> Column:
-    """The first construct a publication refuses, or NULL: reference links, HTML links, wikilinks."""
+    """The first construct a publication refuses in code-free text, or NULL: reference links, HTML links, wikilinks."""
     c = _c(content)
     return (
-        F.when(c.rlike(r"(?md)^[\t ]{0,3}\[[^\]\n]+\]:[\t ]*\S"), "reference link")
+        F.when(c.rlike(r"(?md)^[\t ]{0,3}\[[^\]\n]+\]:[\t ]*\S") | c.rlike(r"\[[^\]\n]+\]\[[^\]\n]*\](?!\()"), "reference link")
         .when(c.rlike(r"(?i)<a\s[^>]*href"), "HTML link")
-        .when(c.rlike(r"\[\[[^\]\n]+\]\]"), "wikilink")
+        .when(c.contains("[[") | c.contains("]]"), "wikilink")
     )
 
 
+#: Schemes no published link may have.
+FORBIDDEN_SCHEMES = ("javascript", "data", "file", "vbscript", "about", "blob")
+
+
+def target_gate(source: Column | str, raw: Column | str) -> Column:
+    """Why a publication refuses a link's raw destination, or NULL."""
+    r = _c(raw)
+    kind = link_class(r)
+    scheme = F.lower(F.regexp_extract(r, r"\A([^:]*):", 1))
+    path = F.regexp_replace(r, r"#[\s\S]*\z", "")
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    inner = kind.isin("relative", "absolute")
+    return (
+        F.when((kind == "external") & scheme.isin(*FORBIDDEN_SCHEMES), "forbidden scheme")
+        .when(inner & (path.contains("\\") | path.contains("\x00")), "unsafe target")
+        .when(inner & plain.isNull(), "invalid escape")
+        .when((kind == "absolute") | inner & plain.startswith("/"), "root-absolute link")
+        .when(inner & normalise_link(source, plain)["escapes"], "link leaves the corpus")
+        .when(F.regexp_extract(r, r"#([\s\S]*)\z", 1).rlike(r"[\r\n]"), "invalid fragment")
+    )
+
+
+def gate_issues(docs: DataFrame, content: str, *keep: str) -> DataFrame:
+    """``(keep..., line_no, rule, detail)``: what a publication refuses in documents ``(keep..., path, content)``, code aside."""
+    cols = list(dict.fromkeys([*keep, "path"]))
+    lines = prose_lines(docs, content, *cols, code_free=True)
+    forms = lines.select(*keep, "line_no", link_gate("line").alias("rule"), F.lit("").alias("detail"))
+    targets = inline_links(docs, content, *cols).select(*keep, "line_no", target_gate("path", "raw").alias("rule"), F.col("raw").alias("detail"))
+    return forms.unionByName(targets).where(F.col("rule").isNotNull())
+
+
 def graph_issues(links: DataFrame, docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """``(bundle, path, level, rule, detail)`` of edges: targets that are missing, anchors that are no heading.
 

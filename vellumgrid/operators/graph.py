@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.paths import basename, depth, dirname, matches_glob
-from vellumgrid.runtime import materialise
+from vellumgrid.runtime import broadcast_if_small, materialise
 
 
 def edges(links: DataFrame) -> DataFrame:
@@ -56,27 +56,39 @@ def outgoing(links: DataFrame) -> DataFrame:
     return links.withColumn("_n", turn).where(F.col("_n") == 1).select("bundle", "from_path", "target", "link_text", "line_no", "ord")
 
 
-def reachable(docs: DataFrame, links: DataFrame, root: str = "/index.md") -> DataFrame:
+#: Hops computed in one plan before the new documents are written.
+HOPS_PER_ROUND = 3
+
+
+def reachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", hops_per_round: int = HOPS_PER_ROUND) -> DataFrame:
     """``(bundle, path, hops)`` of the documents a chain of links leads to from the root.
 
-    Breadth first over all bundles at once; each round is a written table, so a
-    lost executor costs no earlier round. Edges are prepared once.
+    Breadth first over all bundles at once, a few hops to a plan; each round is a
+    written table, so a lost executor costs no earlier round. Edges are prepared once.
     """
     known = docs.select("bundle", "path").distinct()
-    steps = materialise(links.select("bundle", F.col("from_path").alias("path"), F.col("target").alias("next")).distinct().join(known.withColumnRenamed("path", "next"), ["bundle", "next"], "left_semi"), "edges")
-    seen = materialise(known.where(F.col("path") == root).withColumn("hops", F.lit(0)), "seen")
-    frontier, hops = seen, 0
-    while not frontier.isEmpty():
-        hops += 1
-        new = frontier.select("bundle", "path").join(steps, ["bundle", "path"]).select("bundle", F.col("next").alias("path")).distinct()
-        frontier = materialise(new.join(seen, ["bundle", "path"], "left_anti").withColumn("hops", F.lit(hops)), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    steps = links.select("bundle", F.col("from_path").alias("path"), F.col("target").alias("next")).distinct().join(known.withColumnRenamed("path", "next"), ["bundle", "next"], "left_semi")
+    steps = materialise(steps.where(F.col("path") != F.col("next")), "edges")
+    seen = frontier = known.where(F.col("path") == root).withColumn("hops", F.lit(0))
+    hops = 0
+    while True:
+        found, last = None, frontier
+        for _ in range(hops_per_round):
+            hops += 1
+            before = seen if found is None else seen.unionByName(found)
+            step = last.select("bundle", "path").join(steps, ["bundle", "path"]).select("bundle", F.col("next").alias("path")).distinct()
+            last = step.join(before, ["bundle", "path"], "left_anti").withColumn("hops", F.lit(hops))
+            found = last if found is None else found.unionByName(last)
+        found = materialise(found, "reached")
+        seen = seen.unionByName(found)
+        frontier = found.where(F.col("hops") == hops)
+        if frontier.isEmpty():
+            return seen
 
 
 def unreachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", globs: Sequence[str] = ()) -> DataFrame:
     """Documents of bundles with a root that no chain of links leads to, without the exempt ones."""
-    rooted = docs.where(F.col("path") == root).select("bundle").distinct()
+    rooted = broadcast_if_small(docs.where(F.col("path") == root).select("bundle").distinct())
     far = docs.select("bundle", "path").distinct().where(~exempt("path", globs)).join(rooted, "bundle", "left_semi")
     return far.join(reachable(docs, links, root), ["bundle", "path"], "left_anti")
 
@@ -111,18 +123,20 @@ def resolve_wikilinks(wiki: DataFrame, docs: DataFrame, aliases: DataFrame | Non
     of these the alphabetically first.
     """
     file_name = F.when(F.col("name").endswith(".md"), F.col("name")).otherwise(F.concat("name", F.lit(".md")))
-    w = wiki.withColumn("_full", F.when(F.col("name").contains("/"), F.concat(F.lit("/"), F.regexp_replace(file_name, r"\A/+", "")))).withColumn("_base", F.when(~F.col("name").contains("/"), file_name))
+    bare = ~F.col("name").contains("/")
+    # the path a name means by itself, or in the folder of its document
+    full = F.when(bare, F.concat(dirname("from_path"), F.lit("/"), file_name)).otherwise(F.concat(F.lit("/"), F.regexp_replace(file_name, r"\A/+", "")))
+    w = wiki.select("bundle", "from_path", "wiki_id", "name").distinct().withColumn("_full", full).withColumn("_base", F.when(bare, file_name))
     known = docs.select("bundle", F.col("path").alias("_full"), F.col("path").alias("_exact")).distinct()
-    named = docs.select("bundle", basename("path").alias("_base"), F.col("path").alias("_path")).distinct()
-    found = w.join(known, ["bundle", "_full"], "left").join(named, ["bundle", "_base"], "left")
-    best = F.min(F.struct(depth("_path").alias("d"), F.when(dirname("_path") == dirname("from_path"), 0).otherwise(1).alias("s"), F.col("_path").alias("p")))
-    picked = found.groupBy("bundle", "from_path", "wiki_id", "name", "_exact").agg(F.when(F.count("_path") > 0, best).alias("_best"))
+    # of all documents with a base name only the best one is joined
+    best = docs.groupBy("bundle", basename("path").alias("_base")).agg(F.min(F.struct(depth("path").alias("d"), F.col("path").alias("p"))).alias("_best"))
+    found = w.join(known, ["bundle", "_full"], "left").join(best, ["bundle", "_base"], "left")
     if aliases is not None:
-        picked = picked.join(aliases.select("bundle", F.col("alias").alias("name"), F.col("path").alias("_alias")), ["bundle", "name"], "left")
+        found = found.join(aliases.select("bundle", F.col("alias").alias("name"), F.col("path").alias("_alias")), ["bundle", "name"], "left")
     else:
-        picked = picked.withColumn("_alias", F.lit(None).cast("string"))
-    bare = F.when(~F.col("name").contains("/"), F.coalesce("_alias", F.col("_best.p")))
-    return picked.select("bundle", "from_path", "wiki_id", "name", F.coalesce("_exact", bare).alias("path"))
+        found = found.withColumn("_alias", F.lit(None).cast("string"))
+    by_name = F.when(F.col("_exact").isNotNull() & (depth("_exact") == F.col("_best.d")), F.col("_exact")).otherwise(F.col("_best.p"))
+    return found.select("bundle", "from_path", "wiki_id", "name", F.when(F.col("name").contains("/"), F.col("_exact")).otherwise(F.coalesce("_alias", by_name)).alias("path"))
 
 
 def graph_rows(docs: DataFrame, links: DataFrame, title: Column | None = None) -> DataFrame:

@@ -126,10 +126,14 @@ def decode_yaml(block: str | None) -> tuple[str | None, str | None]:
             return "{}", None
         if not isinstance(root, yaml.MappingNode):
             return None, "frontmatter is not a mapping"
-        left = [NODES]
+        left, again, met = [NODES], [ALIASES], set()
 
         def value(node, depth: int, above: frozenset):
             left[0] -= 1
+            again[0] -= id(node) in met  # an anchored node is met again by its alias
+            met.add(id(node))
+            if again[0] < 0:
+                raise _Budget("too many aliases")
             if left[0] < 0 or depth > DEPTH:
                 raise _Budget("frontmatter is too large")
             if id(node) in above:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.paths import basename
@@ -261,3 +261,78 @@ def merged_coverage(blocks: DataFrame) -> DataFrame:
     once = blocks.groupBy("file", "span").agg(F.max("hits").alias("hits"), F.min("statements").alias("low"), F.max("statements").alias("high"))
     checked = once.withColumn("n", F.when(F.col("low") == F.col("high"), F.col("high")).otherwise(F.raise_error(F.concat(F.lit("inconsistent block "), F.col("file"), F.lit(":"), F.col("span"))).cast("long")))
     return checked.groupBy("file").agg(F.sum("n").alias("statements"), F.sum(F.when(F.col("hits") > 0, F.col("n")).otherwise(0)).alias("covered"))
+
+
+# --- publications --------------------------------------------------------------------------------------------------
+
+
+def _clean(path: Column) -> Column:
+    """No empty, ``.`` or ``..`` part."""
+    return ~F.exists(F.split(path, "/"), lambda x: x.isin("", ".", ".."))
+
+
+def document_path(path: Column | str) -> Column:
+    """Whether a path may name a published document: from the root, clean, ``.md``, without backslash, hash or query."""
+    p = _c(path)
+    return F.coalesce(p.startswith("/") & ~p.rlike(r"[\\#?]") & _clean(F.regexp_replace(p, r"\A/", "")) & F.lower(p).endswith(".md"), F.lit(False))
+
+
+def artifact_path(path: Column | str) -> Column:
+    """Whether a path may name another published file: relative, clean, nothing hidden, no control character, none of the names of documents and manifests."""
+    p = _c(path)
+    name = F.lower(p)
+    ok = ~p.startswith("/") & ~p.rlike(r"[\\#?%]") & ~p.rlike(r"\p{Cc}") & _clean(p) & ~F.exists(F.split(p, "/"), lambda x: x.startswith("."))
+    return F.coalesce(ok & ~name.isin("graph.json", "llms.txt") & ~name.endswith(".md"), F.lit(False))
+
+
+def graph_address(url: Column | str) -> Column:
+    """Whether a URL is the canonical address of a published graph: https, lower-case host, a clean path to ``graph.json``, nothing behind it."""
+    u = _c(url)
+    path = F.regexp_extract(u, r"\Ahttps://[^/?#@]+/(.*)\z", 1)
+    host = F.regexp_extract(u, r"\Ahttps://([^/?#@]+)/", 1)
+    return F.coalesce((host != "") & (host == F.lower(host)) & ~path.rlike(r"[?#]") & _clean(path) & F.lower(F.concat(F.lit("/"), path)).endswith("/graph.json"), F.lit(False))
+
+
+def reference_issues(refs: DataFrame, *key: str) -> DataFrame:
+    """``(key..., pos, rule)`` of external references ``(key..., pos, from, line, url, origin, root, sha256)`` listed by ``pos``.
+
+    Order is by declaring file, line, address and origin; each address may occur once.
+    """
+    k = list(key)
+    rank = F.struct(F.col("from"), F.col("line"), F.col("url"), F.col("origin"))
+    order = Window.partitionBy(*k).orderBy("pos")
+    once = F.row_number().over(Window.partitionBy(*k, "url").orderBy("pos"))
+    bad_name = (F.col("from") == "") | F.col("from").contains("\\") | F.col("from").contains("..") | F.col("from").rlike(r"\p{Cc}")
+    rows = refs.withColumn("_before", F.lag(rank).over(order)).withColumn("_n", once)
+    rules = F.array(
+        F.when(~graph_address("url") | (F.col("root") != "/index.md"), "address"),
+        F.when(F.col("_n") > 1, "repeated address"),
+        F.when(~valid_hash("sha256"), "hash"),
+        F.when(bad_name, "declaring file"),
+        F.when(~F.col("origin").isin("corpus", "source"), "origin"),
+        F.when(F.col("line") < 1, "line"),
+        F.when(F.col("_before") > rank, "order"),
+    )
+    return rows.select(*k, "pos", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+
+
+def publication_issues(declared: DataFrame, files: DataFrame, *key: str) -> DataFrame:
+    """``(key..., path, problem)`` of a publication: bad names, and files missing, changed or not declared.
+
+    ``declared(key..., path, kind, sha256)`` with kind ``document`` or
+    ``artifact``; ``files(key..., path, sha256)`` are those there are.
+    """
+    k = [*key, "path"]
+    named = declared.select(*k, F.when((F.col("kind") == "document") & ~document_path("path") | (F.col("kind") == "artifact") & ~artifact_path("path"), "bad path").when(~valid_hash("sha256"), "bad hash").alias("problem"))
+    d = declared.select(*k, F.col("sha256").alias("_d"), F.lit(True).alias("_in_d"))
+    f = files.select(*k, F.col("sha256").alias("_f"), F.lit(True).alias("_in_f"))
+    state = F.when(F.col("_in_f").isNull(), "missing").when(F.col("_in_d").isNull(), "undeclared").when(~F.col("_d").eqNullSafe(F.col("_f")), "mismatch")
+    return named.unionByName(d.join(f, k, "full").select(*k, state.alias("problem"))).where(F.col("problem").isNotNull())
+
+
+def label_changes(derived: DataFrame, current: DataFrame, *key: str, prefix: str = "", complete: bool = True) -> DataFrame:
+    """``(key..., label, change)``: labels to ``add``, and those with ``prefix`` to ``remove`` where what was derived is complete."""
+    k = [*key, "label"]
+    d, c = derived.select(*k).distinct(), current.where(F.col("label").startswith(prefix)).select(*k).distinct()
+    add = d.join(c, k, "left_anti").withColumn("change", F.lit("add"))
+    return add.unionByName(c.join(d, k, "left_anti").withColumn("change", F.lit("remove"))) if complete else add

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import tempfile
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +46,15 @@ def move_plan(links: DataFrame, moves: DataFrame, *group: str) -> DataFrame:
 
 
 def wikilink_plan(resolved: DataFrame) -> DataFrame:
-    """Markdown for resolved wikilinks ``(bundle, from_path, raw, anchor, display, path)``; unresolved ones are left out."""
+    """``(bundle, from_path, old, new, skip)``: Markdown for wikilinks ``(bundle, from_path, raw, anchor, display, embed, path)``.
+
+    An unresolved one has no ``new`` and the reason in ``skip``. What is embedded becomes an image link.
+    """
     text = F.when(F.col("display") != "", F.col("display")).otherwise(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md\z", ""))
     anchor = F.when(F.col("anchor") != "", F.concat(F.lit("#"), F.col("anchor"))).otherwise("")
-    return resolved.where(F.col("path").isNotNull()).select("bundle", "from_path", F.concat(F.lit("[["), F.col("raw"), F.lit("]]")).alias("old"), F.concat(F.lit("["), text, F.lit("]("), relative_link("from_path", "path"), anchor, F.lit(")")).alias("new"))
+    bang = F.when(F.col("embed"), "!").otherwise("") if "embed" in resolved.columns else F.lit("")
+    new = F.concat(bang, F.lit("["), text, F.lit("]("), relative_link("from_path", "path"), anchor, F.lit(")"))
+    return resolved.select("bundle", "from_path", F.concat(bang, F.lit("[["), F.col("raw"), F.lit("]]")).alias("old"), new.alias("new"), F.when(F.col("path").isNull(), "no such document").alias("skip"))
 
 
 # --- one document at a time: pure functions, usable in a pandas UDF ---------------------------------------------
@@ -76,28 +82,78 @@ def _spell(value: str, like: str = "") -> str:
     return f"{quoted[1]}{value}{quoted[1]}" if quoted else value
 
 
+def _block(lines: list[str]) -> int | None:
+    """The line that closes the frontmatter, or NULL if there is none."""
+    if lines[0].rstrip("\r") != "---":
+        return None
+    return next((i for i in range(1, len(lines)) if lines[i].rstrip("\r") == "---"), None)
+
+
+def _check_key(key: str) -> None:
+    if not key.strip() or key.startswith("_") or any(c in key for c in ":\r\n"):
+        raise ValueError(f"not a property name: {key!r}")
+
+
 def set_field(content: str, key: str, value: str | list[str] | None) -> str:
     """``content`` with the frontmatter key set (NULL: removed), all other lines as they are.
 
-    A value keeps the quotes its line had. Keys that are empty, begin with an
-    underscore or hold a colon or line end are refused.
+    A value keeps the quotes its line had; a list stays in lines of its own if it
+    had them and is written in brackets otherwise. Keys that are empty, begin with
+    an underscore or hold a colon or line end are refused.
     """
-    if not key.strip() or key.startswith("_") or any(c in key for c in ":\r\n"):
-        raise ValueError(f"not a property name: {key!r}")
-    end_of_line = "\r\n" if content.startswith("---\r\n") else "\n"
+    _check_key(key)
+    cr = "\r" if content.startswith("---\r\n") else ""
     lines = content.split("\n")
-    close = next((i for i in range(1, len(lines)) if lines[i].rstrip("\r") == "---"), None) if lines[0].rstrip("\r") == "---" else None
+    close = _block(lines)
     if close is None and value is None:
         return content
-    block, rest = (lines[1:close], lines[close:]) if close is not None else ([], ["---" + end_of_line[:-1], *lines])
+    block, rest = (lines[1:close], lines[close:]) if close is not None else ([], ["---" + cr, *lines])
     at = next((i for i, x in enumerate(block) if re.match(rf"{re.escape(key)}\s*:", x)), len(block))
     stop = at + 1
     while stop < len(block) and (block[stop][:1] in (" ", "\t") or block[stop].startswith("- ") or not block[stop].strip()):
         stop += 1
     old = block[at].partition(":")[2] if at < len(block) else ""
-    new = [] if value is None else [f"{key}: {_spell(value, old)}"] if isinstance(value, str) else [f"{key}:", *(f"  - {_spell(v)}" for v in value)]
-    block[at:stop] = [x + end_of_line[:-1] for x in new]
-    return "\n".join(["---" + end_of_line[:-1], *block, *rest])
+    if value is None:
+        new = []
+    elif isinstance(value, str):
+        new = [f"{key}: {_spell(value, old)}"]
+    elif value and stop > at + 1:
+        new = [f"{key}:", *(f"  - {_spell(v)}" for v in value)]
+    else:
+        new = [f"{key}: [{', '.join(map(_spell, value))}]"]
+    block[at:stop] = [x + cr for x in new]
+    return "\n".join(["---" + cr, *block, *rest])
+
+
+def set_fields(content: str, fields: dict[str, str | list[str] | None], reserved: bool = False) -> str:
+    """Several keys in one pass, in sorted order: all are checked before any is set.
+
+    A reserved document (an index or a log) without frontmatter gets none.
+    """
+    if not fields:
+        raise ValueError("no fields to set")
+    for key, value in fields.items():
+        _check_key(key)
+        if not (value is None or isinstance(value, str) or isinstance(value, list) and all(isinstance(x, str) for x in value)):
+            raise ValueError(f"{key}: the value must be a string or a list of strings")
+    if reserved and _block(content.split("\n")) is None:
+        raise ValueError("a reserved document has no frontmatter")
+    for key in sorted(fields):
+        content = set_field(content, key, fields[key])
+    return content
+
+
+def respell_values(content: str, steps: dict[str, dict[str, str]]) -> str:
+    """``content`` with whole frontmatter values replaced: ``steps`` maps keys to ``{old: new}``; lines of a list or mapping belong to their key."""
+    lines = content.split("\n")
+    close, owner = _block(lines), ""
+    for i in range(1, close or 0):
+        if lines[i][:1] not in (" ", "\t", "-", "#", "\r", "") and ":" in lines[i]:
+            owner = lines[i].partition(":")[0].strip()
+        if table := steps.get(owner):
+            values = "|".join(re.escape(v) for v in sorted(table, key=len, reverse=True))
+            lines[i] = re.sub(rf"(?<=[:\[,\s\"'])(?:{values})(?=[\]}},\s\"']|\Z)", lambda m, t=table: t[m[0]], lines[i])
+    return "\n".join(lines)
 
 
 def set_checkbox(content: str, line_no: int, done: bool) -> str:
@@ -109,11 +165,32 @@ def set_checkbox(content: str, line_no: int, done: bool) -> str:
     return "\n".join(lines)
 
 
-def apply_plan(content: str, steps: list[tuple[str, str]]) -> str:
-    """``content`` with link destinations replaced, longest first."""
-    for old, new in sorted(steps, key=lambda s: -len(s[0])):
-        content = content.replace(f"]({old})", f"]({new})").replace(f"]({old} ", f"]({new} ") if not old.startswith("[[") else content.replace(old, new)
-    return content
+_DESTINATION = re.compile(r"(\]\(\s*)(?:<([^>\n]*)>|([^\s<>)]+))")
+_WIKILINK = re.compile(r"!?\[\[[^\]\n]*\]\]")
+
+
+def outside_code(content: str, change: Callable[[str], str]) -> str:
+    """``content`` with ``change`` applied to every stretch of its body outside fences and code spans."""
+    lines = content.split("\n")
+    fenced = False
+    for i in range((_block(lines) or -1) + 1, len(lines)):
+        if lines[i].lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced:
+            lines[i] = "".join(part if k % 2 else change(part) for k, part in enumerate(re.split(r"(`[^`]*`)", lines[i])))
+    return "\n".join(lines)
+
+
+def apply_plan(content: str, steps: Iterable[tuple[str, str]]) -> str:
+    """``content`` with link destinations and wikilinks replaced as the steps ``(old, new)`` say; code stays as it is."""
+    table = dict(steps)
+
+    def destination(m: re.Match) -> str:
+        if m[2] is not None:
+            return f"{m[1]}<{table.get(m[2], m[2])}>"
+        return m[1] + table.get(m[3], m[3])
+
+    return outside_code(content, lambda part: _WIKILINK.sub(lambda m: table.get(m[0], m[0]), _DESTINATION.sub(destination, part)))
 
 
 def write_file(path: str, content: str) -> None:

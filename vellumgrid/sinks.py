@@ -5,13 +5,20 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterable, Sequence
-from typing import Any
+import os
+import shutil
+import uuid
+import zipfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from itertools import chain
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.urls import link_label, link_target
+from vellumgrid.operators.rewrite import write_file
 
 
 def cell(value: Any) -> str:
@@ -25,13 +32,6 @@ def cell(value: Any) -> str:
     return str(value)
 
 
-def aligned(header: Sequence[str], rows: Iterable[Sequence[str]]) -> str:
-    """A plain table, columns as wide as their longest cell in bytes."""
-    rows = [list(header), *map(list, rows)]
-    width = [max(len(r[i].encode()) for r in rows) for i in range(len(header))]
-    return "".join("  ".join(c + " " * (w - len(c.encode())) for c, w in zip(r, width)).rstrip() + "\n" for r in rows)
-
-
 def go_json(data: Any, indent: int | None = 2) -> str:
     """JSON that is safe inside HTML: ``<``, ``>``, ``&`` and the two line separators are escaped."""
     text = json.dumps(data, indent=indent, ensure_ascii=False)
@@ -40,19 +40,38 @@ def go_json(data: Any, indent: int | None = 2) -> str:
     return text + "\n"
 
 
-def emit(df: DataFrame, form: str = "text") -> str:
-    """A result as ``text``, ``json``, ``csv`` or ``tsv``. Rows come in the frame's order, one partition at a time."""
+def write_rows(df: DataFrame, out: TextIO, form: str = "text") -> None:
+    """A result as ``text``, ``json``, ``csv`` or ``tsv``, in the frame's order, one partition at a time.
+
+    Only the aligned text form takes the rows twice, once for the widths.
+    """
     names = df.columns
-    rows = (r.asDict(recursive=True) for r in df.toLocalIterator())
+    rows = lambda: (r.asDict(recursive=True) for r in df.toLocalIterator())
     if form == "json":
-        return go_json(list(rows))
-    cells = [[cell(r[n]) for n in names] for r in rows]
-    if form == "text":
-        return aligned(names, cells)
-    if form not in ("csv", "tsv"):
+        first = True
+        for r in rows():
+            item = go_json(r).rstrip("\n").replace("\n", "\n  ")
+            out.write(("[\n  " if first else ",\n  ") + item)
+            first = False
+        out.write("[]\n" if first else "\n]\n")
+    elif form == "text":
+        width = [len(n.encode()) for n in names]
+        for r in rows():
+            width = [max(w, len(cell(r[n]).encode())) for w, n in zip(width, names)]
+        for line in chain([names], ([cell(r[n]) for n in names] for r in rows())):
+            out.write("  ".join(c + " " * (w - len(c.encode())) for c, w in zip(line, width)).rstrip() + "\n")
+    elif form in ("csv", "tsv"):
+        lines = csv.writer(out, delimiter="," if form == "csv" else "\t", lineterminator="\n")
+        lines.writerow(names)
+        lines.writerows([cell(r[n]) for n in names] for r in rows())
+    else:
         raise ValueError(f"unknown format: {form}")
+
+
+def emit(df: DataFrame, form: str = "text") -> str:
+    """:func:`write_rows` as a string, for results people read."""
     out = io.StringIO()
-    csv.writer(out, delimiter="," if form == "csv" else "\t", lineterminator="\n").writerows([names, *cells])
+    write_rows(df, out, form)
     return out.getvalue()
 
 
@@ -70,18 +89,91 @@ MANIFEST_BYTES = 32 << 20
 
 
 def graph_json(files: DataFrame, nav: DataFrame, root: str = "/index.md", limit: int = MANIFEST_BYTES) -> str:
-    """The manifest of one bundle: sorted files with title, size, digest and links; sorted navigation."""
+    """The manifest of one bundle: sorted files with title, size, digest and links; sorted navigation.
+
+    It is refused as soon as it has more than ``limit`` bytes.
+    """
     out: dict[str, Any] = {"version": "0", "root": root, "files": {}, "nav": {}}
+    size = len(go_json(out).encode())
+
+    def add(group: str, path: str, value: dict) -> None:
+        nonlocal size
+        out[group][path] = value
+        size += len(json.dumps([path, value], ensure_ascii=False).encode())
+        if size > limit:
+            raise ValueError(f"the manifest has more than {limit} bytes")
+
     for r in files.orderBy("path").toLocalIterator():
-        out["files"][r["path"]] = {k: r[k] for k in ("title", "bytes", "sha256", "links") if k in files.columns}
+        add("files", r["path"], {k: r[k] for k in ("title", "bytes", "sha256", "links") if k in files.columns})
     for r in nav.orderBy("path").toLocalIterator():
-        out["nav"][r["path"]] = {k: r[k] for k in nav.columns if k not in ("path", "bundle") and r[k] is not None}
+        add("nav", r["path"], {k: r[k] for k in nav.columns if k not in ("path", "bundle") and r[k] is not None})
     text = go_json(out)
     if len(text.encode()) > limit:
         raise ValueError(f"the manifest has more than {limit} bytes")
     return text
 
 
+def write_json(path: str, data: Any) -> None:
+    write_file(path, go_json(data))
+
+
+def archive(folder: str, names: Sequence[str], path: str) -> None:
+    """A zip of files below ``folder``: sorted, without times or modes, so that equal contents give equal bytes."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(names):
+            with open(os.path.join(folder, name), "rb") as f:
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), f.read(), zipfile.ZIP_DEFLATED)
+
+
+@contextmanager
+def swapped(folder: str) -> Iterator[str]:
+    """A new folder to fill; it takes the place of ``folder`` in the end, or nothing changes."""
+    temp, old = f"{folder}.new-{uuid.uuid4().hex}", f"{folder}.old-{uuid.uuid4().hex}"
+    os.makedirs(temp)
+    try:
+        yield temp
+        had = os.path.exists(folder)
+        if had:
+            os.rename(folder, old)
+        try:
+            os.rename(temp, folder)
+        except OSError:
+            if had:
+                os.rename(old, folder)
+            raise
+        shutil.rmtree(old, ignore_errors=True)
+    finally:
+        shutil.rmtree(temp, ignore_errors=True)
+
+
+def apply_files(pairs: Sequence[tuple[str, str]]) -> None:
+    """Copy files over others, or delete those whose original is gone; if one fails, all are put back."""
+    undo: list[tuple[str, bytes | None]] = []
+    try:
+        for source, target in pairs:
+            was = None
+            if os.path.exists(target):
+                with open(target, "rb") as f:
+                    was = f.read()
+            undo.append((target, was))
+            if not os.path.exists(source):
+                os.remove(target)
+                continue
+            with open(source, encoding="utf-8", newline="") as f:
+                text = f.read()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            write_file(target, text)
+    except OSError:
+        for target, was in reversed(undo):
+            if was is None:
+                if os.path.exists(target):
+                    os.remove(target)
+            else:
+                with open(target, "wb") as f:
+                    f.write(was)
+        raise
+
+
 def llms_lines(order: DataFrame) -> DataFrame:
     """``(seq, line)``: the reading order ``(path, seq, title)`` as Markdown list items."""
     target = F.regexp_replace("path", r"\A/", "")

@@ -10,6 +10,7 @@ import json
 import os
 import re
 import tomllib
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -34,6 +35,7 @@ class Project:
     types: tuple[str, ...] = ()
     ignore: tuple[str, ...] = ()
     ignore_orphans: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()  # templates, data, logos, sites: no sources
     unknown: tuple[str, ...] = field(default=())
 
     @property
@@ -41,7 +43,7 @@ class Project:
         return os.path.normpath(os.path.join(self.root, self.corpus))
 
 
-KEYS = ("name", "corpus", "output", "spec", "types", "ignore", "ignore_orphans")
+KEYS = ("name", "corpus", "output", "spec", "types", "ignore", "ignore_orphans", "exclude")
 # Specifications and the format version each embeds.
 SPECS = {"0.1": "0.1", "0.2": "0.2"}
 
@@ -59,7 +61,7 @@ def load_project(path: str) -> Project:
     data = tomllib.loads(Path(path).read_text("utf-8"))
     own = {k: v for k, v in data.items() if k in KEYS}
     for k, v in own.items():
-        if k in ("types", "ignore", "ignore_orphans"):
+        if k in ("types", "ignore", "ignore_orphans", "exclude"):
             if not isinstance(v, list) or not all(isinstance(x, str) for x in v):
                 raise ValueError(f"{k} must be a list of strings")
             own[k] = tuple(v)
@@ -272,8 +274,51 @@ def write_lock(inventory: DataFrame, path: str, revision: str = "", replace: boo
 
         write_file(path, text)
     else:
-        with open(path, "x", encoding="utf-8") as f:
-            f.write(text)
+        # written beside and linked: the lock is whole or not there, and an existing one stays
+        temp = f"{path}.{uuid.uuid4().hex}"
+        try:
+            with open(temp, "x", encoding="utf-8") as f:
+                f.write(text)
+            os.link(temp, path)
+        finally:
+            os.unlink(temp)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, sha256)`` of generated files as a ledger of version "0" lists them; no file is an empty ledger."""
+    if not os.path.exists(path):
+        return spark.createDataFrame([], "path string, sha256 string")
+    data = json.loads(Path(path).read_text("utf-8"))
+    if data.get("version") != "0" or not isinstance(data.get("files"), dict):
+        raise ValueError("unknown ledger")
+    for p, digest in data["files"].items():
+        if safe_relative(p) != p or not re.fullmatch(r"[0-9a-f]{64}", str(digest)):
+            raise ValueError(f"bad ledger entry: {p}")
+    return spark.createDataFrame(list(data["files"].items()), "path string, sha256 string")
+
+
+def read_data(path: str) -> dict:
+    """A JSON object for templates; anything else is refused."""
+    data = json.loads(Path(path).read_text("utf-8"))
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: not an object")
+    return data
+
+
+def head_revision(root: str) -> str:
+    """The commit a work tree stands at, read from its repository's files; empty if there is none."""
+    git = Path(root, ".git")
+    try:
+        head = (git / "HEAD").read_text("utf-8").strip()
+        if not head.startswith("ref: "):
+            return head
+        name = head.removeprefix("ref: ")
+        if (git / name).is_file():
+            return (git / name).read_text("utf-8").strip()
+        packed = (git / "packed-refs").read_text("utf-8").splitlines()
+        return next((x.split()[0] for x in packed if x.endswith(f" {name}")), "")
+    except OSError:
+        return ""
 
 
 def quarantine_lines(found: DataFrame, existing: str) -> list[str]:

@@ -12,7 +12,7 @@ from itertools import chain, islice
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.urls import canonical_url, in_scope, publication_base, relevant_link
@@ -164,6 +164,17 @@ def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
+def round_robin(queue: DataFrame, seed: str = "seed", order: str = "pos", fetches: int | None = 64) -> DataFrame:
+    """``queue`` with ``turn`` from 1: one candidate of every seed after the other, each seed's in order; ``fetches`` of them.
+
+    Turns are ``(number within the seed, seed)``, so seeds take turns until they run out.
+    """
+    n = F.row_number().over(Window.partitionBy(seed).orderBy(order))
+    ranked = queue.withColumn("_n", n).orderBy("_n", seed)
+    chosen = ranked if fetches is None else ranked.limit(fetches)
+    return chosen.withColumn("turn", F.row_number().over(Window.orderBy("_n", seed))).drop("_n")
+
+
 _HASH = re.compile(r"[0-9a-f]{64}\Z")
 
 
