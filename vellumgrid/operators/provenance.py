@@ -130,12 +130,11 @@ def inventory(files: DataFrame, path: str = "path", content: str = "content", ma
     c = F.col(content)
     data = c.cast("binary")
     text = F.try_validate_utf8(c.cast("string")) if dict(files.dtypes)[content] == "binary" else c
-    reason = (
-        F.when(pruned(path), "pruned")
-        .when(secret_name(path).isNotNull(), secret_name(path))
-        .when(F.octet_length(data) > max_bytes, "too_large")
-        .when(is_binary(data), "binary")
-        .when(secret_content(text).isNotNull(), secret_content(text))
+    reason = F.coalesce(
+        F.when(pruned(path), "pruned"),
+        secret_name(path),
+        F.when(F.octet_length(data) > max_bytes, "too_large").when(is_binary(data), "binary"),
+        secret_content(text),
     )
     rows = files.where(c.isNotNull()).select(F.col(path).alias("path"), source_type(path).alias("type"), F.octet_length(data).cast("long").alias("bytes"), F.sha2(data, 256).alias("sha256"), reason.alias("reason"))
     kept = rows.where(F.col("reason").isNull()).drop("reason")

@@ -86,6 +86,36 @@ masked AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY file_id ORDER B
 prose AS (SELECT file_id, line_no, line FROM masked WHERE inside = 0 AND NOT fence)"""
 
 
+def _fold_sql(parts: str) -> str:
+    """A path folded from its parts, from the root; it begins with ``!`` if it climbs above it."""
+    return f"list_reduce(list_prepend('', list_filter({parts}, lambda p: p <> '' AND p <> '.')), lambda acc, p: CASE WHEN p <> '..' THEN acc || '/' || p WHEN acc IN ('', '!') THEN '!' ELSE regexp_replace(acc, '/[^/]*$', '') END)"
+
+
+def _dir_sql(path: str) -> str:
+    return f"regexp_replace({path}, '/[^/]*$', '')"
+
+
+def _seen_from_sql(source: str, target: str) -> str:
+    """The relative spelling of ``target`` in the document ``source``."""
+    a, b = f"list_filter(string_split({_dir_sql(source)}, '/'), lambda p: p <> '')", f"list_filter(string_split({target}, '/'), lambda p: p <> '')"
+    shared = f"len(list_filter(range(1, least(len({a}), len({b}) - 1) + 1), lambda i: ({a})[1:i] = ({b})[1:i]))"
+    return f"(CASE WHEN len({a}) > {shared} THEN repeat('../', len({a}) - {shared}) ELSE './' END || array_to_string(({b})[{shared} + 1 :], '/'))"
+
+
+_NORMAL = (
+    "SELECT *, CASE WHEN contains(raw, '#') THEN regexp_replace(raw, '^[^#]*#', '') END AS anchor, regexp_replace(raw, '#(.|\\n)*$', '') AS bare FROM ({rows})",
+    "SELECT *, "
+    + _fold_sql(f"string_split(CASE WHEN starts_with(bare, '/') THEN bare WHEN bare = '' THEN from_path ELSE {_dir_sql('from_path')} || '/' || bare END, '/')")
+    + " AS folded FROM ({rows})",
+)
+
+
+def _normal_sql(rows: str) -> str:
+    """``path``, ``anchor`` and ``escapes`` of rows with ``from_path`` and ``raw``."""
+    inner = _NORMAL[1].replace("{rows}", _NORMAL[0].replace("{rows}", rows))
+    return f"SELECT *, starts_with(folded, '!') AS escapes, CASE WHEN ltrim(folded, '!') = '' THEN '/' ELSE ltrim(folded, '!') END AS path FROM ({inner})"
+
+
 # --- search and lists ----------------------------------------------------------------------------------------------
 
 
@@ -246,7 +276,15 @@ def tables(s, d):
     return cells.groupBy("file_id", "table_n").agg(F.count_distinct("row_n").alias("n_rows"))
 
 
-@query()
+_CELLS = "list_transform(string_split(regexp_replace(regexp_replace(replace(trim({x}, ' ' || chr(9) || chr(13)), '\\|', chr(1)), '^\\|', ''), '\\|$', ''), '|'), lambda c: replace(trim(c, ' ' || chr(9) || chr(13)), chr(1), '|'))"
+
+
+@query(
+    ORACLE["tables"].split("SELECT file_id, table_n::INT")[0]
+    + f""", hd AS (SELECT file_id, table_n, {_CELLS.replace("{x}", "line")} AS names FROM t WHERE is_head),
+g AS (SELECT r.file_id, r.table_n, r.row_n, h.names, {_CELLS.replace("{x}", "r.line")} AS cells FROM run r JOIN hd h ON h.file_id = r.file_id AND h.table_n = r.table_n WHERE r.breaks = 0 AND r.row_n > 0)
+SELECT file_id, table_n::INT AS table_n, row_n::INT AS row_n, i::INT AS col_n, names[i] AS header, coalesce(cells[i], '') AS cell FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM g)"""
+)
 def table_cells(s, d):
     return parse.table_cells(files(s, d).where(F.col("content").isNotNull()), "content", "file_id")
 
@@ -271,7 +309,11 @@ def link_paths(s, d):
     return rows.select("link_id", paths.normalise_link("from_path", "raw").alias("n")).select("link_id", "n.path", "n.anchor", "n.escapes")
 
 
-@query()
+@query(
+    "SELECT link_id, path, anchor, escapes FROM ("
+    + _normal_sql("SELECT DISTINCT link_id, from_path, regexp_replace(raw, '^<([^>]*)>', '\\1') AS raw FROM links WHERE raw IS NOT NULL AND NOT starts_with(raw, '[[') AND NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT starts_with(raw, '//')")
+    + ")"
+)
 def link_paths_all(s, d):
     """Every spelling that names a path, relative and self links too; wiki links and external ones name none."""
     rows = raw_links(s, d).where((urls.link_class("raw") != "external") & ~F.col("raw").startswith("[["))
@@ -313,10 +355,20 @@ def url_canonical(s, d):
     return rows.select("link_id", urls.canonical_url("raw").alias("url"), urls.valid_url("raw").alias("valid"))
 
 
-@query("SELECT user_id, (user_id % 223 + 1)::VARCHAR || '.' || (user_id % 256)::VARCHAR || '.1.7' AS ip, NOT ((user_id % 223 + 1) IN (10, 127) OR ((user_id % 223 + 1) = 172 AND user_id % 256 BETWEEN 16 AND 31) OR ((user_id % 223 + 1) = 192 AND user_id % 256 = 168) OR ((user_id % 223 + 1) = 169 AND user_id % 256 = 254) OR ((user_id % 223 + 1) = 100 AND user_id % 256 BETWEEN 64 AND 127) OR ((user_id % 223 + 1) = 198 AND user_id % 256 IN (18, 19))) AS public FROM (SELECT DISTINCT user_id FROM events)")
+_SIX = {0: ("2001:db8::{n}", False), 1: ("fc00::{n}", False), 2: ("fe80::{n}", False), 3: ("64:ff9b::{n}", False), 4: ("2606:4700::{n}", True), 5: ("ff02::{n}", False), 6: ("not:an:address:{n}", False), 7: ("::ffff:8.8.8.8", True), 8: ("::ffff:10.0.0.1", False), 9: ("::1", False)}
+
+
+@query(
+    "SELECT user_id, ip, public FROM (SELECT DISTINCT user_id, (user_id % 223 + 1)::VARCHAR || '.' || (user_id % 256)::VARCHAR || '.1.7' AS ip, NOT ((user_id % 223 + 1) IN (10, 127) OR ((user_id % 223 + 1) = 172 AND user_id % 256 BETWEEN 16 AND 31) OR ((user_id % 223 + 1) = 192 AND user_id % 256 = 168) OR ((user_id % 223 + 1) = 169 AND user_id % 256 = 254) OR ((user_id % 223 + 1) = 100 AND user_id % 256 BETWEEN 64 AND 127) OR ((user_id % 223 + 1) = 198 AND user_id % 256 IN (18, 19))) AS public FROM events) UNION ALL SELECT DISTINCT user_id, CASE user_id % 10 "
+    + " ".join(f"WHEN {k} THEN replace('{ip}', '{{n}}', (user_id % 1000)::VARCHAR)" for k, (ip, _) in _SIX.items())
+    + " END, user_id % 10 IN (4, 7) FROM events"
+)
 def public_ips(s, d):
-    ip = F.concat_ws(".", (F.col("user_id") % 223 + 1).cast("string"), (F.col("user_id") % 256).cast("string"), F.lit("1"), F.lit("7"))
-    return table(s, d, "events").select("user_id").distinct().select("user_id", ip.alias("ip")).withColumn("public", urls.is_public_ip("ip"))
+    """Addresses made from the users' numbers: IPv4, IPv6, mapped ones, and what is none."""
+    users = table(s, d, "events").select("user_id").distinct()
+    four = F.concat_ws(".", (F.col("user_id") % 223 + 1).cast("string"), (F.col("user_id") % 256).cast("string"), F.lit("1"), F.lit("7"))
+    six = F.coalesce(*(F.when(F.col("user_id") % 10 == k, F.replace(F.lit(ip), F.lit("{n}"), (F.col("user_id") % 1000).cast("string"))) for k, (ip, _) in _SIX.items()))
+    return users.select("user_id", F.explode(F.array(four, six)).alias("ip")).withColumn("public", urls.is_public_ip("ip"))
 
 
 # --- graph --------------------------------------------------------------------------------------------------------------
@@ -405,10 +457,26 @@ def source_types(s, d):
     return table(s, d, "inventory_snapshots").groupBy(provenance.source_type(snapshots.canonical_path("path")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT file_id, strlen(content)::BIGINT AS bytes, sha256(content) AS sha256, 'markdown' AS type FROM corpus_files WHERE content IS NOT NULL")
+#: What the paths and contents of documents are made into, by their number, and what becomes of them.
+_SOURCES = {0: ("src/{n}.go", "", "go"), 1: ("lib/node_modules/{n}.js", "", None), 2: ("build/{n}.py", "", None), 3: ("src/build/{n}.PY", "", "python"), 4: ("etc/{n}/.env", "", "environment_credentials"), 5: ("{n}/id_rsa", "", "private_key_filename"), 6: ("{n}.env/.env.example", "", "other"), 7: ("{n}.txt", "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "private_key_block"), 8: ("{n}.p12", "", "private_key_container"), 9: ("{n}/Makefile", "", "make")}
+
+
+@query(
+    "SELECT file_id, verdict, strlen(content || tail)::BIGINT AS bytes, sha256(content || tail) AS sha256 FROM (SELECT file_id, content, CASE WHEN file_id % 10 = 7 THEN '-----BEGIN PRIVATE KEY-----' || chr(10) || 'x' || chr(10) || '-----END PRIVATE KEY-----' ELSE '' END AS tail, CASE file_id % 10 "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, _, v) in _SOURCES.items() if v)
+    + " END AS verdict FROM corpus_files WHERE content IS NOT NULL) WHERE verdict IS NOT NULL"
+)
 def inventory(s, d):
-    kept, _ = provenance.inventory(files(s, d).select(F.concat(F.lit("/f"), F.col("file_id").cast("string"), F.lit(".md")).alias("path"), "content"))
-    return kept.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("file_id"), "bytes", "sha256", "type")
+    """Kept files with their type, quarantined ones with the reason; pruned ones are in neither."""
+    which, n = F.col("file_id") % 10, F.col("file_id").cast("string")
+    path = F.replace(F.element_at(F.array(*(F.lit(p) for p, _, _ in _SOURCES.values())), which.cast("int") + 1), F.lit("{n}"), n)
+    tail = F.element_at(F.array(*(F.lit(t) for _, t, _ in _SOURCES.values())), which.cast("int") + 1)
+    made = files(s, d).where(F.col("content").isNotNull()).select("file_id", path.alias("path"), F.concat("content", tail).alias("content"))
+    kept, out = provenance.inventory(made)
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    sizes = made.select("file_id", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    away = out.select(number.alias("file_id"), F.col("reason").alias("verdict")).join(sizes, "file_id")
+    return kept.select(number.alias("file_id"), F.col("type").alias("verdict"), "bytes", "sha256").unionByName(away)
 
 
 def _drift_sql(key: str, a: str, b: str) -> str:
@@ -466,23 +534,29 @@ def _resources(s, d):
     return rows.select("file_id", "bundle", "path", paths.canonical_resource("path", "r").alias("resource"))
 
 
-@query()
-def resources_resolved(s, d):
-    return _resources(s, d).where(F.col("resource").isNotNull()).select("file_id", "resource").distinct()
+_RES = (
+    f"{_FM}, rr AS (SELECT file_id, bundle, path, trim(unnest(regexp_extract_all(block, 'resource:[ ]*([^\\n]+)', 1)), ' ' || chr(34) || chr(39)) AS r FROM blocks), "
+    + "rf AS (SELECT *, "
+    + _fold_sql(f"string_split(CASE WHEN starts_with(r, './') OR starts_with(r, '../') THEN {_dir_sql('path')} || '/' || r ELSE r END, '/')")
+    + " AS folded FROM rr), res AS (SELECT DISTINCT file_id, bundle, path, CASE WHEN starts_with(folded, '!') OR folded = '' THEN NULL ELSE ltrim(folded, '/') END AS resource FROM rf)"
+)
 
 
-@query(f"WITH {_FM}, {_LINKS}, own AS (SELECT bundle, path FROM docs), res AS (SELECT DISTINCT b.bundle, b.path FROM blocks b JOIN corpus_files c ON c.file_id = b.file_id WHERE contains(block, 'resource:')), bare AS (SELECT DISTINCT bundle, path FROM own WHERE path <> '/index.md' AND (bundle, path) NOT IN (SELECT (bundle, path) FROM res)), lone AS (SELECT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND NOT EXISTS (SELECT 1 FROM l WHERE docs.bundle = l.bundle AND docs.path = l.target)) SELECT 'missing_sources' AS signal, count(*) AS n FROM bare UNION ALL SELECT 'orphan', count(*) FROM lone")
-def health_summary(s, d):
-    """The two signals the SQL twin counts; all six are in health_signals."""
-    docs = live(s, d).select("bundle", "path").distinct()
-    res = _resources(s, d).select("bundle", "path", "resource")
-    empty = res.select("bundle", F.col("resource").alias("path"), F.lit("").alias("sha256")).limit(0)
-    e = links(s, d)
-    found = provenance.health(docs, res, empty, empty, graph.orphans(docs, e), docs.limit(0), "bundle")
-    return provenance.health_summary(found.where(F.col("signal").isin("missing_sources", "orphan")))
+@query(f"WITH {_RES} SELECT DISTINCT file_id, resource FROM res WHERE resource IS NOT NULL")
+def resources_resolved(s, d):
+    return _resources(s, d).where(F.col("resource").isNotNull()).select("file_id", "resource").distinct()
 
 
-@query()
+@query(
+    f"WITH {_REACH}, {_RES}, dk AS (SELECT DISTINCT bundle, path FROM docs), bs AS ({_SNAP.format(f='min')}), ns AS ({_SNAP.format(f='max')}), "
+    "of AS (SELECT DISTINCT x.bundle, x.path, x.resource FROM res x JOIN dk USING (bundle, path)), known AS (SELECT * FROM of WHERE resource IS NOT NULL), "
+    "j AS (SELECT k.bundle, k.path, k.resource, ns.path IS NULL AS gone, bs.path IS NULL AS fresh, ns.sha256 IS DISTINCT FROM bs.sha256 AS other FROM known k LEFT JOIN ns ON ns.project = k.bundle AND ns.path = k.resource LEFT JOIN bs ON bs.project = k.bundle AND bs.path = k.resource), "
+    "lone AS (SELECT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND NOT EXISTS (SELECT 1 FROM l WHERE docs.bundle = l.bundle AND docs.path = l.target)), "
+    "far AS (SELECT DISTINCT bundle, path FROM docs WHERE NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND bundle IN (SELECT bundle FROM docs WHERE path = '/index.md') AND (bundle, path) NOT IN (SELECT (bundle, path) FROM r) AND (bundle, path) NOT IN (SELECT (bundle, path) FROM lone)), "
+    "sig AS (SELECT CASE WHEN gone THEN 'source_missing' WHEN fresh THEN 'source_not_in_baseline' WHEN other THEN 'source_changed' END AS signal FROM j "
+    "UNION ALL SELECT 'missing_sources' FROM dk WHERE path <> '/index.md' AND (bundle, path) NOT IN (SELECT (bundle, path) FROM of) UNION ALL SELECT 'orphan' FROM lone UNION ALL SELECT 'unreachable' FROM far) "
+    "SELECT signal, count(*) AS n FROM sig WHERE signal IS NOT NULL GROUP BY 1"
+)
 def health_signals(s, d):
     """All signals; a bundle's sources are the inventories of the project of its name, the first snapshot being the baseline."""
     docs, e = live(s, d).select("bundle", "path").distinct(), links(s, d)
@@ -497,9 +571,16 @@ def budgets(s, d):
     return provenance.budgets(files(s, d).where(F.col("content").isNotNull()), "bundle").select("bundle", "n_docs", "n_bytes", "largest")
 
 
-@query("SELECT bundle, lower(path) AS key, count(DISTINCT path) AS n FROM corpus_files GROUP BY 1, 2 HAVING count(DISTINCT path) > 1")
+@query(
+    "WITH p AS (SELECT bundle, path FROM corpus_files UNION ALL SELECT bundle, upper(path) FROM corpus_files WHERE file_id % 10 = 0 UNION ALL SELECT bundle, path || 'é' FROM corpus_files WHERE file_id % 10 = 1 UNION ALL SELECT bundle, path || 'e' || chr(769) FROM corpus_files WHERE file_id % 10 = 1) "
+    "SELECT bundle, replace(lower(path), 'e' || chr(769), 'é') AS key, count(DISTINCT path) AS n FROM p GROUP BY 1, 2 HAVING count(DISTINCT path) > 1"
+)
 def collisions(s, d):
-    return provenance.collisions(files(s, d), paths.canonical_key("path"), "bundle")
+    """The documents beside some of them in capitals, and with an accent of one or two characters."""
+    f = files(s, d).select("file_id", "bundle", "path")
+    upper = f.where(F.col("file_id") % 10 == 0).withColumn("path", F.upper("path"))
+    marked = f.where(F.col("file_id") % 10 == 1).select("file_id", "bundle", F.explode(F.array(F.concat("path", F.lit("é")), F.concat("path", F.lit("e\u0301")))).alias("path"))
+    return provenance.collisions(f.unionByName(upper).unionByName(marked), paths.canonical_key("path"), "bundle")
 
 
 @query("SELECT event_type AS file, sum(n)::BIGINT AS statements, sum(CASE WHEN hit > 0 THEN n ELSE 0 END)::BIGINT AS covered FROM (SELECT event_type, user_id, max(event_id % 3) AS hit, max(user_id % 7 + 1) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -513,17 +594,39 @@ def coverage_merge(s, d):
 
 @query(
     f"WITH {_FM}, v AS (SELECT file_id, path, block, {_VALUE.format(k='type')} AS type, {_VALUE.format(k='status')} AS status, regexp_matches(path, '(^|/)(index|log)\\.md$') AS reserved, contains(chr(10) || block, chr(10) || 'status:') AS has_status FROM blocks) "
-    "SELECT rule, count(*) AS n FROM (SELECT 'type is missing' AS rule FROM v WHERE NOT reserved AND (block IS NULL OR type = '') UNION ALL SELECT 'status is not in the vocabulary' FROM v WHERE NOT reserved AND has_status AND status NOT IN ('draft', 'stable', 'deprecated') "
-    "UNION ALL SELECT 'path is too deep' FROM v WHERE length(path) - length(replace(path, '/', '')) - 1 > 2 UNION ALL SELECT 'path holds a space' FROM v WHERE contains(path, ' ') "
-    "UNION ALL SELECT 'index.md declares properties' FROM v WHERE regexp_matches(path, '(^|/)index\\.md$') AND regexp_matches(chr(10) || block, '\\n[A-Za-z_]+:') AND NOT regexp_matches(chr(10) || block, '^\\nokf_version:[^\\n]*$')) GROUP BY 1"
+    "SELECT file_id, rule FROM (SELECT file_id, 'type is missing' AS rule FROM v WHERE NOT reserved AND (block IS NULL OR type = '') UNION ALL SELECT file_id, 'status is not in the vocabulary' FROM v WHERE NOT reserved AND has_status AND status NOT IN ('draft', 'stable', 'deprecated') "
+    "UNION ALL SELECT file_id, 'path is too deep' FROM v WHERE length(path) - length(replace(path, '/', '')) - 1 > 2 UNION ALL SELECT file_id, 'path holds a space' FROM v WHERE contains(path, ' ') "
+    "UNION ALL SELECT file_id, 'index.md declares properties' FROM v WHERE regexp_matches(path, '(^|/)index\\.md$') AND regexp_matches(chr(10) || block, '\\n[A-Za-z_]+:') AND NOT regexp_matches(chr(10) || block, '^\\nokf_version:[^\\n]*$'))"
 )
 def check_issues(s, d):
-    return checks.document_issues(parsed(s, d), "file_id", max_depth=2).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return checks.document_issues(parsed(s, d), "file_id", max_depth=2).select("file_id", "rule")
 
 
-@query("SELECT link_id, CASE WHEN regexp_matches(raw, '\\[\\[[^\\]\\n]+\\]\\]') THEN 'wikilink' END AS gate FROM (SELECT DISTINCT link_id, raw FROM links WHERE raw IS NOT NULL)")
-def link_gate(s, d):
-    return raw_links(s, d).where(F.col("raw").isNotNull()).select("link_id", checks.link_gate("raw").alias("gate"))
+#: Put behind the documents, by their number: every construct a publication refuses, bare and in code.
+_REFUSED = ("[a][b]", "[a]: x.md", "<A class=x HREF='y'>", "![[e]]", "`[[x]]` `<a href=y>`", "[a](javascript:x)", "[a](/root.md)", "[a](../../../../../../u.md)", "[a](%zz.md)", "[a](x\\y.md)", "~~~\n[[x]] [a](file:x)\n~~~", "closed ]]", "[a](https://h.org/x) [b](ok.md#y)")
+
+
+@query(
+    "WITH adapted AS (SELECT file_id, path, content || chr(10) || chr(10) || CASE file_id % 13 "
+    + " ".join(f"WHEN {k} THEN '{x.replace(chr(39), chr(39) * 2)}'" for k, x in enumerate(_REFUSED))
+    + " END AS content FROM corpus_files WHERE content IS NOT NULL), "
+    + _LINES.replace("corpus_files", "adapted")
+    + """, bare AS (SELECT file_id, line_no, regexp_replace(line, '`[^`]*`', '', 'g') AS line FROM prose),
+forms AS (SELECT file_id, line_no, '' AS detail, CASE WHEN regexp_matches(line, '^[\\t ]{0,3}\\[[^\\]\\n]+\\]:[\\t ]*\\S') OR regexp_matches(line, '\\[[^\\]\\n]+\\]\\[[^\\]\\n]*\\]([^(]|$)') THEN 'reference link' WHEN regexp_matches(line, '(?i)<a\\s[^>]*href') THEN 'HTML link' WHEN contains(line, '[[') OR contains(line, ']]') THEN 'wikilink' END AS rule FROM bare),
+dests AS (SELECT file_id, line_no, trim(unnest(regexp_extract_all(line, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 2)), ' ' || chr(9) || chr(13)) AS dest FROM bare),
+raws AS (SELECT d.file_id, d.line_no, a.path AS from_path, CASE WHEN starts_with(dest, '<') THEN regexp_extract(dest, '^<([^>]*)', 1) ELSE regexp_extract(dest, '^([^ \\t]*)', 1) END AS raw FROM dests d JOIN adapted a USING (file_id)),
+kinds AS (SELECT *, CASE WHEN starts_with(raw, '#') THEN 'self' WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(raw, '//') THEN 'external' ELSE 'inner' END AS kind, regexp_replace(raw, '#.*$', '') AS part FROM raws),
+folds AS (SELECT *, """
+    + _fold_sql(f"string_split(CASE WHEN kind <> 'inner' THEN '' WHEN starts_with(part, '/') THEN part ELSE {_dir_sql('from_path')} || '/' || url_decode(CASE WHEN regexp_matches(part, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN '' ELSE part END) END, '/')")
+    + """ AS folded FROM kinds),
+targets AS (SELECT file_id, line_no, raw AS detail, CASE WHEN kind = 'external' AND lower(regexp_extract(raw, '^([^:]*):', 1)) IN ('javascript', 'data', 'file', 'vbscript', 'about', 'blob') THEN 'forbidden scheme'
+  WHEN kind = 'inner' AND contains(part, '\\') THEN 'unsafe target' WHEN kind = 'inner' AND regexp_matches(part, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') THEN 'invalid escape' WHEN kind = 'inner' AND starts_with(part, '/') THEN 'root-absolute link' WHEN kind = 'inner' AND starts_with(folded, '!') THEN 'link leaves the corpus' END AS rule FROM folds)
+SELECT file_id, line_no::INT AS line_no, rule, detail FROM (SELECT * FROM forms UNION ALL BY NAME SELECT * FROM targets) WHERE rule IS NOT NULL"""
+)
+def gate_issues(s, d):
+    tail = F.coalesce(*(F.when(F.col("file_id") % 13 == k, F.lit(x)) for k, x in enumerate(_REFUSED)))
+    made = files(s, d).where(F.col("content").isNotNull()).select("file_id", "path", F.concat("content", F.lit("\n\n"), tail).alias("content"))
+    return checks.gate_issues(made, "content", "file_id")
 
 
 @query("SELECT heading_id, regexp_matches(heading_text, '^\\d{4}-\\d{2}-\\d{2}$') AS dated FROM (SELECT DISTINCT heading_id, heading_text FROM headings WHERE heading_text IS NOT NULL)")
@@ -541,7 +644,10 @@ def check_links(s, d):
 # --- rewrites ---------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "WITH a AS (" + _normal_sql("SELECT DISTINCT link_id, bundle, from_path, raw FROM links WHERE starts_with(raw, '/') AND NOT starts_with(raw, '//') AND NOT contains(raw, ' ')") + "), "
+    f"t AS (SELECT link_id, bundle, from_path, raw AS old, {_seen_from_sql('from_path', 'path')} || coalesce('#' || anchor, '') AS new FROM a WHERE NOT escapes) SELECT * FROM t WHERE old <> new"
+)
 def tidy_links(s, d):
     return rewrite.tidy_links_plan(raw_links(s, d), "link_id", "bundle")
 
@@ -551,14 +657,24 @@ def tidy_slugs(s, d):
     return rewrite.slug_plan(live(s, d), "bundle")
 
 
-@query()
+@query(
+    ORACLE["tidy_slugs"].replace("SELECT r.bundle, r.path, r.new_path", ", mv AS (SELECT r.bundle, r.path AS old, r.new_path AS nw", 1).replace("AS collides FROM r JOIN n USING (bundle, new_path)", "AS collides FROM r JOIN n USING (bundle, new_path))")
+    + ", lk AS (SELECT DISTINCT bundle, from_path, target FROM links WHERE target IS NOT NULL), "
+    "x AS (SELECT lk.*, f.nw AS nf, t.nw AS nt FROM lk LEFT JOIN mv f ON f.bundle = lk.bundle AND f.old = lk.from_path AND NOT f.collides LEFT JOIN mv t ON t.bundle = lk.bundle AND t.old = lk.target AND NOT t.collides), "
+    "y AS (SELECT bundle, from_path, target AS old_target, coalesce(nf, from_path) AS new_from, coalesce(nt, target) AS goal FROM x WHERE nf IS NOT NULL OR nt IS NOT NULL) "
+    f"SELECT bundle, from_path, old_target, new_from, {_seen_from_sql('new_from', 'goal')} AS new_target FROM y"
+)
 def move_plan(s, d):
     """Respelling when every path with a blank gets its slug."""
     moves = rewrite.slug_plan(live(s, d), "bundle").where(~F.col("collides")).select("bundle", F.col("path").alias("old"), F.col("new_path").alias("new"))
     return rewrite.move_plan(links(s, d), moves, "bundle")
 
 
-@query()
+@query(
+    _WIKI.replace("SELECT f.link_id AS wiki_id, coalesce(e.path, n.path) AS path FROM f", ", z AS (SELECT f.link_id, f.bundle, f.from_path, coalesce(e.path, n.path) AS path FROM f").replace("LEFT JOIN n USING (link_id)", "LEFT JOIN n USING (link_id))")
+    + f", q AS (SELECT z.*, k.inside, regexp_extract(k.inside, '#([^|]*)', 1) AS anchor, trim(regexp_extract(k.inside, '\\|(.*)$', 1)) AS display FROM z JOIN (SELECT DISTINCT link_id, regexp_extract(raw, '^\\[\\[(.*?)\\]\\]', 1) AS inside FROM links WHERE starts_with(raw, '[[')) k USING (link_id)) "
+    f"SELECT bundle, from_path, '[[' || inside || ']]' AS old, '[' || CASE WHEN display <> '' THEN display ELSE regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.md$', '') END || '](' || {_seen_from_sql('from_path', 'path')} || CASE WHEN anchor <> '' THEN '#' || anchor ELSE '' END || ')' AS new, CASE WHEN path IS NULL THEN 'no such document' END AS skip FROM q"
+)
 def tidy_wikilinks(s, d):
     w = _wiki(s, d)
     found = graph.resolve_wikilinks(w.select("bundle", "from_path", "wiki_id", "name"), live(s, d)).select("wiki_id", "path")
@@ -590,10 +706,11 @@ def hash_syntax(s, d):
     return table(s, d, "graph_files").groupBy("bundle").agg(F.count_if(provenance.valid_hash("sha256")).alias("n_valid"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("SELECT file_id, length(content)::BIGINT AS units FROM corpus_files WHERE content IS NOT NULL")
+@query("SELECT file_id, (length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))::BIGINT AS units FROM (SELECT file_id, content || repeat('😀é', (file_id % 4)::INT) AS t FROM corpus_files WHERE content IS NOT NULL)")
 def utf16_lengths(s, d):
-    """The texts hold no character beyond the basic plane, so UTF-16 units are code points."""
-    return files(s, d).where(F.col("content").isNotNull()).select("file_id", provenance.utf16_length("content").cast("long").alias("units"))
+    """The documents with some characters beyond the basic plane put behind them."""
+    made = F.concat("content", F.repeat(F.lit("😀é"), (F.col("file_id") % 4).cast("int")))
+    return files(s, d).where(F.col("content").isNotNull()).select("file_id", provenance.utf16_length(made).cast("long").alias("units"))
 
 
 @query(f"WITH n AS ({_BUILD.format(f='max')}), c AS (SELECT DISTINCT bundle, path FROM corpus_files WHERE deleted_at IS NULL) SELECT c.bundle, c.path, 'left' AS side FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.bundle = c.bundle AND n.path = c.path) UNION ALL SELECT n.bundle, n.path, 'right' FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE n.bundle = c.bundle AND n.path = c.path)")
