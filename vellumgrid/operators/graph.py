@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.paths import basename, depth, dirname, matches_glob
-from vellumgrid.runtime import broadcast_if_small, materialise
+from vellumgrid.runtime import broadcast_if_small, materialise, written_rows
 
 
 def edges(links: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def outgoing(links: DataFrame) -> DataFrame:
 
 
 #: Hops computed in one plan before the new documents are written.
-HOPS_PER_ROUND = 3
+HOPS_PER_ROUND = 2
 
 
 def reachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", hops_per_round: int = HOPS_PER_ROUND) -> DataFrame:
@@ -69,7 +69,7 @@ def reachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", hops_p
     known = docs.select("bundle", "path").distinct()
     steps = links.select("bundle", F.col("from_path").alias("path"), F.col("target").alias("next")).distinct().join(known.withColumnRenamed("path", "next"), ["bundle", "next"], "left_semi")
     steps = materialise(steps.where(F.col("path") != F.col("next")), "edges")
-    seen = frontier = known.where(F.col("path") == root).withColumn("hops", F.lit(0))
+    seen = frontier = docs.where(F.col("path") == root).select("bundle", "path").distinct().withColumn("hops", F.lit(0))
     hops = 0
     while True:
         found, last = None, frontier
@@ -79,11 +79,11 @@ def reachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", hops_p
             step = last.select("bundle", "path").join(steps, ["bundle", "path"]).select("bundle", F.col("next").alias("path")).distinct()
             last = step.join(before, ["bundle", "path"], "left_anti").withColumn("hops", F.lit(hops))
             found = last if found is None else found.unionByName(last)
-        found = materialise(found, "reached")
+        found = materialise(found, "reached", measure=True)
+        if not written_rows(found):
+            return seen
         seen = seen.unionByName(found)
         frontier = found.where(F.col("hops") == hops)
-        if frontier.isEmpty():
-            return seen
 
 
 def unreachable(docs: DataFrame, links: DataFrame, root: str = "/index.md", globs: Sequence[str] = ()) -> DataFrame:

@@ -174,7 +174,7 @@ def split_values(df: DataFrame, field: str, none: str | None = None) -> DataFram
     if none is not None:
         rows = rows.where(F.trim(F.col(field)) != none)
     rows = rows.withColumn("_tokens", tokens(field)).withColumn("_skeleton", skeleton(F.col("_tokens")))
-    rules = materialise(rows.select("_skeleton").distinct().mapInPandas(_rules, f"_skeleton string, _rule {RULE_TYPE}"), "rules")
+    rules = materialise(rows.select("_skeleton").distinct().mapInPandas(_rules, f"_skeleton string, _rule {RULE_TYPE}"), "rules", measure=True)
     ruled = rows.join(broadcast_if_small(rules), "_skeleton")
     # element_at counts from 1
     items = F.transform("_rule", lambda v: F.array_join(F.transform(v, lambda p: F.element_at("_tokens", p + 1)), ""))

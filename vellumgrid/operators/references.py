@@ -35,7 +35,7 @@ def _same(key: list[str]) -> Column:
 
 
 def pick(refs: DataFrame, keys: DataFrame, key: list[str], counts: DataFrame, rows_per_task: int = ROWS_PER_TASK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The references whose key is among ``keys(key..., status)``, NULLs alike, with the status.
+    """The references whose key is among ``keys(key..., status)``, NULLs alike, with the status; ``mixed`` keys are passed over.
 
     Where the keys are small they are broadcast and no reference moves. Beyond,
     the heavy keys (by ``counts``, at most one for ``rows_per_task`` references)
@@ -44,7 +44,8 @@ def pick(refs: DataFrame, keys: DataFrame, key: list[str], counts: DataFrame, ro
     wanted = keys.select(*[F.col(c).alias(f"_{c}") for c in key], "status")
     plain = [*refs.columns, "status"]
     if measured_bytes(keys) <= broadcast_bytes:
-        return refs.join(F.broadcast(wanted), _same(key)).select(*plain)
+        return refs.join(F.broadcast(wanted.where(F.col("status") != "mixed")), _same(key)).select(*plain)
+    wanted = wanted.where(F.col("status") != "mixed")
     heavy = materialise(counts.where(F.col("n") > rows_per_task).select(*[F.col(c).alias(f"_{c}") for c in key]), "heavy")
     marked = refs.join(broadcast_if_small(heavy.withColumn("_heavy", F.lit(True))), _same(key), "left")
     hot = marked.where(F.col("_heavy")).select(*refs.columns)
@@ -110,13 +111,14 @@ class _Links:
         slugs = slug_counts(headings)
         self.by_month = self.refs.withColumn("period", _month("seen_at"))
         self.month_sums = reference_counts(self.by_month, LINK_KEY, "seen_at")
-        judged = materialise(judge(self.month_sums, files, slugs).where(F.col("status").isNotNull()), "months")
-        self.months, mixed = judged.where(F.col("status") != "mixed"), judged.where(F.col("status") == "mixed")
+        judged = materialise(judge(self.month_sums, files, slugs).where(F.col("status").isNotNull()), "months", measure=True)
+        self.months, mixed = judged, judged.where(F.col("status") == "mixed")
         self.instants = None
         if not mixed.isEmpty():
-            rest = pick(self.by_month, mixed, LINK_KEY, self.month_sums).drop("status")
+            again = mixed.withColumn("status", F.lit("again"))
+            rest = pick(self.by_month, again, LINK_KEY, self.month_sums).drop("status")
             self.instant_sums = reference_counts(rest.withColumn("period", F.col("seen_at")), LINK_KEY, "seen_at")
-            self.instants = materialise(judge(self.instant_sums, files, slugs).where(F.col("status").isNotNull()), "instants")
+            self.instants = materialise(judge(self.instant_sums, files, slugs).where(F.col("status").isNotNull()), "instants", measure=True)
 
     def orphans(self) -> DataFrame:
         found = pick(self.by_month, self.months, LINK_KEY, self.month_sums)
@@ -126,7 +128,7 @@ class _Links:
         return found.groupBy("link_id").agg(F.min(F.struct("bundle", "seen_at", "status")).alias("o")).select("link_id", "o.bundle", "o.seen_at", F.col("o.status").alias("reason"))
 
     def counts(self) -> DataFrame:
-        sums = self.months.select("period", "n")
+        sums = self.months.where(F.col("status") != "mixed").select("period", "n")
         if self.instants is not None:
             sums = sums.unionByName(self.instants.select(_month("period").alias("period"), "n"))
         return sums.groupBy("period").agg(F.sum("n").alias("n_orphans"))
@@ -142,7 +144,7 @@ class _Graph:
         self.refs = rows.select("graph_id", "bundle", "build_no", "built_at", _month("built_at").alias("period"), F.posexplode("links").alias("_p", "path")).withColumn("item_pos", (F.col("_p") + 1).cast("int"))
         self.sums = reference_counts(self.refs, GRAPH_KEY, "built_at")
         known = graph_files.where(F.col("path").isNotNull()).select("bundle", "build_no", "path").distinct()
-        self.bad = materialise(self.sums.join(known, ["bundle", "build_no", "path"], "left_anti").select(*GRAPH_KEY, "n", F.lit("target").alias("status")), "graph")
+        self.bad = materialise(self.sums.join(known, ["bundle", "build_no", "path"], "left_anti").select(*GRAPH_KEY, "n", F.lit("target").alias("status")), "graph", measure=True)
 
     def orphans(self) -> DataFrame:
         found = pick(self.refs, self.bad, GRAPH_KEY, self.sums)

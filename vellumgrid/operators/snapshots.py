@@ -55,7 +55,7 @@ def snapshot_changes(
         .groupBy("_g")
         .agg(F.array_sort(F.collect_list("_n")).alias("_all"))
     )
-    seen = rows.join(broadcast_if_small(materialise(calendar, "calendar")), "_g")
+    seen = rows.join(broadcast_if_small(materialise(calendar, "calendar", measure=True)), "_g")
 
     by_key = Window.partitionBy("_g", "_k").orderBy("_n", F.col("_t").asc_nulls_first(), "_d")
     seen = seen.withColumn("_later", F.lead("_n").over(by_key)).where(~F.col("_later").eqNullSafe(F.col("_n")))

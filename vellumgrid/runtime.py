@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is below this many bytes.
@@ -55,17 +55,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or path
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, label: str = "stage", measure: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The files outlive lost executors and are compressed, unlike RDD
-    checkpoints. They are deleted by :func:`release` or at exit.
+    checkpoints. They are deleted by :func:`release` or at exit. ``measure``
+    counts rows and bytes while writing, for :func:`broadcast_if_small` and
+    :func:`written_rows`, so that no job of its own is needed for that.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation() if measure else None
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("bytes")) if seen is not None else df
+    out.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if seen is not None:
+        got = seen.get
+        back._measured = (int(got.get("rows") or 0), int(got.get("bytes") or 0))
+    return back
+
+
+def written_rows(df: DataFrame) -> int:
+    """The number of rows of a measured table, or a count."""
+    known = df.__dict__.get("_measured")
+    return known[0] if known else df.count()
 
 
 def release() -> None:
@@ -83,16 +97,21 @@ def release() -> None:
 atexit.register(release)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of ``df`` (one aggregate, no collect of rows)."""
+def _width(df: DataFrame) -> Column:
+    """Upper estimate of a row's size in memory."""
     width = sum(
         (F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) if kind.startswith(("array", "map", "struct"))
          else F.coalesce(F.octet_length(F.col(name)), F.lit(0)) if kind in ("string", "binary")
          else F.lit(8)) + F.lit(16)
         for name, kind in df.dtypes
     )
-    row = df.agg(F.sum(width.cast("long")).alias("b")).first()
-    return int(row.b or 0)
+    return width.cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Upper estimate of the in-memory size of ``df``: as measured when it was written, else by one aggregate."""
+    known = df.__dict__.get("_measured")
+    return known[1] if known else int(df.agg(F.sum(_width(df)).alias("b")).first().b or 0)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
