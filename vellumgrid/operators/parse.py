@@ -227,6 +227,32 @@ def entries(df: DataFrame, content: str, *keep: str) -> DataFrame:
     return both.select(*keep, F.col("d.json").alias("fm"), F.col("d.error").alias("fm_error"), F.coalesce("d.properties", F.array().cast("array<struct<key:string,values:array<string>>>")).alias("properties"), F.coalesce("d.resources", F.array().cast("array<string>")).alias("resources"), "d.sources_ok", "d.generated_ok", "d.verified_ok", F.col("_f.body").alias("body"), F.col("_f.lines").alias("fm_lines"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _typed_sources(blocks: pd.Series) -> pd.Series:
+    import yaml
+
+    def read(block: str | None) -> list[str]:
+        try:
+            data = yaml.safe_load(block) if block else None
+        except (yaml.YAMLError, ValueError, RecursionError):
+            return []
+        items = data.get("sources") if isinstance(data, dict) else None
+        items = [items] if isinstance(items, dict) else items if isinstance(items, list) else []
+        return [json.dumps(x, ensure_ascii=False, sort_keys=True, default=str) for x in items if isinstance(x, dict)]
+
+    return blocks.map(read)
+
+
+def typed_sources(df: DataFrame, content: str, *keep: str) -> DataFrame:
+    """``(keep..., pos, source)``: the declared sources as JSON objects with YAML's types (numbers, booleans, NULL, dates as text).
+
+    A byte order mark before the frontmatter is passed over; blocks that cannot be read give nothing.
+    """
+    block = md.frontmatter(F.regexp_replace(content, r"\A\ufeff", ""))["block"]
+    rows = df.select(*keep, block.alias("_b")).where(F.col("_b").contains("sources"))
+    return rows.select(*keep, F.posexplode(_typed_sources("_b")).alias("_p", "source")).select(*keep, (F.col("_p") + 1).alias("pos"), "source")
+
+
 def fm_values(parsed: DataFrame, *keep: str) -> DataFrame:
     """``(keep..., key, pos, value)``; keys without string values have no rows."""
     p = parsed.select(*keep, F.explode("properties").alias("p"))

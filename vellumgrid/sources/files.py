@@ -297,6 +297,17 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(data["files"].items()), "path string, sha256 string")
 
 
+#: Bytes of one published file.
+PUBLISHED_BYTES = 64 << 20
+
+
+def publication(spark: SparkSession, folder: str, limit: int = PUBLISHED_BYTES) -> DataFrame:
+    """``(path, bytes, sha256, content)`` of a publication in a folder; a file beyond ``limit`` bytes is refused, none is cut."""
+    size = F.octet_length("content").cast("long")
+    content = F.when(size > limit, F.raise_error(F.concat(F.lit("too large: "), F.col("path"))).cast("binary")).otherwise(F.col("content"))
+    return _listed(spark, folder).select("path", size.alias("bytes"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+
+
 def read_data(path: str) -> dict:
     """A JSON object for templates; anything else is refused."""
     data = json.loads(Path(path).read_text("utf-8"))
