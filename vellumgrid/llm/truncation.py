@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.words import U, beginnings, chunks, mix
-from vellumgrid.runtime import broadcast_if_small, materialise
+from vellumgrid.runtime import BROADCAST_BYTES, broadcast_if_small, materialise, measured_bytes
 
 #: Up to three words, or an ellipsis, in brackets of their own at the very end: a mark of the sender's, or an aside.
-_STANDIN = re.compile(r"\s*(?<!\])[\[(<]\s*(?:\w+(?:[ \t]+\w+){0,2}|\.{3}|…)\s*[\])>]\s*\Z")
-_ELLIPSIS = re.compile(r"\s*(?:…|\.{3,})\s*\Z")
-_TERMINAL = re.compile(r"[.!?。！？][\"”’')\]*_`»]*\Z")
+_STANDIN = re.compile(r"[\[(<]\s*(?:\w+(?:[ \t]+\w+){0,2}|\.{3}|…)\s*[\])>]")
+_CLOSERS = "\"”’')]*_`»"
+_TERMINALS = ".!?。！？"
 _LIST = re.compile(r"[ \t>]*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)")
 _BARE_MARKER = re.compile(r"[ \t>]*(?:[-*+]|[-*+] \[[ xX]?\]?|#{1,6}|-{2}|[`~]{1,2})[ \t]*\Z")
 _BARE_NUMBER = re.compile(r"[ \t>]*\d+[.)][ \t]*\Z")
@@ -61,10 +61,8 @@ KEY_BOUND = 1 << 20
 
 def ending(text: str) -> tuple[int, str, str, int]:
     """Verdict, kind of the ending, the last unit where it has to be asked for, and the length without stand-ins."""
-    body = text.rstrip()
-    while m := _STANDIN.search(body):
-        body = body[: m.start()].rstrip()
-    bare = _ELLIPSIS.sub("", body)
+    body = _without_marks(text.rstrip())
+    bare = _without_dots(body)
     dots, body = len(bare) < len(body), bare
     if not body:
         return FINISHED, "blank", "", 0
@@ -85,7 +83,7 @@ def ending(text: str) -> tuple[int, str, str, int]:
     # a number alone in a line is an item's unless it wraps a sentence
     if _BARE_MARKER.match(last) or _BARE_NUMBER.match(last) and _AFTER_ITEM.match(_line_before(body)):
         return CUT, "marker", body, n
-    if _TERMINAL.search(body):
+    if ends_sentence(body):
         paragraph = body[body.rfind("\n\n") + 2 :] if "\n\n" in body else body
         return (CUT if paragraph.count("`") % 2 else FINISHED), SENTENCE, body, n
     if _DATED.match(visible) or _LINK.match(visible):
@@ -101,6 +99,26 @@ def ending(text: str) -> tuple[int, str, str, int]:
     return CUT, SENTENCE, body, n
 
 
+def _without_marks(body: str) -> str:
+    while body.endswith(("]", ")", ">")):
+        at = max(map(body.rfind, "[(<"))
+        if at < 0 or body[at - 1 : at] == "]" or not _STANDIN.fullmatch(body, at):
+            break
+        body = body[:at].rstrip()
+    return body
+
+
+def _without_dots(body: str) -> str:
+    if body.endswith("…"):
+        return body[:-1].rstrip()
+    return body.rstrip(".").rstrip() if body.endswith("...") else body
+
+
+def ends_sentence(body: str) -> bool:
+    """Whether a mark that ends sentences comes last, closing marks aside."""
+    return body.rstrip(_CLOSERS)[-1:] in tuple(_TERMINALS)
+
+
 def _line_before(body: str) -> str:
     """The line before the last one, empty if there is none."""
     at = body.rfind("\n")
@@ -126,7 +144,7 @@ _TAILS_DDL = ", ".join(map(" ".join, _TAILS))
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
-def _h(data: bytes) -> int:
+def _h(data: bytes | memoryview) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64))
 
 
@@ -147,13 +165,14 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(2).to_pylist():
             verdict, kind, unit, n = ending(text)
             data = text.encode("utf-8", "replace")
+            begin = (lambda k, d=memoryview(data): d[:k]) if len(data) == len(text) else (lambda k, t=text: t[:k].encode("utf-8", "replace"))
             levels, at = [], 1
             while at <= len(text):
-                levels.append(_h(text[:at].encode("utf-8", "replace")))
+                levels.append(_h(begin(at)))
                 at *= 2
             top = n.bit_length() - 1
             sign = unit.encode("utf-8", "replace").decode() if kind == SIGN else None
-            rows.append([len(text), len(data), _h(data), verdict, kind, None, None, 0, bool(_ELLIPSIS.search(text)), n, top, sign, _h(text[:n].encode("utf-8", "replace")), levels])
+            rows.append([len(text), len(data), _h(data), verdict, kind, None, None, 0, text.rstrip().endswith(("…", "...")), n, top, sign, _h(begin(n)), levels])
             units.append("" if verdict == FINISHED else unit if kind == ITEM else tail(unit))
         for c in chunks(units, keep=True):
             h = _folded(c)
@@ -237,7 +256,7 @@ def _counter(keys):
                 stop = t.rstrip().rfind("\n")
                 if stop > 0:
                     for x in _ITEMS.findall(t, 0, stop):
-                        (closed if _TERMINAL.search(x.rstrip()) else items).append(x)
+                        (closed if ends_sentence(x.rstrip()) else items).append(x)
             for c in chunks(closed):
                 lengths = np.bincount(np.diff(c.bounds))
                 for k in np.flatnonzero(lengths).tolist():
@@ -279,10 +298,10 @@ def longer_copies(tails: DataFrame, texts: DataFrame, least: int = PREFIX) -> Da
     copies = offers.where(F.col("top") >= _SHORT).groupBy("top", "h", "longer", "whole").agg(F.min("other").alias("other"))  # copies offer once
     met = wanted(copies, lengths.where(F.col("top") >= _SHORT))
     if least < PREFIX:  # few prefixes are asked for, but many texts may begin with one: the texts' side stays where it is
-        short = materialise(lengths.where(F.col("top") < _SHORT), "short")
+        short = materialise(lengths.where(F.col("top") < _SHORT), "short", measure=True)
         met = met.unionByName(wanted(offers.where(F.col("top") < _SHORT), broadcast_if_small(short)))
     met = met.select("other", F.explode("asked").alias("n")).groupBy("other").agg(F.collect_set("n").alias("asked"))
-    met = materialise(met, "met")
+    met = materialise(met, "met", measure=True)
     long = texts.join(broadcast_if_small(met), F.col("doc_id") == F.col("other")).select("text", "asked")
     starts = long.mapInArrow(_starts, "body long, body_hash long, inside boolean, line boolean").groupBy("body", "body_hash").agg(F.max("inside").alias("inside"), F.max("line").alias("line"))
     return starts.join(asks.select("body", "body_hash").distinct(), ["body", "body_hash"], "left_semi")
@@ -337,32 +356,33 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
 
     asked = tails.where((F.col("verdict") != FINISHED) & F.col("word").isNotNull())
     questions = F.array(*(F.struct(F.lit(w).alias("what"), F.col(c).alias("key")) for w, c in ((PAIRS, "pair"), (WORDS, "word"), (ITEMS, "word"), (PARTS, "word"))))
-    keys = materialise(asked.select(F.explode(questions).alias("q")).select("q.*").distinct(), "keys")
+    keys = asked.select(F.explode(questions).alias("q")).select("q.*").distinct()
+    got = keys.limit(key_bound + 1).toPandas()
     shared = None
-    if keys.count() <= key_bound:
-        got = keys.toPandas()
+    if len(got) <= key_bound:
         shared = spark.sparkContext.broadcast({w: np.sort(got["key"][got["what"] == w].to_numpy(np.int64).astype(U)) for w in (PAIRS, WORDS, ITEMS, PARTS)})
     counted = rows.select("text").mapInArrow(_counter(shared), "what int, key long, ends long, goes_on long").groupBy("what", "key").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
     if shared is None:
         counted = counted.join(keys.unionByName(counted.where(F.col("what") > PARTS).select("what", "key")), ["what", "key"], "left_semi")
-    stats = materialise(counted, "stats")
-    base = {r["what"]: (r["ends"], r["goes_on"]) for r in stats.where(F.col("what").isin(ALL_WORDS, ALL_ITEMS)).collect()}  # two rows
+    stats = materialise(counted, "stats", measure=True)
+    few = F.broadcast if measured_bytes(stats) <= BROADCAST_BYTES else lambda df: df
+    # a row per kind of count; an item of n words could have been cut behind n - 1 of them
+    base = {r["what"]: r for r in stats.where(F.col("what") >= LENGTHS).groupBy("what").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"), F.sum(F.col("ends") * (F.col("key") - 1)).alias("inner")).collect()}
 
     # how many items have just so many words, and how many of all have more
     lengths = stats.where(F.col("what").isin(LENGTHS, ALL_LENGTHS)).groupBy(F.col("key").alias("n_words")).agg(F.sum(F.when(F.col("what") == LENGTHS, F.col("ends"))).alias("_just"), F.sum(F.when(F.col("what") == ALL_LENGTHS, F.col("ends"))).alias("_all"))
     more_words = Window.orderBy(F.col("n_words").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct length
     lengths = lengths.select("n_words", F.coalesce("_just", F.lit(0)).alias("_just"), F.coalesce(F.sum("_all").over(more_words), F.lit(0)).alias("_more"))
-    sums = lengths.agg(F.sum("_just").alias("just"), F.sum("_more").alias("more")).first()
 
     sizes = tails.select("source", "whole", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s")).distinct()
     sizes = sizes.groupBy("source", "s.unit", "s.size").agg(F.count(F.lit(1)).alias("n"))
     spikes = sizes.withColumn("all", F.sum("n").over(Window.partitionBy("source", "unit"))).where((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("all")))
     # at most one spike per hundredth of a source's texts and unit
     limits = spikes.groupBy(F.col("source").alias("_s")).agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("_chars"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("_bytes"))
-    t = tails.join(broadcast_if_small(materialise(limits, "limits")), F.col("source").eqNullSafe(F.col("_s")), "left")
+    t = tails.join(broadcast_if_small(materialise(limits, "limits", measure=True)), F.col("source").eqNullSafe(F.col("_s")), "left")
     t = t.withColumn("at_limit", F.coalesce(F.array_contains("_chars", F.col("chars")) | F.array_contains("_bytes", F.col("bytes")), F.lit(False)))
 
-    copies = broadcast_if_small(materialise(longer_copies(tails, rows, least), "copies").withColumn("longer_copy", F.lit(True)))
+    copies = broadcast_if_small(materialise(longer_copies(tails, rows, least).withColumn("longer_copy", F.lit(True)), "copies", measure=True))
     t = t.join(copies, ["body", "body_hash"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("longer_copy", "inside", "line")})
     # an ellipsis hides that the sentence has no end; what is a line of its own goes on in that line only
     more = (
@@ -382,21 +402,24 @@ def truncated(df: DataFrame, id: str = "doc_id", text: str = "text", source: str
     open_ = t.where(F.col("verdict") != FINISHED)
     for what, key in ((PAIRS, "pair"), (WORDS, "word"), (ITEMS, "word"), (PARTS, "word")):
         part = stats.where(F.col("what") == what).select(F.col("key").alias(key), F.col("ends").alias(f"e{what}"), F.col("goes_on").alias(f"g{what}"))
-        open_ = open_.join(broadcast_if_small(part), key, "left")
-    open_ = open_.join(broadcast_if_small(lengths), "n_words", "left").join(broadcast_if_small(signs), "sign", "left")
+        open_ = open_.join(few(part), key, "left")
+    open_ = open_.join(few(lengths), "n_words", "left").join(signs, "sign", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     seen = lambda w: zero(f"e{w}") + zero(f"g{w}") > 0
     tail_evidence = F.when(~seen(WORDS) & seen(PARTS), "part of a word").when(seen(PAIRS), "words").when(seen(WORDS), "word")
 
+    def total(what: int, column: str) -> int:
+        return int(base[what][column] or 0) if what in base else 0
+
     def rather_cut(what: int, all_: int) -> Column:
         """Whether words that are so often followed, and so often the end, are likelier where a text is cut than where a unit ends."""
-        end, on = base.get(all_, (0, 0))
+        end, on = total(all_, "ends"), total(all_, "goes_on")
         return (zero(f"g{what}") + 1) * (end + 1) > (zero(f"e{what}") + 1) * (on + 1)
 
     in_part = ~seen(WORDS) & seen(PARTS)
     sentence = F.when(F.col("at_limit"), True).when(seen(PAIRS), rather_cut(PAIRS, ALL_WORDS)).when(seen(WORDS), rather_cut(WORDS, ALL_WORDS)).otherwise(in_part)
-    end, on = base.get(ALL_ITEMS, (0, 0))
-    just, longer = (sums["just"] or 0) + 1, (sums["more"] or 0) + 1
+    end, on = total(ALL_ITEMS, "ends"), total(ALL_ITEMS, "goes_on")
+    just, longer = total(LENGTHS, "ends") + 1, total(ALL_LENGTHS, "inner") + 1
     likelier = (zero(f"g{ITEMS}") + 1.0) * (end + 1) * (zero("_more") + 1) * just > (zero(f"e{ITEMS}") + 1.0) * (on + 1) * (zero("_just") + 1) * longer
     item = F.when(F.col("dots") & F.col("at_limit"), True).when(seen(WORDS) | seen(ITEMS), likelier).otherwise(in_part)
     # a limit counts where no text off the limit ends so; else the last word is in doubt unless another sign-off ends so
