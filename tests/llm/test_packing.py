@@ -59,3 +59,9 @@ def test_tokens_and_empty(spark):
     assert none.count() == 0
     r = P.fill_report(P.pack(df, "id", P.byte_tokens("t"), 4), 4).first()
     assert (r.n_containers, r.n_tokens, r.unused_share) == (1, 4, 0.0)
+
+
+def test_other_ids(spark):
+    df = spark.createDataFrame([("a", 5000), ("b", 10), (None, 3)], "id string, size int")
+    got = sorted(tuple(r)[:4] for r in P.pack(df, "id", F.col("size")).collect())
+    assert got == [("a", 0, 2, 4096), ("a", 1, 2, 904), ("b", 0, 1, 10)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.words import U, chunks, ngrams
-from vellumgrid.runtime import BROADCAST_BYTES, materialise
+from vellumgrid.runtime import BROADCAST_BYTES, materialise, written_rows
 
 SHINGLE = 5
 LEAST = 12
@@ -201,10 +201,10 @@ def leaked_items(
     asked = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     asked = asked.withColumn("item", F.xxhash64("item_id", "text")).distinct()
 
-    shingles = materialise(asked.select("item", "text").mapInArrow(_shingler(shingle, least), "item long, at int, gram long, words binary"), "shingles")
+    shingles = materialise(asked.select("item", "text").mapInArrow(_shingler(shingle, least), "item long, at int, gram long, words binary"), "shingles", measure=True)
     grams, words = shingles.where(F.col("at") >= 0).select("item", "at", "gram"), shingles.where(F.col("at") < 0).select("item", "words")
     # what would be sent: 8 bytes a shingle and a word, and as much for prefixes
-    small = (shingles.count() * 24) <= broadcast_bytes
+    small = written_rows(shingles) * 24 <= broadcast_bytes
     vocabulary = grams.select("gram").distinct()
     wanted = spark.sparkContext.broadcast(np.sort(vocabulary.toPandas()["gram"].to_numpy(np.int64).astype(U))) if small else None
     counts = corpus.select("text").mapInArrow(_counter(wanted, shingle), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))

@@ -78,18 +78,18 @@ def pack(df: DataFrame, id: str, size: Column, capacity: int = CAPACITY, shard_i
     other, is divided: into full containers' worth and a rest (``n_pieces`` > 1).
     Items are spread over shards by a hash of their id, so no source or group
     shapes a shard; the number of shards follows the number of items. Rows whose
-    id is NULL or whose size is NULL or not positive are left out; a row delivered
+    id (of any type) is NULL or whose size is NULL or not positive are left out; a row delivered
     twice is placed once (if its sizes differ, the largest). An empty table gives
     an empty result.
     """
-    items = df.select(F.col(id).cast("long").alias("id"), size.cast("long").alias("size")).where(F.col("id").isNotNull() & (F.col("size") > 0))
+    items = df.select(F.col(id).alias("id"), size.cast("long").alias("size")).where(F.col("id").isNotNull() & (F.col("size") > 0))
     shards = max(1, -(-df.count() // shard_items))
     whole = items.groupBy("id").agg(F.max("size").alias("size"))
     pieces = whole.select(
         "id", F.ceil(F.col("size") / capacity).cast("int").alias("n_pieces"), F.posexplode(F.expr(f"transform(sequence(0L, (size - 1) div {capacity}L), i -> least({capacity}L, size - i * {capacity}L))")).alias("piece", "size")
     )
     placed = pieces.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInPandas(_pack(capacity), "id long, n_pieces int, piece int, size long, shard int, bin int").select("id", "piece", "n_pieces", "size", "shard", "bin")
+    return placed.groupBy("shard").applyInPandas(_pack(capacity), f"id {df.schema[id].dataType.simpleString()}, n_pieces int, piece int, size long, shard int, bin int").select("id", "piece", "n_pieces", "size", "shard", "bin")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumgrid.runtime import broadcast_if_small, materialise
+from vellumgrid.runtime import BROADCAST_BYTES, broadcast_if_small, materialise, measured_bytes
 
 LIMIT = 4000
 OVERLAP = 200
@@ -338,9 +338,10 @@ def split_texts(df: DataFrame, id: str, text: str, limit: int = LIMIT, overlap:
     starts = section_starts(df, id, text, limit, range_bytes, soft_bytes)
     # as many starts as a text in a row has lines at most
     plans = starts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("byte", "pos", "line_no", "level"))).alias("sections"), F.max("copies").alias("copies"))
-    plans = materialise(plans, "sections")
+    plans = materialise(plans, "sections", measure=True)
     texts = _long(df, id, text, limit)
-    rows = texts.join(broadcast_if_small(plans.where(F.col("copies") == 1)), "id")
+    once = plans.where(F.col("copies") == 1)
+    rows = texts.join(F.broadcast(once) if measured_bytes(plans) <= BROADCAST_BYTES else once, "id")
     twice = plans.where(F.col("copies") > 1)
     if not twice.isEmpty():
         rows = rows.unionByName(texts.join(broadcast_if_small(twice), "id").dropDuplicates(["id"]))
@@ -371,7 +372,7 @@ def split_files(spark: SparkSession, paths: DataFrame | list[str], limit: int =
     if not isinstance(paths, DataFrame):
         paths = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
     kind = paths.schema["id"].dataType.simpleString()
-    files = materialise(paths.select("id", "path").mapInArrow(_sizes, f"id {kind}, path string, whole long").where(F.col("whole") > 0), "files")
+    files = materialise(paths.select("id", "path").mapInArrow(_sizes, f"id {kind}, path string, whole long").where(F.col("whole") > 0), "files", measure=True)
     each = F.explode(F.sequence(F.lit(0), F.floor((F.col("whole") - 1) / range_bytes).cast("int")))
     plan = files.select("id", each.alias("range_no"), "whole", "path").repartition("id", "range_no")
     starts = stitch(plan.mapInArrow(_detect_files(range_bytes, soft_bytes), f"id {kind}, range_no int, {_FOUND_DDL}"), soft_bytes)
