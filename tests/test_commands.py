@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from vellumgrid.__main__ import parser, run
+from vellumgrid.__main__ import main, parser, run
 from vellumgrid.commands import CommandError, Corpus
 from vellumgrid.sources import files
 from vellumgrid.sources.files import discover_project
@@ -204,3 +204,11 @@ def test_sources(spark, tmp_path, capsys, monkeypatch):
     assert "- [g.md](g.md)" in capsys.readouterr().out
     assert run(spark, args("manifest")) == 0
     assert "/g.md" in json.loads(capsys.readouterr().out)["files"]
+
+
+def test_init(spark, tmp_path, capsys):
+    assert main(["--root", str(tmp_path), "init", "New"]) == 0
+    assert capsys.readouterr().out.split() == ["project.toml", "docs/index.md", "docs/log.md"]
+    assert main(["--root", str(tmp_path), "init", "New"]) == 0
+    c = Corpus(spark, discover_project(str(tmp_path)))
+    assert c.check().count() == 0 and c.gate().count() == 0 and c.fix().count() == 0

@@ -86,6 +86,17 @@ def test_pages(spark, rows):
     assert rows(G.crawl(seeds, df), "url", "depth") == [("https://s.org/d/", 0), ("https://s.org/d/a.md", 1), ("https://s.org/d/b.md", 2)]
 
 
+def test_crawl_budget(spark, rows):
+    page = lambda s, n, *to: (f"https://{s}.org/{n}.md", "".join(f'<a href="{x}.md">' for x in to))
+    data = [page("a", 0, 1, 2, 3), page("a", 1), page("a", 2), page("a", 3), page("b", 0, 1, 9), page("b", 1, "../../x", "https://a.org/0"), page("a", 9)]
+    df = spark.createDataFrame(data, "url string, body string")
+    seeds = spark.createDataFrame([("https://a.org/0.md",), ("https://b.org/0.md",)], "url string")
+    got = G.crawl(seeds, df, fetches=4).cache()
+    assert rows(got, "url") == [("https://a.org/0.md",), ("https://a.org/1.md",), ("https://b.org/0.md",), ("https://b.org/1.md",)]
+    assert rows(G.not_fetched(got, df), "url", "reason") == [("https://a.org/0.md", "outside"), ("https://a.org/2.md", "budget"), ("https://a.org/3.md", "budget"), ("https://b.org/9.md", "unknown"), ("https://b.org/x.md", "unknown")]
+    assert G.crawl(seeds, df).count() == 6
+
+
 def test_manifest():
     h = "0" * 64
     good = {"files": {"a.md": {"sha256": h}}, "artifacts": {"z": {"sha256": h}}, "external": [{"url": "https://a.org/graph.json", "sha256": h, "from": "a", "line": 1}]}

@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from vellumgrid import sinks
-from vellumgrid.commands import CommandError, Corpus
+from vellumgrid.commands import CommandError, Corpus, init
 from vellumgrid.runtime import session
 from vellumgrid.sources.files import discover_project, head_revision, write_lock
 
@@ -68,6 +68,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("drift", "health"):
         command(name).add_argument("--lock", default="sources.lock.json" if name == "drift" else None)
     command("manifest")
+    command("init", "name")
     command("llms")
     return top
 
@@ -152,6 +153,9 @@ def run(spark, a: argparse.Namespace) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "init":
+        print(*init(a.root, a.name, a.config), sep="\n")
+        return 0
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
     try:

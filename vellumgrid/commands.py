@@ -34,6 +34,23 @@ class CommandError(Exception):
         self.code = code
 
 
+def init(folder: str, name: str, config: str = "project.toml") -> list[str]:
+    """A new project: settings, a root document and a log; files that are there stay. The names written."""
+    files = {
+        config: f'name = "{name}"\ncorpus = "docs"\nspec = "0.2"\n',
+        "docs/index.md": f'---\nokf_version: "{source.SPECS["0.2"]}"\n---\n# {name}\n',
+        "docs/log.md": "# Log\n",
+    }
+    written = []
+    for path, text in files.items():
+        full = os.path.join(folder, path)
+        if not os.path.exists(full):
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            rewrite.write_file(full, text)
+            written.append(path)
+    return written
+
+
 def walk_key(path: Column | str) -> Column:
     """Sorts paths as a folder walk meets them: segment by segment."""
     return F.split(F.col(path) if isinstance(path, str) else path, "/")

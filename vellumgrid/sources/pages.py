@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.urls import canonical_url, in_scope, publication_base, relevant_link
-from vellumgrid.runtime import materialise
+from vellumgrid.runtime import materialise, written_rows
 
 #: Links taken from one page.
 PAGE_LINKS = 256
@@ -142,28 +142,48 @@ def extract_links(pages: DataFrame, url: str = "url", body: str = "body", limit:
     return rows.mapInPandas(run, "url string, pos int, link string")
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3) -> DataFrame:
+def crawl(seeds: DataFrame, pages: DataFrame, depth: int = 3, fetches: int | None = None) -> DataFrame:
     """``(url, seed, depth)`` of the pages reached from ``seeds(url)`` within their publications.
 
     ``pages(url, body)`` holds what was fetched; links are extracted once. A link
     is followed if it is relevant and below its seed's base. Breadth first, a
-    written table per round.
+    written table per round. With ``fetches`` the crawl stops after so many pages,
+    which the seeds take in turn; :func:`not_fetched` tells what was left.
     """
     links = materialise(extract_links(pages, limit=None).where(relevant_link("link")).select("url", "link"), "links")
     known = pages.select(canonical_url("url").alias("url")).distinct()
     start = seeds.select(canonical_url("url").alias("url")).where(F.col("url").isNotNull()).distinct()
-    frontier = materialise(start.join(known, "url", "left_semi").select("url", F.col("url").alias("seed"), F.lit(0).alias("depth")), "frontier")
+    left = fetches
+
+    def round_of(queue: DataFrame, d: int) -> DataFrame:
+        nonlocal left
+        if left is not None:
+            queue = round_robin(queue, order="url", fetches=left).drop("turn")
+        done = materialise(queue.withColumn("depth", F.lit(d)), "frontier", measure=True)
+        left = None if left is None else left - written_rows(done)
+        return done
+
+    frontier = round_of(start.join(known, "url", "left_semi").select("url", F.col("url").alias("seed")), 0)
     seen = frontier
     for d in range(1, depth + 1):
+        if left == 0 or not written_rows(frontier):
+            break
         step = frontier.join(links.withColumn("url", canonical_url("url")), "url").where(in_scope("link", publication_base("seed")))
         new = step.select(F.col("link").alias("url"), "seed").distinct().join(known, "url", "left_semi").join(seen, ["url", "seed"], "left_anti")
-        frontier = materialise(new.withColumn("depth", F.lit(d)), "frontier")
+        frontier = round_of(new, d)
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            break
     return seen
 
 
+def not_fetched(reached: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(seed, url, reason)``: links of the reached pages that were not: ``outside``, ``unknown`` or ``budget`` (depth or fetches)."""
+    links = extract_links(pages, limit=None).where(relevant_link("link")).select(canonical_url("url").alias("url"), "link").distinct()
+    asked = reached.join(links, "url").select("seed", F.col("link").alias("url")).distinct().join(reached.select("seed", "url"), ["seed", "url"], "left_anti")
+    known = pages.select(canonical_url("url").alias("url"), F.lit(True).alias("_known")).distinct()
+    reason = F.when(~in_scope("url", publication_base("seed")), "outside").when(F.col("_known").isNull(), "unknown").otherwise("budget")
+    return asked.join(known, "url", "left").select("seed", "url", reason.alias("reason"))
+
+
 def round_robin(queue: DataFrame, seed: str = "seed", order: str = "pos", fetches: int | None = 64) -> DataFrame:
     """``queue`` with ``turn`` from 1: one candidate of every seed after the other, each seed's in order; ``fetches`` of them.
 
