@@ -81,3 +81,10 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "id long, text string")
     assert N.pairs_of(*N.near_duplicates(df, "id", "text")).count() == 0
     assert N.groups_of(*N.near_duplicates(df, "id", "text")).count() == 0
+
+
+def test_other_ids(spark):
+    data = [(f"d{i}", t) for i, t in corpus(6, 60)]
+    members, links = N.near_duplicates(spark.createDataFrame([*data, data[0]], "id string, text string"), "id", "text", 3, 0.6, 40, log_counters=8)
+    got = {tuple(r) for r in N.pairs_of(members, links).collect()}
+    assert got == brute(data, 3, 0.6, 40) and len(got) > 3

@@ -16,7 +16,6 @@ text only and is not posted at all.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm.words import U, gram_sets, mix
-from vellumgrid.runtime import broadcast_if_small, materialise
+from vellumgrid.runtime import BROADCAST_BYTES, materialise, measured_bytes
 
 #: 2**24 counters of one byte when sent: a broadcast of 16 MB whatever the input.
 LOG_COUNTERS = 24
@@ -39,7 +38,8 @@ TASK_POSTINGS = 1_500_000
 SIGNATURE = 128
 _EPS = 1e-9
 
-_PROFILE = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("prefix", pa.int64())])
+# Blocks of counters, and the profiles of texts, whose ids may have any type.
+_PROFILE = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("cls", pa.int64()), ("n", pa.int32()), ("prefix", pa.int64())])
 
 
 def _prefix(n: int, t: float) -> int:
@@ -64,23 +64,30 @@ def _profiler(n: int, least: int, t: float, log_counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = None
         for b in batches:
-            ids, out = b.column(0).to_numpy(zero_copy_only=False), []
+            at, out = [], []
+            kind = b.column(0).type
             for i, _, grams in gram_sets(b.column(1).to_pylist(), n, least):
                 if counters is None:
                     counters = np.zeros(1 << log_counters, np.int32)
                 np.add.at(counters, (grams >> shift).astype(np.int64), 1)
-                out.append((None, _signature(grams), ids[i], _class(grams), len(grams), _prefix(len(grams), t)))
+                at.append(i)
+                out.append((None, _signature(grams), _class(grams), len(grams), _prefix(len(grams), t)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _PROFILE)], schema=_PROFILE)
+                yield _profiles(b.column(0).take(pa.array(at)), out)
         if counters is not None:
             for k in range(0, len(counters), _BLOCK):
-                if counters[k : k + _BLOCK].any():
-                    data = zlib.compress(counters[k : k + _BLOCK].tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k // _BLOCK, data, None, None, None, None), _PROFILE)], schema=_PROFILE)
+                some = np.flatnonzero(counters[k : k + _BLOCK])
+                if len(some):
+                    data = some.astype(np.uint16).tobytes() + counters[k + some].tobytes()
+                    yield _profiles(pa.nulls(1, kind), [(k // _BLOCK, data, None, None, None)])
 
     return run
 
 
+def _profiles(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, f.type) for x, f in zip(zip(*rows), _PROFILE))], names=["id", *_PROFILE.names])
+
+
 #: Counts are sent as eighths of their binary logarithm, rounded up; 0 is none, 1 exactly one.
 _STEPS = 8
 
@@ -96,9 +103,9 @@ def _bounds() -> np.ndarray:
 
 def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_BLOCK, np.int64)
-    for x in pdf["data"]:
-        part = np.frombuffer(zlib.decompress(x), np.int32)
-        total[: len(part)] += part
+    for x in pdf["data"]:  # six bytes a counter: which of the block, and its count
+        n = len(x) // 6
+        total[np.frombuffer(x, np.uint16, n)] += np.frombuffer(x, np.int32, n, 2 * n)
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [_coded(total).tobytes()], "total": [int(total.sum())]})
 
 
@@ -243,17 +250,17 @@ def _verify(n: int, t: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            cache: dict[int, np.ndarray] = {}
-            a_id, b_id = b.column(2).to_numpy(), b.column(3).to_numpy()
+            cache: dict = {}
+            a_id, b_id = b.column(2).to_pylist(), b.column(3).to_pylist()
             for ids, col in ((a_id, 4), (b_id, 5)):
-                fresh = {int(x): i for i, x in enumerate(ids) if int(x) not in cache}
+                fresh = {x: i for i, x in enumerate(ids) if x not in cache}
                 texts = b.column(col).take(pa.array(list(fresh.values()), pa.int64())).to_pylist()
                 names = list(fresh)
                 for i, _, grams in gram_sets(texts, n, n):
                     cache[names[i]] = grams
             sim = np.zeros(b.num_rows)
             for i, (x, y) in enumerate(zip(a_id, b_id)):
-                p, q = cache.get(int(x)), cache.get(int(y))
+                p, q = cache.get(x), cache.get(y)
                 if p is not None and q is not None:
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     sim[i] = both / (len(p) + len(q) - both)
@@ -273,12 +280,13 @@ def near_duplicates(
     (NULL, empty and shorter texts are in no class); texts with the same set of
     word ``n``-grams share ``cls``. ``links(a, b, similarity)`` has every pair of
     classes ``a < b`` with Jaccard similarity of ``threshold`` or more. Rows with
-    a NULL id are left out; a row delivered twice counts once. Other columns are
+    a NULL id are left out, ids may have any type; a row delivered twice counts once. Other columns are
     ignored. An empty table gives empty results.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    profile = materialise(rows.mapInArrow(_profiler(n, least_words, threshold, log_counters), _ddl(_PROFILE)), "profile")
+    kind = df.schema[id].dataType.simpleString()
+    rows = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    profile = materialise(rows.mapInArrow(_profiler(n, least_words, threshold, log_counters), f"id {kind}, {_ddl(_PROFILE)}"), "profile")
 
     blocks = profile.where(F.col("block").isNotNull()).select("block", "data").groupBy("block").applyInPandas(_sum_blocks, "block int, data binary, total long").collect()
     counts, total = np.zeros(1 << log_counters, np.uint8), 0
@@ -301,10 +309,12 @@ def near_duplicates(
     chosen = texts.groupBy("cls").agg(F.min(F.struct("id", "data", "n")).alias("r")).select("cls", "r.id", "r.data", "r.n")
     left, right = (chosen.select(F.col("cls").alias(x), F.col("id").alias(f"id_{x}"), F.col("data").alias(f"data_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     close = pairs.join(left, "a").join(right, "b").select("a", "b", "id_a", "id_b", "data_a", "data_b", "n_a", "n_b")
-    close = materialise(close.mapInArrow(_suffix_filter(threshold), "a long, b long, id_a long, id_b long"), "close")
+    close = materialise(close.mapInArrow(_suffix_filter(threshold), f"a long, b long, id_a {kind}, id_b {kind}"), "close", measure=True)
 
     wanted = close.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts_of = rows.join(broadcast_if_small(wanted), "id", "left_semi")
+    # two ids of a pair are half of what the pair was measured to have
+    small = F.broadcast(wanted) if measured_bytes(close) <= BROADCAST_BYTES else wanted
+    texts_of = rows.join(small, "id", "left_semi")
     both = close.join(texts_of.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
         texts_of.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
     )
