@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from vellumgrid.llm import neardup as N
@@ -88,3 +89,9 @@ def test_other_ids(spark):
     members, links = N.near_duplicates(spark.createDataFrame([*data, data[0]], "id string, text string"), "id", "text", 3, 0.6, 40, log_counters=8)
     got = {tuple(r) for r in N.pairs_of(members, links).collect()}
     assert got == brute(data, 3, 0.6, 40) and len(got) > 3
+
+
+@pytest.mark.parametrize("some,counts", [([0], [1]), ([0, 255, 511], [255, 1, 2]), ([3, 65535], [1, 1]), ([1, 2], [256, 1]), ([300, 40000], [70000, 1])])
+def test_counter_blocks(some, counts):
+    got = N._unpacked(N._packed(np.array(some), np.array(counts, np.int32)))
+    assert [x.tolist() for x in got] == [some, counts]

@@ -78,8 +78,7 @@ def _profiler(n: int, least: int, t: float, log_counters: int):
             for k in range(0, len(counters), _BLOCK):
                 some = np.flatnonzero(counters[k : k + _BLOCK])
                 if len(some):
-                    data = some.astype(np.uint16).tobytes() + counters[k + some].tobytes()
-                    yield _profiles(pa.nulls(1, kind), [(k // _BLOCK, data, None, None, None)])
+                    yield _profiles(pa.nulls(1, kind), [(k // _BLOCK, _packed(some, counters[k + some]), None, None, None)])
 
     return run
 
@@ -101,11 +100,24 @@ def _bounds() -> np.ndarray:
     return np.concatenate(([0.0], np.ceil(2.0 ** (np.arange(255) / _STEPS))))
 
 
+def _packed(some: np.ndarray, counts: np.ndarray) -> bytes:
+    """Which counters of a block are used, as steps, and their counts; in single bytes where all of them fit."""
+    steps = np.diff(some, prepend=0)
+    small = steps.max() < 256, counts.max() < 256
+    return bytes(map(int, small)) + steps.astype(np.uint8 if small[0] else np.uint16).tobytes() + counts.astype(np.uint8 if small[1] else np.int32).tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kinds = np.dtype(np.uint8 if data[0] else np.uint16), np.dtype(np.uint8 if data[1] else np.int32)
+    n = (len(data) - 2) // (kinds[0].itemsize + kinds[1].itemsize)
+    return np.cumsum(np.frombuffer(data, kinds[0], n, 2), dtype=np.int64), np.frombuffer(data, kinds[1], n, 2 + n * kinds[0].itemsize)
+
+
 def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(_BLOCK, np.int64)
-    for x in pdf["data"]:  # six bytes a counter: which of the block, and its count
-        n = len(x) // 6
-        total[np.frombuffer(x, np.uint16, n)] += np.frombuffer(x, np.int32, n, 2 * n)
+    for x in pdf["data"]:
+        some, counts = _unpacked(x)
+        total[some] += counts
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [_coded(total).tobytes()], "total": [int(total.sum())]})
 
 
